@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, simhash, substring
+from tessera.llm import mixing, packing, simhash, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = mixing.mix(documents(spark, sf_dir))
+    rows = units.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
