@@ -28,7 +28,7 @@ from tessera.llm.common import Vocabulary, as_bytes, ragged_positions
 
 WINDOW, GRAM = 20, 4
 #: Words of a block (it ends with a whole document), and characters of text for which one bucket is laid out.
-BLOCK_WORDS, BUCKET_CHARS = 3_000_000, 4_000_000
+BLOCK_WORDS, BUCKET_CHARS = 1_000_000, 8_000_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -130,7 +130,7 @@ def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
     docs.sort(key=lambda d: d[:2])
     vocabulary = Vocabulary()
     number = vocabulary.__getitem__
-    ids = np.concatenate([np.fromiter(map(number, w), np.int64, len(w)) for _, _, w in docs])
+    ids = np.concatenate([np.fromiter(map(number, w), np.int32, len(w)) for _, _, w in docs])
     hashes = _word_hashes(vocabulary)[ids]
     n = np.array([len(w) for _, _, w in docs], np.int64)
     doc_at = np.cumsum(n) - n
@@ -154,6 +154,7 @@ def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
     s, c = _runs(~gone, breaks)
     bucket = (least[s] >> np.uint64(16)) % np.uint64(n_buckets)
 
+    del first, gone, least, breaks, hashes
     joined = b" ".join([w for _, _, words in docs for w in words])
     length = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))[ids]
     end_byte = np.cumsum(length + 1) - 1
@@ -213,7 +214,7 @@ def _bucket(width: int):
         if metas:
             vocabulary = Vocabulary()
             number = vocabulary.__getitem__
-            ids = np.concatenate([np.fromiter(map(number, words), np.int64, len(words)) for words in map(bytes.split, texts)])
+            ids = np.concatenate([np.fromiter(map(number, words), np.int32, len(words)) for words in map(bytes.split, texts)])
             doc_id, text_hash, start, n = (np.concatenate(x) for x in zip(*metas, strict=True))
             offset = np.cumsum(n + width - 1) - (n + width - 1)
             order = np.lexsort((text_hash, start, doc_id))
