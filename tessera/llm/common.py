@@ -81,3 +81,19 @@ def batches(rows: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch
     """One Arrow batch of the columns, none if they are empty."""
     if len(next(iter(rows.values()))):
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+
+
+def hash_share(doc_id: Column, seed: int) -> Column:
+    """A number in [0, 1) from the id, for samples that don't depend on partitions or order."""
+    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows at most for each value of ``by`` (a column of few values), chosen by a hash of the id.
+
+    Only counts are gathered; each row decides by its hash, so a frequent value isn't collected in one task. The
+    number kept varies around ``most`` as a binomial; a value with fewer rows keeps all.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
+    picked = rows.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("_by")))
+    return picked.where(hash_share(F.col(id_col), seed) * F.col("_n") < most).drop("_by", "_n")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash, substring
+from tessera.llm import langid, mixing, packing, quality, simhash, substring
+from tessera.llm.common import fold
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL where SQL can say it.
