@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, langid, mixing, packing, quality, simhash, substring, toxicity
+from tessera.llm import ann, classifier, langid, mixing, packing, quality, simhash, substring, toxicity
 from tessera.llm.common import fold
 
 
@@ -53,6 +53,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -67,6 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
