@@ -23,7 +23,7 @@ from tessera.llm.common import as_bytes, ragged_positions, written
 CAPACITY, UNIT = 4096, 16
 END_ID = 2
 #: Words that one encoder keeps the ids of, and words that are put together at a time.
-CACHE_WORDS, SLICE_WORDS = 3_000_000, 1_000_000
+CACHE_WORDS, SLICE_WORDS = 1_000_000, 400_000
 GROUP_PIECES = 50_000
 
 
@@ -36,65 +36,68 @@ def tokenizer_path() -> str:
 class WordEncoder:
     """Ids of a tokenizer whose pre-tokenizer never joins over white space, word by word with a bounded memory.
 
-    A text's ids are its words' ids in order. Words of printable Latin-1 are cut further into the pre-tokenizer's
-    letters, digits and symbols, which far fewer distinct strings make up; all others go to the tokenizer whole.
+    A text's ids are its words' ids in order. Words of lower-case letters are one pre-token each, whose last id alone
+    carries the end-of-word mark, so thousands are encoded as one string and told apart by it; others go one by one.
     """
 
-    _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-    #: Latin-1 characters that Unicode counts as numbers but \d does not.
-    _ODD = re.compile("[\xb2\xb3\xb9\xbc\xbd\xbe]|<\\|")
+    _LETTERS = re.compile("[a-zß-öø-ÿ]+")
+    _TOGETHER = 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
         self.n = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _encode(self, strings: list[str]) -> Iterator[list[int]]:
-        for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-            yield e.ids
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = self._encode([" ".join(words[x : x + self._TOGETHER]) for x in range(0, len(words), self._TOGETHER)])
+        stops = np.flatnonzero(self.ends[flat]) + 1
+        if len(stops) != len(words):
+            return self._encode(words)
+        return flat, np.diff(stops, prepend=0)
 
     def _learn(self, new: list[bytes]) -> None:
-        split = []
-        for word in new:
-            text = word.decode()
-            plain = self._PLAIN.fullmatch(text) and not self._ODD.search(text)
-            split.append(self._PARTS.findall(text.lower()) if plain else [text])
-        parts = self.parts
-        unseen = list(dict.fromkeys(p for s in split for p in s if p not in parts))
-        parts.update(zip(unseen, self._encode(unseen), strict=True))
-        ids = [[i for p in s for i in parts[p]] for s in split]
-        first = len(self.words)
-        self.words.update(zip(new, range(first, first + len(new)), strict=True))
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.words) > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.n = np.concatenate([self.n, np.zeros_like(self.n)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.at[first : first + len(new)] = self.used + np.cumsum(n) - n
-        self.n[first : first + len(new)] = n
-        self.used += total
+        texts = [w.decode() for w in new]
+        letters = [w for w in texts if self._LETTERS.fullmatch(w)]
+        others = [w for w in texts if not self._LETTERS.fullmatch(w)]
+        for strings, encode in ((letters, self._encode_letters), (others, self._encode)):
+            if not strings:
+                continue
+            flat, n = encode(strings)
+            first = len(self.words)
+            self.words.update(zip([w.encode() for w in strings], range(first, first + len(strings)), strict=True))
+            while self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while len(self.words) > len(self.at):
+                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+                self.n = np.concatenate([self.n, np.zeros_like(self.n)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.at[first : len(self.words)] = self.used + np.cumsum(n) - n
+            self.n[first : len(self.words)] = n
+            self.used += len(flat)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
         codes = list(map(self.words.get, words))
         if None in codes:
-            new = list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c is None))
+            new = list({w for w, c in zip(words, codes, strict=True) if c is None})
             if len(self.words) + len(new) > CACHE_WORDS:
                 self._clear()
-                new = list(dict.fromkeys(words))
+                new = list(set(words))
             self._learn(new)
             codes = list(map(self.words.__getitem__, words))
         codes = np.array(codes, np.int64)
@@ -102,6 +105,20 @@ class WordEncoder:
         return self.flat[ragged_positions(self.at[codes], n)], n
 
 
+#: A full stop or comma between a letter and white space is a pre-token by itself, so it may stand as a word.
+_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words whose ids, put together, are the text's: fewer distinct ones than between white space.
+
+    The tokenizer folds case itself; texts that may hold its special tokens, which it finds before that, stay as they are.
+    """
+    if b"<|" in text:
+        return text.split()
+    return _STOP.sub(rb" \1", text.lower()).split()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -127,7 +144,7 @@ def encode_documents(texts: list, path: str) -> Iterator[tuple[int, np.ndarray]]
         held.clear()
 
     for i, text in enumerate(texts):
-        held.append((i, text.split() if text else []))
+        held.append((i, split_words(text) if text else []))
         n += len(held[-1][1])
         if n >= SLICE_WORDS:
             yield from flush()
