@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTIONS, THRESHOLD, RECALL = 48, 0.6, 0.97
-FIRST, WIDEN = 0.35, 1.3
+DIRECTIONS, THRESHOLD, RECALL = 48, 0.6, 0.92
+FIRST, WIDEN = 0.5, 1.35
 #: Rows of a block of vectors, and of a block of queries.
-BLOCK, QUERY_BLOCK = 8192, 1024
+BLOCK, QUERY_BLOCK = 32768, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -67,22 +67,21 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     reach = half_width_over_distance(m, least, recall)
     radius = math.sqrt(2 * norm2)
     k = min(k, n)
+    starts = np.array([line.searchsorted(c) for line, c in zip(lines, centres, strict=True)])
     for i in range(len(q)):
-        count = np.zeros(n, np.int16)
+        count = np.zeros(n, np.int64)
         checked = np.zeros(n, bool)
-        low = np.array([np.searchsorted(line, c) for line, c in zip(lines, centres[:, i], strict=True)])
-        high = low.copy()
+        low = starts[:, i].tolist()
+        high = list(low)
         half = FIRST * radius
         found = np.zeros(0, np.int64)
         score = np.zeros(0)
         while True:
-            for j in range(m):
-                a, b = np.searchsorted(lines[j], (centres[j, i] - half, centres[j, i] + half))
-                a, b = min(a, low[j]), max(b, high[j])
-                row = order[j]
-                count[row[a : low[j]]] += 1
-                count[row[high[j] : b]] += 1
-                low[j], high[j] = a, b
+            a = [line.searchsorted(c - half) for line, c in zip(lines, centres[:, i], strict=True)]
+            b = [line.searchsorted(c + half, "right") for line, c in zip(lines, centres[:, i], strict=True)]
+            entered = [row[x:y] for row, x, y in zip(order, a, low, strict=True)] + [row[x:y] for row, x, y in zip(order, high, b, strict=True)]
+            count += np.bincount(np.concatenate(entered), minlength=n)
+            low, high = a, b
             new = np.flatnonzero((count >= least) & ~checked)
             checked[new] = True
             if len(new):
@@ -93,12 +92,14 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
                     found, score = found[~mine], score[~mine]
             if checked.all():
                 break
+            wanted = half * WIDEN
             if len(found) >= k:
                 kth = np.partition(score, len(score) - k)[len(score) - k] / q_norm[i] * math.sqrt(norm2)
-                distance = math.sqrt(max(2 * norm2 - 2 * kth, 0))
-                if half >= reach * distance:
+                enough = reach * math.sqrt(max(2 * norm2 - 2 * kth, 0))
+                if half >= enough:
                     break
-            half *= WIDEN
+                wanted = min(wanted, enough * (1 + 1e-9))
+            half = wanted
         best = np.lexsort((ids[found], -score))[:k]
         yield int(query_ids[i]), ids[found[best]], score[best]
 
@@ -125,7 +126,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         left, right = left.drop_duplicates("id"), right.drop_duplicates("id")
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            x, q = (np.array(f["v"].tolist(), float) for f in (left, right))
+            x, q = (np.stack(f["v"].to_numpy()).astype(float) for f in (left, right))
             for query_id, found, score in search_block(left["id"].to_numpy(), x, right["id"].to_numpy(), q, k, norm2):
                 out["query_id"] += [query_id] * len(found)
                 out["vec_id"] += found.tolist()
