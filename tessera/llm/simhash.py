@@ -94,16 +94,16 @@ def fingerprint_words(texts: list) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): the SimHash of each row's whole text, as a signed 64-bit number."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, text_hash, fp long): the SimHash of each row's whole text, as a signed 64-bit number."""
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     id_type = kept.schema["id"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             fp = fingerprint_words(as_bytes(batch.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["id", "text_hash", "fp"])
 
-    return kept.mapInArrow(run, f"id {id_type}, fp long")
+    return kept.mapInArrow(run, f"id {id_type}, text_hash long, fp long")
 
 
 def _chain_ok(diff: np.ndarray, chain: list[int]) -> np.ndarray:
@@ -239,16 +239,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and (fp, root) with the same root for all fingerprints of a component."""
+    fps = written(fingerprints(docs, id_col, text_col), "simhash")
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "text_hash")).alias("least"))
+    roots = components(links(distinct.select("fp")))
+    return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id) for each row: its fingerprint and the smallest id that links of <= 3 bits reach.
 
     Null and wordless texts have fingerprint zero and link like others. Repeated rows and ids stay, one result each;
     a null id never names a component unless all ids in it are null. Other columns are not read. Empty in, empty out.
     """
-    fps = written(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = components(links(nodes.select("fp")))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    fps, nodes = _labelled(docs, id_col, text_col)
     ids = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = nodes.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component: that with its smallest id (null ids last), with all its columns."""
+    _, nodes = _labelled(docs, id_col, text_col)
+    kept = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    rows = hashed.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["_text_hash", id_col]).select(*docs.columns)

@@ -66,6 +66,9 @@ def test_near_duplicates_edge_cases(spark):
     got = sorted(map(tuple, simhash.near_duplicates(docs).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (7, 3), (None, 3), (None, None)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+    left = sorted(map(tuple, simhash.deduplicated(docs).collect()), key=str)
+    assert left == sorted([(1, None, "x"), (3, "a b c d", None), (None, "lone words here now", "z")], key=str)
+    assert simhash.deduplicated(docs.limit(0)).collect() == []
 
 
 def test_near_duplicates_on_the_table(spark):
