@@ -29,6 +29,8 @@ from tessera.llm.common import Vocabulary, as_bytes, ragged_positions
 WINDOW, GRAM = 20, 4
 #: Words of a block (it ends with a whole document), and characters of text for which one bucket is laid out.
 BLOCK_WORDS, BUCKET_CHARS = 1_000_000, 8_000_000
+#: Tasks that buckets are dealt to; beyond as many buckets a task works through several, one at a time.
+MOST_TASKS = 20_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -111,7 +113,7 @@ GONE = "doc_id long, text_hash int, start long, n long"
 
 def _packed(*parts: bytes) -> bytes:
     sizes = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(parts)).tobytes() + sizes + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(np.int64(len(parts)).tobytes() + sizes + b"".join(parts))
 
 
 def _unpacked(payload: bytes) -> list[bytes]:
@@ -290,6 +292,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     n_buckets = n_buckets or n_buckets_for(docs, text_col)
     rows = keys.mapInArrow(_super_kmers(n_buckets, window, block_words), "bucket long, payload binary")
+    rows = rows.repartition(min(n_buckets, MOST_TASKS), "bucket")
     gone = rows.groupBy("bucket").applyInPandas(_bucket(window), GONE)
     gone = gone.groupBy(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
     gone = gone.agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
