@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from tessera.llm.common import as_bytes, ragged_positions, written
 
 CAPACITY, UNIT = 4096, 16
 END_ID = 2
-#: Words that one encoder keeps the ids of, and words that are put together at a time.
-CACHE_WORDS, SLICE_WORDS = 1_000_000, 400_000
+#: Words that one encoder keeps the ids of, and bytes of texts that are put together at a time.
+CACHE_WORDS, SLICE_BYTES = 1_000_000, 3_000_000
 GROUP_PIECES = 50_000
 
 
@@ -92,31 +93,51 @@ class WordEncoder:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
-        codes = list(map(self.words.get, words))
-        if None in codes:
-            new = list({w for w, c in zip(words, codes, strict=True) if c is None})
+        codes = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            new = list({words[i] for i in unknown.tolist()})
             if len(self.words) + len(new) > CACHE_WORDS:
                 self._clear()
-                new = list(set(words))
+                new, unknown = list(set(words)), np.arange(len(words))
             self._learn(new)
-            codes = list(map(self.words.__getitem__, words))
-        codes = np.array(codes, np.int64)
+            codes[unknown] = np.fromiter((self.words[words[i]] for i in unknown.tolist()), np.int64, len(unknown))
         n = self.n[codes]
         return self.flat[ragged_positions(self.at[codes], n)], n
 
 
-#: A full stop or comma between a letter and white space is a pre-token by itself, so it may stand as a word.
-_STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words whose ids, put together, are the text's: fewer distinct ones than between white space.
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(words of all texts in order, how many each text has): words whose ids, put together, are the texts'.
 
-    The tokenizer folds case itself; texts that may hold its special tokens, which it finds before that, stay as they are.
+    The tokenizer folds case itself, so texts are folded first. A full stop or comma between a letter (a-z, or one of
+    U+00E0 to U+00FF but the division sign) and white space is a pre-token by itself, so it stands as a word; fewer
+    distinct words are left. Texts that may hold special tokens, which the tokenizer finds before, stay as they are.
     """
-    if b"<|" in text:
-        return text.split()
-    return _STOP.sub(rb" \1", text.lower()).split()
+    odd = {i: t.split() for i, t in enumerate(texts) if b"<|" in t}
+    joined = np.frombuffer(b"\n".join([b"" if i in odd else t for i, t in enumerate(texts)]).lower(), np.uint8)
+    here = joined[2:-1]
+    stop = np.flatnonzero(((here == 46) | (here == 44)) & _SPACE[joined[3:]]) + 2
+    before, two_before = joined[stop - 1], joined[stop - 2]
+    stop = stop[_LOWER[before] | ((two_before == 0xC3) & (before >= 0xA0) & (before <= 0xBF) & (before != 0xB7))]
+    ends = np.cumsum([0 if i in odd else len(t) for i, t in enumerate(texts)]) + np.arange(len(texts))
+    ends += np.searchsorted(stop, ends)
+    spread = np.insert(joined, stop, 32)
+    space = _SPACE[spread]
+    starts = ~space
+    starts[1:] &= space[:-1]
+    n = np.diff(np.concatenate([[0], np.cumsum(starts)])[ends], prepend=0)
+    words = spread.tobytes().split()
+    if odd:
+        at = np.cumsum(n) - n
+        words = [w for i in range(len(texts)) for w in odd.get(i, words[at[i] : at[i] + n[i]])]
+        n = np.array([len(odd[i]) if i in odd else n[i] for i in range(len(texts))])
+    return words, n
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -131,26 +152,18 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_documents(texts: list, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(position, ids) of each UTF-8 text; the ids of None are none. Long runs of texts are encoded together."""
-    held: list[tuple[int, list[bytes]]] = []
-    n = 0
-
-    def flush() -> Iterator[tuple[int, np.ndarray]]:
-        ids, per_word = encoder(path).encode([w for _, words in held for w in words])
-        word_end = np.concatenate([[0], np.cumsum(per_word)])
-        at = 0
-        for i, words in held:
-            yield i, ids[word_end[at] : word_end[at + len(words)]]
-            at += len(words)
-        held.clear()
-
+    held: list[bytes] = []
+    size = first = 0
     for i, text in enumerate(texts):
-        held.append((i, split_words(text) if text else []))
-        n += len(held[-1][1])
-        if n >= SLICE_WORDS:
-            yield from flush()
-            n = 0
-    if held:
-        yield from flush()
+        held.append(text or b"")
+        size += len(held[-1])
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            words, n = split_words(held)
+            ids, per_word = encoder(path).encode(words)
+            ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(n)]
+            for k, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                yield first + k, ids[x:y]
+            held, size, first = [], 0, i + 1
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

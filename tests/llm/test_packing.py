@@ -28,6 +28,13 @@ def test_word_ids_are_the_tokenizers(text):
     assert got.tolist() == ids(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aZé÷ß.,<| \n\t½…"), max_size=12)), max_size=6))
+def test_texts_together(texts):
+    got = list(packing.encode_documents([t if t is None else t.encode() for t in texts], packing.tokenizer_path()))
+    assert [(i, x.tolist()) for i, x in got] == [(i, ids(t)) for i, t in enumerate(texts)]
+
+
 def test_special_token_text_is_kept(spark):
     text = "say <|ENDOFTEXT|> and <|endoftext|> o'clock I'll don't"
     [(_, got)] = packing.encode_documents([text.encode()], packing.tokenizer_path())
