@@ -82,7 +82,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Rows with a null language or without letters aren't learnt from. None if nothing is left. What comes to the driver is
     one sparse count vector per sampled text.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     ids = bounded_sample(rows.select("id", "lang"), "lang", "id", sample, 9)
     rows = rows.join(F.broadcast(ids.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id"))).select("id", "lang", "text")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample
+from tessera.llm.common import bounded_sample, written
 
 #: Bound of the learning sample: labelled texts of each class. Bound of the lexicon.
 SAMPLE, TERMS = 6000, 400
@@ -226,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = bounded_sample(known, "label", "id", sample, 7)
     texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select("label", F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = written(texts, "toxicity-sample")  # read three times
     terms = lexicon(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
