@@ -88,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL where SQL can say it.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op4_substring_dedup": substring.ORACLE,
 }

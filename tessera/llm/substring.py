@@ -303,3 +303,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return joined.mapInArrow(_cleaned(window, docs.columns.index(text_col), len(docs.columns), to_arrow_schema(out)), out)
+
+
+ORACLE = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+windows AS (SELECT doc_id, i, w, count(*) OVER ahead AS n, string_agg(w, ' ') OVER ahead AS s FROM placed
+    WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+starts AS (SELECT doc_id, i, w, n = {WINDOW} AND row_number() OVER (PARTITION BY s, n = {WINDOW} ORDER BY doc_id, i) > 1 AS again FROM windows),
+judged AS (SELECT doc_id, i, w, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM starts),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM judged GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
