@@ -26,6 +26,9 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+_own_folder: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
@@ -33,8 +36,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        base = _own_folder[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
