@@ -64,6 +64,13 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def in_slices(rows: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python objects at a time."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 class Vocabulary(dict):
     """word -> dense number, given on first sight: ``list(map(v.__getitem__, words))``."""
 

@@ -12,19 +12,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, ragged_positions, written
+from tessera.llm.common import as_bytes, in_slices, ragged_positions, written
 
 CAPACITY, UNIT = 4096, 16
 END_ID = 2
-#: Words that one encoder keeps the ids of, and bytes of texts that are put together at a time.
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 3_000_000
+#: Words that one encoder keeps the ids of at most, those it keeps between tasks, and bytes of texts put together at a time.
+CACHE_WORDS, KEPT_WORDS, SLICE_BYTES = 400_000, 150_000, 3_000_000
 GROUP_PIECES = 50_000
 
 
@@ -60,6 +60,13 @@ class WordEncoder:
         self.n = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def trim(self) -> None:
+        """Forget all but the words learnt first, which are the frequent ones."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = dict(islice(self.words.items(), KEPT_WORDS))
+            self.used = int(self.at[KEPT_WORDS])
+            self.flat, self.at, self.n = (x[:m].copy() for x, m in ((self.flat, self.used), (self.at, KEPT_WORDS), (self.n, KEPT_WORDS)))
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
@@ -81,11 +88,11 @@ class WordEncoder:
             flat, n = encode(strings)
             first = len(self.words)
             self.words.update(zip([w.encode() for w in strings], range(first, first + len(strings)), strict=True))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.words) > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-                self.n = np.concatenate([self.n, np.zeros_like(self.n)])
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(flat) + len(self.flat) // 2, np.uint32)])
+            if len(self.words) > len(self.at):
+                more = np.zeros(len(strings) + len(self.at) // 2, np.int64)
+                self.at, self.n = np.concatenate([self.at, more]), np.concatenate([self.n, more])
             self.flat[self.used : self.used + len(flat)] = flat
             self.at[first : len(self.words)] = self.used + np.cumsum(n) - n
             self.n[first : len(self.words)] = n
@@ -98,8 +105,9 @@ class WordEncoder:
         if len(unknown):
             new = list({words[i] for i in unknown.tolist()})
             if len(self.words) + len(new) > CACHE_WORDS:
-                self._clear()
-                new, unknown = list(set(words)), np.arange(len(words))
+                self.trim()
+                unknown = np.flatnonzero((codes < 0) | (codes >= len(self.words)))
+                new = list({words[i] for i in unknown.tolist()})
             self._learn(new)
             codes[unknown] = np.fromiter((self.words[words[i]] for i in unknown.tolist()), np.int64, len(unknown))
         n = self.n[codes]
@@ -172,7 +180,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     id_type = kept.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             owner, start, length, crc, total, ids = [], [], [], [], [], []
             for i, tokens in encode_documents(as_bytes(batch.column(1)), path):
                 tokens = np.concatenate([tokens, np.array([END_ID], np.uint32)]).astype("<u4")
@@ -192,6 +200,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        encoder(path).trim()
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Vocabulary, as_bytes, ragged_positions
+from tessera.llm.common import Vocabulary, as_bytes, in_slices, ragged_positions
 
 WINDOW, GRAM = 20, 4
 #: Words of a block (it ends with a whole document), and characters of text for which one bucket is laid out.
@@ -187,7 +187,7 @@ def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
 def _super_kmers(n_buckets: int, width: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = text.split() if text else []
                 if len(words) >= width:
@@ -259,7 +259,7 @@ def _cleaned(width: int, text_at: int, gone_at: int, schema: pa.Schema):
         return b"".join(pieces).strip(b" \t\n\x0b\f\r"), len(words), len(words) - n_kept, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             done = [one(t, g) for t, g in zip(as_bytes(batch.column(text_at)), batch.column(gone_at).to_pylist(), strict=True)]
             text, n, removed, sha = zip(*done, strict=True) if done else ((), (), (), ())
             cols = [c for i, c in enumerate(batch.columns) if i != gone_at]

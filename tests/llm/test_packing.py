@@ -35,6 +35,20 @@ def test_texts_together(texts):
     assert [(i, x.tolist()) for i, x in got] == [(i, ids(t)) for i, t in enumerate(texts)]
 
 
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 10)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    packing._encoders.clear()
+    texts = [" ".join(f"w{chr(97 + (i * k) % 26)}x{chr(97 + i % 26)}" for i in range(25)) for k in range(1, 40)]
+    for _ in range(2):
+        got = list(packing.encode_documents([t.encode() for t in texts], packing.tokenizer_path()))
+        assert [x.tolist() for _, x in got] == [ids(t) for t in texts]
+        packing.encoder(packing.tokenizer_path()).trim()
+        assert len(packing.encoder(packing.tokenizer_path()).words) <= 10
+    packing._encoders.clear()
+
+
 def test_special_token_text_is_kept(spark):
     text = "say <|ENDOFTEXT|> and <|endoftext|> o'clock I'll don't"
     [(_, got)] = packing.encode_documents([text.encode()], packing.tokenizer_path())
