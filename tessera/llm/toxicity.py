@@ -2,8 +2,9 @@
 
 The lexicon comes from labelled texts: words, and stems that go on, which are far more frequent in toxic than in clean
 ones, weighted by log odds. Its words stand in a trie. The product of the trie with the Levenshtein automata (one edit,
-for words of FUZZY letters or more) is determinised state by state as words ask for it, so a word is looked up in one
-transition a letter, and most words die after a few. Each hit is scored with the words around it: quotation marks or
+for terms of FUZZY letters or more) is determinised state by state as words ask for it, so a word is looked up in one
+transition a letter, and most words die after a few. The query's automaton is ``loose``: edits reach stems and words of
+four letters too, swapped letters are one edit, and digits or signs inside a word don't cut it. Each hit is scored with the words around it: quotation marks or
 words of reporting lower it, direct address raises it. A logistic score over the hits of the whole text is fitted on
 the labelled sample.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +31,14 @@ SAMPLE, TERMS = 6000, 400
 LEAST, LIFT, STEM, ALONE = 5, 8.0, 3, 0.85
 #: Words from so many letters on match with one edit, at a share of the weight.
 FUZZY, FUZZY_SHARE = 5, 0.6
+#: Loose only: words of SHORT letters match with one edit where the first letter stays and none is lost, at a lower share.
+SHORT, SHORT_SHARE = 4, 0.3
 WINDOW = 4
 QUOTED, REPORTED, ADDRESSED = 0.3, 0.6, 1.25
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words joined by digits or signs inside: one token to a loose automaton. SPLIT_WORD is the same for Spark.
+JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\d@$!*+#._'’-]{1,2}[^\W\d_]++)+")
+SPLIT_WORD = r"\p{L}++(?:[\p{Nd}@$!*+#._'’-]{1,2}\p{L}++)+"
 #: Quotation marks, words of reporting, and words of direct address.
 MARKS = frozenset("\"“”„«»‘’")
 REPORTING = frozenset("said says called wrote word term quote quoted dit écrit mot sagte nannte wort dijo llamó palabra".split())
@@ -43,62 +50,78 @@ class Automaton:
 
     A state is a set of (trie node, edits so far). A letter keeps a position by matching, or spends the edit by
     inserting, substituting or deleting. States get numbers on first sight.
+
+    ``loose`` adds: two neighbours swapped are one edit; stems of FUZZY letters or more take the edit before their last
+    letter (there it would cut the stem by one); words of SHORT letters take it where the first letter stays and the
+    looked-up word isn't shorter.
     """
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms = terms
+    def __init__(self, terms: dict[str, float], loose: bool = False):
+        self.terms, self.loose = terms, loose
         self.children: list[dict[str, int]] = [{}]
         self.word_at: dict[int, str] = {}
         self.stem_at: dict[int, str] = {}
-        self.fuzzy = [False]  # nodes on the way to a word that may hold an edit
+        self.fuzzy = [False]  # nodes on the way to a term that may hold an edit
         for term in terms:
             node, is_stem = 0, term.endswith("*")
             letters = term.rstrip("*")
-            may_edit = not is_stem and len(letters) >= FUZZY
+            may_edit = len(letters) >= FUZZY and (loose or not is_stem)
+            short = loose and not is_stem and len(letters) == SHORT
             for c in letters:
-                self.fuzzy[node] |= may_edit
+                self.fuzzy[node] |= may_edit or (short and node > 0)
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.fuzzy.append(False)
                 node = self.children[node][c]
-            self.fuzzy[node] |= may_edit
+            self.fuzzy[node] |= may_edit or short
             (self.stem_at if is_stem else self.word_at)[node] = term
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.ends: list[tuple[str, int] | None] = []
-        self.start = self._number({(0, 0, "")})
+        self.ends: list[list[tuple[int, float, str]]] = []
+        self.start = self._number({(0, 0, "", "")})
 
     def _number(self, positions: set) -> int:
-        """Positions are (node, edits, stem matched so far); deletions are taken along."""
+        """Positions are (node, edits, stem matched so far, letter still due); deletions are taken along.
+
+        ``+`` is due after a stem: any letter, since a stem alone is no match.
+        """
         full = set(positions)
-        for node, edits, stem in positions:
-            if not edits and not stem and self.fuzzy[node]:
-                full |= {(child, 1, "") for child in self.children[node].values() if self.fuzzy[child]}
+        for node, edits, stem, due in positions:
+            if not edits and not stem and not due and self.fuzzy[node]:
+                full |= {(child, 1, "", "") for child in self.children[node].values() if self.fuzzy[child]}
         key = frozenset(full)
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            found = [(edits, -self.terms[t], t) for node, edits, stem in key if (t := stem or self.word_at.get(node)) and (not edits or len(t) >= FUZZY)]
-            self.ends.append((min(found)[2], min(found)[0]) if found else None)
+            least = SHORT if self.loose else FUZZY
+            ends = {(edits, -self.terms[t], t) for node, edits, stem, due in key if not due and (t := stem or self.word_at.get(node)) and (not edits or len(t) >= least)}
+            self.ends.append(sorted(ends))
         return self.numbers[key]
 
     def _move(self, state: int, c: str) -> int:
         out = set()
-        for node, edits, stem in self.sets[state]:
+        for node, edits, stem, due in self.sets[state]:
             if stem:
-                out.add((node, edits, stem))
+                out.add((node, edits, stem, ""))
+                continue
+            if due:
+                if c == due:
+                    out.add((node, edits, "", ""))
                 continue
-            if not edits and node in self.stem_at:
-                out.add((node, 0, self.stem_at[node]))
             child = self.children[node].get(c)
             if child is not None and (not edits or self.fuzzy[child]):
-                out.add((child, edits, ""))
+                out.add((child, edits, "", ""))
+            if child in self.stem_at and (not edits or len(self.stem_at[child]) > FUZZY):
+                out.add((child, edits, self.stem_at[child], "+"))
             if not edits and self.fuzzy[node]:
-                out.add((node, 1, ""))
-                out |= {(x, 1, "") for x in self.children[node].values() if self.fuzzy[x]}
+                out.add((node, 1, "", ""))
+                out |= {(x, 1, "", "") for x in self.children[node].values() if self.fuzzy[x]}
+                if self.loose:
+                    swapped = ((first, self.children[x].get(c)) for first, x in self.children[node].items() if first != c)
+                    out |= {(x, 1, "", first) for first, x in swapped if x is not None and self.fuzzy[x]}
         self.moves[state][c] = to = self._number(out) if out else -1
         return to
 
@@ -109,31 +132,45 @@ class Automaton:
             state = self._move(state, c) if to is None else to
             if state < 0:
                 return None
-        return self.ends[state]
+        for edits, _, term in self.ends[state]:
+            if not edits or len(term) >= FUZZY or (word[0] == term[0] and len(word) >= len(term)):
+                return term, edits
+        return None
 
 
 def hits(text: str, automaton: Automaton, memory: dict) -> list[tuple[str, str, int, int, float]]:
     """(term, word, position of the word, edits, score) of each match in the whole text."""
-    words = LETTERS.findall(text.lower())
-    found = []
-    for i, w in enumerate(words):
+    lowered = text.lower()
+    words = LETTERS.findall(lowered)
+
+    def match_of(w: str) -> tuple[str, int] | None:
         match = memory.get(w, 0)
         if match == 0:
             if len(memory) > 1_000_000:
                 memory.clear()
             memory[w] = match = automaton.lookup(w)
-        if match:
-            found.append((i, w, match))
-    if not found:
+        return match
+
+    found = [(i, i, w, match) for i, w in enumerate(words) if (match := match_of(w))]
+    joined = [(m.span(), match) for m in JOINED.finditer(lowered) if (match := match_of(m[0]))] if automaton.loose else []
+    if not found and not joined:
         return []
-    at = [m.span() for m in LETTERS.finditer(text.lower())]
-    lowered = text.lower()
+    at = [m.span() for m in LETTERS.finditer(lowered)]
+    if joined:  # a token counts where no part of it is an exact hit; fuzzy hits of its parts give way
+        exact = {i for i, _, _, (_, edits) in found if not edits}
+        starts = [x for x, _ in at]
+        for (x, y), match in joined:
+            i, j = bisect_left(starts, x), bisect_left(starts, y) - 1
+            if not exact & set(range(i, j + 1)):
+                found = [f for f in found if not i <= f[0] <= j]
+                found.append((i, j, lowered[x:y], match))
+        found.sort()
     out = []
-    for i, w, (term, edits) in found:
-        score = automaton.terms[term] * (FUZZY_SHARE if edits else 1.0)
-        x, y = at[i]
-        before, after = lowered[max(0, at[max(0, i - WINDOW)][0]) : x], lowered[y : at[min(len(at) - 1, i + WINDOW)][1]]
-        around = set(words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW])
+    for i, j, w, (term, edits) in found:
+        score = automaton.terms[term] * ((FUZZY_SHARE if len(term) >= FUZZY else SHORT_SHARE) if edits else 1.0)
+        x, y = at[i][0], at[j][1]
+        before, after = lowered[max(0, at[max(0, i - WINDOW)][0]) : x], lowered[y : at[min(len(at) - 1, j + WINDOW)][1]]
+        around = set(words[max(0, i - WINDOW) : i] + words[j + 1 : j + 1 + WINDOW])
         if (MARKS & set(before)) and (MARKS & set(after)):
             score *= QUOTED
         elif around & REPORTING:
@@ -171,36 +208,43 @@ def _automaton(terms: dict[str, float]) -> tuple[Automaton, dict]:
     key = tuple(sorted(terms.items()))
     if key not in _automata:
         _automata.clear()
-        _automata[key] = (Automaton(terms), {})
+        _automata[key] = (Automaton(terms, loose=True), {})
     return _automata[key]
 
 
 def lexicon(texts: DataFrame, terms: int = TERMS) -> dict[str, float]:
     """Words, and stems marked ``*`` that longer words start with, from rows (text, label): log odds of toxic texts.
 
-    Counts are of texts, gathered by Spark over all rows given; at most ``terms`` come to the driver.
+    Counts are of texts, gathered by Spark over all rows given; at most ``terms`` come to the driver. Words stay beside any
+    stem, so that they keep their own edits. Before the bound a stem goes if a word makes up ALONE of its texts, if a
+    longer stem has all of them, or if a shorter one of no less gain stays (words are never dropped for a stem).
     """
     n = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     if not n.get(1):
         return {}
-    words = texts.select("label", F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("ws"))
+    extracted = [F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)) for pattern in (r"\p{L}+", SPLIT_WORD)]
+    words = texts.select("label", F.array_distinct(extracted[0]).alias("ws"), F.array_distinct(extracted[1]).alias("joined"))
     stems = F.flatten(F.transform("ws", lambda w: F.transform(F.filter(F.sequence(F.lit(STEM), F.lit(12)), lambda k: k < F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("*")))))
-    both = words.select("label", F.explode(F.array_distinct(F.concat("ws", stems))).alias("term"))
+    both = words.select("label", F.explode(F.array_distinct(F.concat("ws", "joined", stems))).alias("term"))
     counts = both.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     share = (F.col("c") + 1) / (n.get(0, 0) + 1)
     surely = (F.col("t") - 2 * F.sqrt("t")) / n[1] / share
     odds = F.log((F.col("t") / n[1]) / share)
     best = counts.where((F.col("t") >= LEAST) & (surely >= LIFT)).select("term", "t", odds.alias("weight"), (F.col("t") * odds).alias("gain"))
-    found = best.orderBy(F.desc("gain"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(terms).collect()
-    out: dict[str, float] = {}
-    texts_of: dict[str, int] = {}
-    for r in found:
-        whole = r.term.rstrip("*")
-        covered = any(t.endswith("*") and whole.startswith(t[:-1]) and whole != t[:-1] for t in out)
-        explained = r.term.endswith("*") and any(t.rstrip("*").startswith(whole) and n_t >= ALONE * r.t for t, n_t in texts_of.items())
-        if not covered and not explained:
-            out[r.term], texts_of[r.term] = float(r.weight), r.t
-    return out
+    best = best.withColumns({"is_stem": F.col("term").endswith("*"), "letters": F.rtrim("term", F.lit("*"))})
+
+    beginnings = F.transform(F.sequence(F.lit(STEM), F.greatest(F.lit(STEM), F.least(F.lit(12), F.length("letters")))), lambda k: F.substring("letters", F.lit(1), k))
+    longer = best.select("t", "is_stem", "letters", F.explode(beginnings).alias("start")).where(~F.col("is_stem") | (F.length("start") < F.length("letters")))
+    longer = longer.groupBy(F.concat("start", F.lit("*")).alias("term")).agg(F.max(F.when(~F.col("is_stem"), F.col("t"))).alias("in_word"), F.max(F.when(F.col("is_stem"), F.col("t"))).alias("in_stem"))
+    explained = F.col("is_stem") & (F.coalesce(F.col("in_word") >= ALONE * F.col("t"), F.lit(False)) | F.coalesce(F.col("in_stem") >= F.col("t"), F.lit(False)))
+    kept = best.join(longer, "term", "left").where(~explained).select(*best.columns)
+
+    inner = kept.where("is_stem").select("term", "letters", "gain", F.explode(beginnings).alias("start")).where(F.length("start") < F.length("letters"))
+    shorter = kept.where("is_stem").select(F.col("letters").alias("start"), F.col("gain").alias("gain_of_start"))
+    covered = inner.join(shorter, "start").where(F.col("gain_of_start") >= F.col("gain")).select("term").distinct()
+    kept = kept.join(covered, "term", "left_anti")
+    found = kept.orderBy(F.desc("gain"), "is_stem", F.desc(F.length("term")), "term").limit(terms).collect()
+    return {r.term: float(r.weight) for r in found}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, float]:

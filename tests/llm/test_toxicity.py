@@ -77,3 +77,54 @@ def test_edge_cases(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.fit(docs.limit(0), labels) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def near(a, b):
+    """One edit at most; two neighbours swapped count as one."""
+    return distance(a, b) <= 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+
+
+def loose_brute(word):
+    found = []
+    for t, weight in TERMS.items():
+        s = t.rstrip("*")
+        if t.endswith("*"):
+            ends = [i for i in range(1, len(word)) if word[i - 1] == s[-1] and len(s) >= toxicity.FUZZY and near(word[: i - 1], s[:-1])]
+            if word.startswith(s) and len(word) > len(s):
+                found.append((0, -weight, t))
+            elif ends:
+                found.append((1, -weight, t))
+        elif word == s:
+            found.append((0, -weight, t))
+        elif near(word, s) and (len(s) >= toxicity.FUZZY or (len(s) == toxicity.SHORT and word[:1] == s[0] and len(word) >= len(s))):
+            found.append((1, -weight, t))
+    return (min(found)[2], min(found)[0]) if found else None
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("abcde", max_size=9))
+def test_loose_automaton_against_edit_distance(word):
+    assert toxicity.Automaton(TERMS, loose=True).lookup(word) == loose_brute(word)
+
+
+def test_misspellings_of_learnt_words(spark):
+    for other, n in (("idiots", 2), ("idioot", 5)):
+        rows = [(f"what a {other if i < n else 'idiot'} he is, that scum" if i % 2 else f"an {other if i < n else 'idiot'} here", 1) for i in range(100)]
+        rows += [("what an idea he has here, that is a fine thing", 0)] * 200
+        terms = toxicity.lexicon(spark.createDataFrame(rows, "text string, label int"))
+        assert "idiot" in terms and "scum" in terms and "idio*" not in terms
+        automaton, memory = toxicity._automaton(terms)
+        for word, edits in (("idiot", 0), ("idoit", 1), ("ediot", 1), ("idi0t", 1), ("id-iot", 1), ("scum", 0), ("scumm", 1), ("skum", 1)):
+            [hit] = toxicity.hits(f"that {word}, there", automaton, memory)
+            assert hit[1:4] == (word, 1, edits)
+        assert toxicity.hits("the sum of a slump, idle i.d. iota", automaton, memory) == []
+
+
+def test_stems_leave_room_below_the_bound(spark):
+    """Words stay beside a stem that many of them share, and stems that say the same take no place."""
+    rows = [(f"grobzz{c} there", 1) for c in "abcdefghijkl" for _ in range(15)] + [("vilest of all", 1)] * 50 + [("clean words here", 0)] * 3000
+    texts = spark.createDataFrame(rows, "text string, label int")
+    assert set(toxicity.lexicon(texts, 4)) >= {"grobzz*", "vilest"}
+    assert set(toxicity.lexicon(texts)) >= {"grobzz*", "vilest", *[f"grobzz{c}" for c in "abcdefghijkl"]}
+    automaton, memory = toxicity._automaton(toxicity.lexicon(texts))
+    assert [h[3] for h in toxicity.hits("a grobbzzqq b", automaton, memory)] == [1]
