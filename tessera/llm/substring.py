@@ -4,8 +4,9 @@ Every input partition is read in blocks of a few million words. Inside a block,
 repeat an earlier window of the block are settled on the spot, so a passage costs one window per block however many
 documents hold it. The other windows are cut where their minimiser (the least hash of four consecutive words inside
 the window) changes; consecutive windows sharing one travel as one packed string to the minimiser's bucket. A bucket
-sorts all its windows, finds each one's first place and sends back the places that aren't first. Windows are
-compared by their words; hashes only order the sort.
+sorts all its windows, finds each one's first place and sends back the places that aren't first. Buckets that a count
+over a part of the documents finds large are dealt further by the hash of the whole window, so that different windows
+around one frequent line don't meet in one task. Windows are compared by their words; hashes only order the sort.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ WINDOW, GRAM = 20, 4
 BLOCK_WORDS, BUCKET_CHARS = 1_000_000, 8_000_000
 #: Tasks that buckets are dealt to; beyond as many buckets a task works through several, one at a time.
 MOST_TASKS = 20_000
+#: Windows are counted by bucket in one of COUNTED documents, all of them up to COUNT_ALL characters; a bucket is split from
+#: HOT times the windows of its BUCKET_CHARS on. The counts lay out the work and change no result.
+COUNTED, COUNT_ALL, HOT = 16, 20_000_000, 2
+#: Windows of BUCKET_CHARS characters, about.
+BUCKET_WINDOWS = BUCKET_CHARS // 6
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -127,8 +133,18 @@ def _unpacked(payload: bytes) -> list[bytes]:
 _LAST = np.iinfo(np.int64).max  # a null id comes after all others
 
 
-def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
-    """docs: (id, text hash, words). Rows for the buckets: packed super-k-mers, and the block's own removals."""
+def _least_grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The minimiser of the window from each place on."""
+    gram = min(GRAM, width)
+    return _sliding_min(_rolling(hashes, gram), width - gram + 1)
+
+
+def _home(least: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((least >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _block(docs: list, n_buckets: int, width: int, parts: dict[int, tuple[int, int]] | None = None) -> pa.RecordBatch | None:
+    """docs: (id, text hash, words); parts: first bucket and number of those that a large bucket is dealt to. Rows for the buckets: packed super-k-mers, and the block's own removals."""
     docs.sort(key=lambda d: d[:2])
     vocabulary = Vocabulary()
     number = vocabulary.__getitem__
@@ -143,20 +159,28 @@ def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
     at = ragged_positions(doc_at, windows)
     doc = np.repeat(np.arange(len(docs)), windows)
     start = at - doc_at[doc]
-    first = _first_of_equal(ids, _rolling(hashes, width)[at], at, width)
+    whole = _rolling(hashes, width)[at]
+    first = _first_of_equal(ids, whole, at, width)
     # The same place of a repeated id isn't earlier; its row goes to the bucket like the first.
     gone = (first != np.arange(len(first))) & ~((doc_ids[doc] == doc_ids[doc[first]]) & (start == start[first]))
 
-    gram = min(GRAM, width)
-    least = _sliding_min(_rolling(hashes, gram), width - gram + 1)[at]
+    least = _least_grams(hashes, width)[at]
+    bucket = _home(least, n_buckets)
+    if parts:
+        spare = np.zeros(n_buckets, np.int64), np.ones(n_buckets, np.int64)
+        for b, (base, k) in parts.items():
+            spare[0][b], spare[1][b] = base, k
+        dealt = np.flatnonzero(spare[1][bucket] > 1)
+        home = bucket[dealt]
+        bucket[dealt] = spare[0][home] + ((whole[dealt] >> np.uint64(16)) % spare[1][home].astype(np.uint64)).astype(np.int64)
     breaks = np.ones(len(at), bool)
     breaks[1:] = doc[1:] != doc[:-1]
     first_gone, n_gone = _runs(gone, breaks)
-    breaks[1:] |= least[1:] != least[:-1]
+    breaks[1:] |= (least[1:] != least[:-1]) | (bucket[1:] != bucket[:-1])
     s, c = _runs(~gone, breaks)
-    bucket = (least[s] >> np.uint64(16)) % np.uint64(n_buckets)
+    bucket = bucket[s]
 
-    del first, gone, least, breaks, hashes
+    del first, gone, least, breaks, hashes, whole
     joined = b" ".join([w for _, _, words in docs for w in words])
     length = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))[ids]
     end_byte = np.cumsum(length + 1) - 1
@@ -184,7 +208,39 @@ def _block(docs: list, n_buckets: int, width: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ROWS], schema=ROWS)
 
 
-def _super_kmers(n_buckets: int, width: int, block_words: int):
+def _counts(n_buckets: int, width: int):
+    """Windows of each bucket in the texts of a partition; equal windows of one text count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_buckets, np.int64)
+        for batch in in_slices(batches):
+            for text in as_bytes(batch.column(0)):
+                words = text.split() if text else []
+                if len(words) >= width:
+                    vocabulary = Vocabulary()
+                    ids = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+                    hashes = _word_hashes(vocabulary)[ids]
+                    _, once = np.unique(_rolling(hashes, width), return_index=True)
+                    total += np.bincount(_home(_least_grams(hashes, width)[once], n_buckets), minlength=n_buckets)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["bucket", "n"])
+
+    return run
+
+
+def large_buckets(keys: DataFrame, n_buckets: int, n_chars: int, width: int, windows: int = BUCKET_WINDOWS) -> dict[int, tuple[int, int]]:
+    """bucket -> (first, number) of the buckets it is dealt to, beyond ``n_buckets``; about ``windows`` in each."""
+    of = COUNTED if n_chars > COUNT_ALL else 1
+    part = keys.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(of)) == 0) if of > 1 else keys
+    counts = part.select("text").mapInArrow(_counts(n_buckets, width), "bucket long, n long").groupBy("bucket").agg((F.sum("n") * of).alias("n"))
+    out, base = {}, n_buckets
+    for r in counts.where(F.col("n") >= HOT * windows).orderBy("bucket").collect():
+        out[r.bucket] = (base, -(-r.n // windows))
+        base += out[r.bucket][1]
+    return out
+
+
+def _super_kmers(n_buckets: int, width: int, block_words: int, parts: dict[int, tuple[int, int]] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
         for batch in in_slices(batches):
@@ -194,10 +250,10 @@ def _super_kmers(n_buckets: int, width: int, block_words: int):
                     docs.append((_LAST if doc_id is None else doc_id, text_hash, words))
                     held += len(words)
                 if held >= block_words:
-                    yield _block(docs, n_buckets, width)
+                    yield _block(docs, n_buckets, width, parts)
                     docs, held = [], 0
         if docs:
-            yield _block(docs, n_buckets, width)
+            yield _block(docs, n_buckets, width, parts)
 
     return run
 
@@ -270,13 +326,16 @@ def _cleaned(width: int, text_at: int, gone_at: int, schema: pa.Schema):
     return run
 
 
-def n_buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+def n_chars_of(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.length(text_col))).head()[0] or 0
+
+
+def n_buckets_for(n_chars: int) -> int:
     """Buckets in proportion to the characters of the corpus."""
-    total = docs.agg(F.sum(F.length(text_col))).head()[0] or 0
-    return max(16, math.ceil(total / BUCKET_CHARS))
+    return max(16, math.ceil(n_chars / BUCKET_CHARS))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, n_buckets: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, n_buckets: int | None = None, block_words: int = BLOCK_WORDS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without the words that repeat, plus n_words, n_removed (long) and kept_sha256.
 
     A word goes if a window of ``window`` words over it also starts earlier: under a smaller id, or earlier in the same
@@ -290,12 +349,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     added = ("n_words", "n_removed", "kept_sha256")
     docs = docs.drop(*added)
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    n_buckets = n_buckets or n_buckets_for(docs, text_col)
-    rows = keys.mapInArrow(_super_kmers(n_buckets, window, block_words), "bucket long, payload binary")
-    rows = rows.repartition(min(n_buckets, MOST_TASKS), "bucket")
+    n_chars = n_chars_of(docs, text_col)
+    n_buckets = n_buckets or n_buckets_for(n_chars)
+    parts = large_buckets(keys, n_buckets, n_chars, window, bucket_windows)
+    rows = keys.mapInArrow(_super_kmers(n_buckets, window, block_words, parts), "bucket long, payload binary")
+    rows = rows.repartition(min(n_buckets + sum(k for _, k in parts.values()), MOST_TASKS), "bucket")
     gone = rows.groupBy("bucket").applyInPandas(_bucket(window), GONE)
     gone = gone.groupBy(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    gone = gone.agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
+    gone = gone.agg(F.collect_set(F.struct("start", "n")).alias("_gone"))
     named = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.hash(text_col)})
     joined = named.join(gone.hint("shuffle_hash"), F.col("_row_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_hash") == F.col("_gone_hash")), "left")
     joined = joined.select(*docs.columns, "_gone")

@@ -67,3 +67,29 @@ def test_whole_table(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(rows, block_words=20_000).collect()}
     assert got == {i: w[:3] for i, w in want.items()}
     assert any(w[1] for w in want.values())
+
+
+def test_a_frequent_line_is_dealt_to_many_buckets(spark):
+    """Different windows around one line: no bucket holds more than a few times its share, and the results stay exact."""
+    rng = random.Random(5)
+    line = "this text may be copied by all who read it here"
+    docs = []
+    for i in range(300):
+        before, after = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(2))
+        docs.append((i, f"{before} {line} {after}"))
+    docs += [(300 + i, docs[i][1]) for i in range(0, 60, 3)] + [(None, docs[7][1])] * 3
+    check(spark, docs[:-2], n_buckets=40, block_words=500, bucket_windows=300)
+    keys = spark.createDataFrame([(i, 0, t) for i, t in docs[:300]], "doc_id long, text_hash int, text string").repartition(3)
+    parts = substring.large_buckets(keys, 40, 10_000, 20, 300)
+    sizes = {}
+    for r in keys.mapInArrow(substring._super_kmers(40, 20, 500, parts), "bucket long, payload binary").collect():
+        packed = substring._unpacked(r.payload)
+        if len(packed) == 5:
+            sizes[r.bucket] = sizes.get(r.bucket, 0) + int(np.frombuffer(packed[3], np.int32).sum())
+    windows = sum(len(t.split()) - 19 for _, t in docs[:300])
+    assert sum(sizes.values()) == windows and windows > 40 * 300 and parts
+    assert max(sizes.values()) < 2 * 2 * 300
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r for r in substring.dedup_substrings(frame, n_buckets=40, bucket_windows=300).collect() if r.doc_id is None]
+    assert [(r.n_removed, r.text) for r in got] == [(71, "")] * 3
