@@ -73,3 +73,38 @@ def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str
     b = large.select(large_id, F.explode("shingles").alias("shingle"))
     shared = a.join(b, "shingle").groupBy(small_id, large_id).agg(F.count("*").alias("shared"))
     return shared.join(of, small_id).where(F.col("shared") >= least * F.col("of")).select(small_id, large_id, "shared", F.col("of").cast("bigint"))
+
+
+def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
+    """(rep, s): each distinct set of n-word shingles once, with the least id that has it. Null ids and shorter texts take no part.
+
+    Words hold no white space, so the joined, sorted shingles say the set; its digest is what rows are grouped by.
+    """
+    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sort_array(shingles(words, n)).alias("s")).where(F.size("s") > 0)
+    return sets.groupBy(F.sha2(F.array_join("s", "\n"), 256).alias("key")).agg(F.min("id").alias("rep"), F.first("s").alias("s")).select("rep", "s", "key")
+
+
+def shingle_members(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
+    """(id_col, rep): the class of each document that has shingles."""
+    reps = shingle_classes(docs, id_col, words, n).select("rep", "key")
+    keyed = docs.select(id_col, F.sort_array(shingles(words, n)).alias("s")).where(F.size("s") > 0)
+    return keyed.select(id_col, F.sha2(F.array_join("s", "\n"), 256).alias("key")).where(F.col(id_col).isNotNull()).join(reps, "key").select(id_col, "rep")
+
+
+def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared, together): pairs a < b of shingle_classes() with Jaccard similarity of ``percent`` in 100 or more.
+
+    Prefix filter: in a common order (rare first), similar sets share a shingle among the first of each, so only those
+    are joined; candidates are then checked on whole sets. Sizes are compared in whole numbers.
+    """
+    items = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
+    rare = items.groupBy("g").agg(F.count("*").alias("f"))
+    ranked = items.join(rare, "g").withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("f", "g")))
+    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).select(F.col("rep").alias("a"), "g", "n")
+    other = prefix.select(F.col("a").alias("b"), "g", F.col("n").alias("m"))
+    near = (F.col("a") < F.col("b")) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))
+    pairs = prefix.join(other, "g").where(near).select("a", "b").distinct()
+    x, y = classes.select(F.col("rep").alias("a"), F.col("s").alias("x")), classes.select(F.col("rep").alias("b"), F.col("s").alias("y"))
+    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
+    checked = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("together"))
+    return checked.where(F.col("shared") * 100 >= percent * F.col("together"))

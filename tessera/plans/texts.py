@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import values as V
-from tessera.operators.matching import containment, shingles
+from tessera.operators.matching import containment, jaccard_pairs, shingle_classes, shingle_members, shingles
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -106,6 +106,17 @@ def tx_jaccard_pairs(spark, d):
     return checked.where(F.col("shared") >= 0.8 * F.col("together"))
 
 
+@query("tx_jaccard_all")
+def tx_jaccard_all(spark, d):
+    """Pairs over the documents of all sources, one document for each set of shingles; tx_jaccard_members has the others."""
+    return jaccard_pairs(shingle_classes(table(spark, d, "documents"), "doc_id", X.words(F.col("text")), 5), 80)
+
+
+@query("tx_jaccard_members")
+def tx_jaccard_members(spark, d):
+    return shingle_members(table(spark, d, "documents"), "doc_id", X.words(F.col("text")), 5)
+
+
 @query("ma_units", """
 SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_retailprice * 1000.0 WHEN 1 THEN p_retailprice * 1.0 WHEN 2 THEN p_retailprice * 0.45359237 WHEN 3 THEN p_retailprice * 0.0311034768 END AS kg FROM part""")
 def ma_units(spark, d):

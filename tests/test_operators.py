@@ -93,3 +93,31 @@ def test_merging_sink(spark, tmp_path):
     sink(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, rank int, status string"), 0)
     sink(spark.createDataFrame([(1, 9, "c"), (2, 1, "d")], "k int, rank int, status string"), 1)
     assert rows(spark.read.parquet(str(tmp_path / "v1")), "k", "rank", "status") == [(1, 9, "b"), (2, 1, "d")]
+
+
+def test_jaccard_pairs_over_all_sources(spark):
+    import random
+
+    from tessera.functions import text as X
+    from tessera.operators import matching
+    from tessera.plans import catalogue
+
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(3, 60))]
+        near = [*words[:-1], "other"]
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, " ".join(words)), (4 * i + 2, " ".join(near)), (4 * i + 3, " ".join(words[: rng.randint(1, len(words))]))]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (999, None)], "doc_id long, text string")
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(sets[i], i)
+    own = {i: rep[s] for i, s in sets.items() if s}
+    reps = sorted(set(own.values()))
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])}
+    words = X.words(docs.text)
+    got = [(r.a, r.b, r.shared, r.together) for r in matching.jaccard_pairs(matching.shingle_classes(docs, "doc_id", words, 5), 80).collect()]
+    assert len(want) > 20 and len(got) == len(want) and set(got) == want
+    assert {(r.doc_id, r.rep) for r in matching.shingle_members(docs, "doc_id", words, 5).collect()} == set(own.items())
+    sources = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()}
+    assert any(sources[r.a] != sources[r.b] for r in catalogue.QUERIES["tx_jaccard_all"](spark, "/root/testdata/sf0.01").collect())
