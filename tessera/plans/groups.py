@@ -71,6 +71,12 @@ def ag_gapfill_month(spark, d):
     return _gap(spark, d, "orders", "o_orderdate", "month", "o_custkey % 50 = 7")
 
 
+@query("ag_gapfill_month_all", _gap_sql("orders", "o_orderdate", "month", "true"))
+def ag_gapfill_month_all(spark, d):
+    """All orders; ag_gapfill_month counts one in fifty customers."""
+    return _gap(spark, d, "orders", "o_orderdate", "month", "true")
+
+
 @query("ag_eav_pivot", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_quantity) AS quantity, max(l_discount) AS discount, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2, 3, 4""")
 def ag_eav_pivot(spark, d):

@@ -121,3 +121,16 @@ def test_jaccard_pairs_over_all_sources(spark):
     assert {(r.doc_id, r.rep) for r in matching.shingle_members(docs, "doc_id", words, 5).collect()} == set(own.items())
     sources = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()}
     assert any(sources[r.a] != sources[r.b] for r in catalogue.QUERIES["tx_jaccard_all"](spark, "/root/testdata/sf0.01").collect())
+
+
+def test_months_of_all_orders(spark, tmp_path):
+    """Every order counts, and months without orders are there with zero."""
+    from tessera.plans import catalogue
+
+    days = ["2023-11-30", "2023-12-01", "2023-12-31", "2024-03-01"]
+    rows = spark.createDataFrame([(i, i, day) for i, day in enumerate(days)], "o_orderkey long, o_custkey long, o_orderdate string")
+    rows.selectExpr("o_orderkey", "o_custkey", "cast(o_orderdate as timestamp_ntz) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(catalogue.QUERIES["ag_gapfill_month_all"](spark, str(tmp_path)).collect(), key=lambda r: r.bucket)
+    assert [r.n for r in got] == [1, 2, 0, 0, 1]
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    assert sum(r.n for r in catalogue.QUERIES["ag_gapfill_month_all"](spark, "/root/testdata/sf0.01").collect()) == orders
