@@ -26,16 +26,28 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def free_name(rows: DataFrame, base: str) -> str:
+    """A column name that ``rows`` doesn't have (names don't differ by case alone)."""
+    taken = {c.lower() for c in rows.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _own_folder: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made and kept for the session.
+    Where the setting is absent a temporary folder is made and kept for the session, on one machine only (a local master):
+    executors of a cluster would each write to their own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = _own_folder[0]

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, WORD
+from tessera.llm.common import SPACE, WORD, free_name
 
 SYMBOLS = "#*$%&|<>"
 #: Line rules. A line of MANY words or more needs a sentence mark; symbols or exclamation marks may reach 3 in 10 words.
-MANY, FEW = 5, 6
-SENTENCE = "[.!?;:]"
+#: A longer line than LONG words is a paragraph: one phrase of boilerplate in it is no reason to drop it whole.
+MANY, FEW, LONG = 5, 6, 30
+SENTENCE = "[.!?;:…。！？；：।॥؟؛۔။།።]"
 SEPARATORS = "|>»›•"
 NAVIGATION = r"(?i)\b(home|menu|log ?in|sign ?up|sign ?in|next page|previous page|read more|skip to content|back to top|site ?map|subscribe)\b"
 BOILERPLATE = r"(?i)all rights reserved|licensed under|terms of (service|use)|privacy policy|use of cookies|javascript (is|must be)|copyright \(c\)|©|click here|lorem ipsum"
@@ -45,23 +46,23 @@ def line_fails(line: Column) -> Column:
         noisy = (_count(line, SYMBOLS) * 10 > n * 3) | ((n >= MANY) & (_count(line, "!") * 10 > n * 3))
         bars = _count(line, SEPARATORS)
         menu = ((bars >= 3) & (bars * 4 >= n)) | ((n <= FEW) & line.rlike(NAVIGATION))
-        return F.when(n == 0, None).when(few_marks | noisy, "punctuation").when(menu, "navigation").when(line.rlike(BOILERPLATE), "boilerplate")
+        return F.when(n == 0, None).when(few_marks | noisy, "punctuation").when(menu, "navigation").when((n <= LONG) & line.rlike(BOILERPLATE), "boilerplate")
 
     return _let(_n_words(line), judged)
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: sort window hashes with their places, keep those whose
-    neighbour is equal (hash and words), and add up what each place covers."""
+    """Words inside 3-word windows that occur twice or more.
+
+    Most texts have no window twice, which their hashes show. Otherwise windows with their places are sorted by (hash, words,
+    place), those whose neighbour holds the same words are kept, and what each place covers is added up."""
 
     def gram(i: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(3)]).alias("h"), i.alias("i"))
+        three = [F.get(words, i + k) for k in range(3)]
+        return F.struct(F.xxhash64(*three).alias("h"), *[w.alias(f"w{k}") for k, w in enumerate(three)], i.alias("i"))
 
     def same(a: Column, b: Column) -> Column:
-        words_equal = F.get(words, a.i) == F.get(words, b.i)
-        for k in (1, 2):
-            words_equal &= F.get(words, a.i + k) == F.get(words, b.i + k)
-        return F.coalesce((a.h == b.h) & words_equal, F.lit(False))
+        return F.coalesce((a.h == b.h) & (a.w0 == b.w0) & (a.w1 == b.w1) & (a.w2 == b.w2), F.lit(False))
 
     def repeated(grams: Column) -> Column:
         return F.filter(grams, lambda g, k: same(g, F.get(grams, k + 1)) | same(g, F.when(k > 0, F.get(grams, k - 1))))
@@ -70,15 +71,20 @@ def _repeat_words(words: Column) -> Column:
         step = F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3))))
         return F.aggregate(step, F.lit(0), lambda a, x: a + x)
 
-    grams = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), gram))
-    return F.when(F.size(words) >= 3, _let(grams, lambda g: _let(F.array_sort(F.transform(repeated(g), lambda x: x.i)), covered))).otherwise(0)
+    def counted(hashes: Column) -> Column:
+        grams = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), gram))
+        places = _let(grams, lambda g: _let(F.array_sort(F.transform(repeated(g), lambda x: x.i)), covered))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(places)
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]))
+    return F.when(F.size(words) >= 3, _let(hashes, counted)).otherwise(0)
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the cleaned text and the measures of the whole original text.
 
     Added or replaced: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words (long), base_failed,
-    kept (boolean). ``text_col`` loses its failing lines. A null text has no words: all measures 0, base_failed, not kept,
+    kept (boolean); a caller with columns of these names renames them before. ``text_col`` loses its failing lines. A null text has no words: all measures 0, base_failed, not kept,
     text null. Repeated rows and null ids are judged like any others; other columns pass through. Empty in, empty out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -99,22 +105,23 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(dup.alias("n_dup_lines"), _let(failed, split).alias("split"))
 
     words = F.array_remove(F.split(text, SPACE), "")
+    w, l = free_name(docs, "w"), free_name(docs, "l")
     found = docs.withColumns({
-        "_w": _let(words, measures),
-        "_l": _let(F.split(text, "\n"), line_measures),
+        w: _let(words, measures),
+        l: _let(F.split(text, "\n"), line_measures),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": _count(text, SYMBOLS).cast("long"),
     })
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     found = found.withColumns({
-        "n_words": F.col("_w.n_words").cast("long"),
-        "n_repeat_words": F.col("_w.n_repeat_words").cast("long"),
-        "n_dup_lines": F.col("_l.n_dup_lines").cast("long"),
-        "n_lost_words": F.col("_l.split.n_lost_words").cast("long"),
-        text_col: F.when(F.col(text_col).isNotNull(), F.col("_l.split.cleaned")),
+        "n_words": F.col(w)["n_words"].cast("long"),
+        "n_repeat_words": F.col(w)["n_repeat_words"].cast("long"),
+        "n_dup_lines": F.col(l)["n_dup_lines"].cast("long"),
+        "n_lost_words": F.col(l)["split"]["n_lost_words"].cast("long"),
+        text_col: F.when(F.col(text_col).isNotNull(), F.col(l)["split"]["cleaned"]),
     })
     found = found.withColumn("base_failed", base)
-    return found.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= MOST_LOST * F.col("n_words"))).drop("_w", "_l")
+    return found.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= MOST_LOST * F.col("n_words"))).drop(w, l)
 
 
 _NAV_SQL, _BOILER_SQL = NAVIGATION.replace("'", "''"), BOILERPLATE.replace("'", "''")
@@ -129,7 +136,7 @@ counted AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}')) AS n,
     length(line) - length(translate(line, '!', '')) AS bangs,
     length(line) - length(translate(line, '{SEPARATORS}', '')) AS bars FROM lines),
 judged AS (SELECT doc_id, line, n, n > 0 AND ((n >= {MANY} AND NOT regexp_matches(line, '{SENTENCE}')) OR symbols * 10 > n * 3 OR (n >= {MANY} AND bangs * 10 > n * 3)
-    OR (bars >= 3 AND bars * 4 >= n) OR (n <= {FEW} AND regexp_matches(line, '{_NAV_SQL}')) OR regexp_matches(line, '{_BOILER_SQL}')) AS fails FROM counted),
+    OR (bars >= 3 AND bars * 4 >= n) OR (n <= {FEW} AND regexp_matches(line, '{_NAV_SQL}')) OR (n <= {LONG} AND regexp_matches(line, '{_BOILER_SQL}'))) AS fails FROM counted),
 per_line AS (SELECT doc_id, count(line) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS dup, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY doc_id),
 measured AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,

@@ -20,7 +20,7 @@ def brute(text):
         noisy = sum(c in quality.SYMBOLS for c in line) * 10 > 3 * n or n >= quality.MANY and line.count("!") * 10 > 3 * n
         bars = sum(c in quality.SEPARATORS for c in line)
         menu = bars >= 3 and bars * 4 >= n or n <= quality.FEW and re.search(quality.NAVIGATION, line)
-        if n and (few or noisy or menu or re.search(quality.BOILERPLATE, line)):
+        if n and (few or noisy or menu or n <= quality.LONG and re.search(quality.BOILERPLATE, line)):
             lost += n
         else:
             kept_lines.append(line)
@@ -34,7 +34,9 @@ CASES = [
     "\n".join(f"Line {i} has some words in it, éß." for i in range(20)),
     "\n".join(["Home | About | News | Contact | More"] * 3 + [f"A real sentence number {i} with twelve words to read on here." for i in range(12)]),
     "Licensed under the X License.\n" + " ".join(f"w{i}" for i in range(80)) + ".\n\n",
-    " ".join(f"w{i}$$$ v{i}&&&" for i in range(60)), " a b \x0b c\x0cd\re",
+    " ".join(f"w{i} goes on." for i in range(40)) + " See the privacy policy. " + " ".join(f"v{i} too." for i in range(40)),
+    "\n".join(f"यह वाक्य {i} यहाँ समाप्त होता है।" for i in range(20)), "\n".join(f"هل هذه الجملة {i} تنتهي هنا الآن؟" for i in range(20)),
+    "a b a b a b c d " + " ".join(f"u{i}." for i in range(60)), "\n".join(["Read our privacy policy. Click here!"] * 5), " ".join(f"w{i}$$$ v{i}&&&" for i in range(60)), " a b \x0b c\x0cd\re",
 ]
 
 
