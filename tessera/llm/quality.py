@@ -43,9 +43,10 @@ def line_fails(line: Column) -> Column:
 
     def judged(n: Column) -> Column:
         few_marks = (n >= MANY) & ~line.rlike(SENTENCE)
-        noisy = (_count(line, SYMBOLS) * 10 > n * 3) | ((n >= MANY) & (_count(line, "!") * 10 > n * 3))
-        bars = _count(line, SEPARATORS)
-        menu = ((bars >= 3) & (bars * 4 >= n)) | ((n <= FEW) & line.rlike(NAVIGATION))
+        marked = line.rlike(f"[{SYMBOLS}!{SEPARATORS}]")  # most lines need no counts
+        noisy = marked & ((_count(line, SYMBOLS) * 10 > n * 3) | ((n >= MANY) & (_count(line, "!") * 10 > n * 3)))
+        bars = marked & _let(_count(line, SEPARATORS), lambda k: (k >= 3) & (k * 4 >= n))
+        menu = bars | ((n <= FEW) & line.rlike(NAVIGATION))
         return F.when(n == 0, None).when(few_marks | noisy, "punctuation").when(menu, "navigation").when((n <= LONG) & line.rlike(BOILERPLATE), "boilerplate")
 
     return _let(_n_words(line), judged)
