@@ -1,5 +1,7 @@
+import math
+
 import numpy as np
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann
@@ -15,11 +17,12 @@ def exact(ids, x, k):
     return out
 
 
-def test_recall_on_the_table(spark):
+@pytest.mark.parametrize("block", [ann.BLOCK, 700, 250])
+def test_recall_on_the_table(spark, block):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = table.toPandas()
     want = exact(pdf.vec_id.to_numpy(), np.array(pdf.embedding.tolist(), float), 20)
-    got = ann.nearest(table, F.col("vec_id") % 20 == 0, block=700, query_block=60).toPandas()
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0, block=block).toPandas()
     assert set(got.query_id) == set(want)
     hit = 0
     for i, g in got.sort_values("rank").groupby("query_id"):
@@ -31,6 +34,11 @@ def test_recall_on_the_table(spark):
     assert hit / (20 * len(want)) >= 0.95
 
 
+def search(ids, x, queries, q, k=20):
+    top = float(ann.log2_norms(x).max())
+    return {i: (f, s) for i, f, s, _ in ann.Block(ids, x, top, k).search(queries, q, np.full(len(q), -math.inf))}
+
+
 def test_norms_differ_and_copies_tie():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 16)) * rng.gamma(2, 1, (3000, 1))
@@ -38,18 +46,57 @@ def test_norms_differ_and_copies_tie():
     ids = np.arange(3000)
     want = exact(ids, x, 20)
     queries = np.array(sorted(want))
-    norm2 = float((x * x).sum(axis=1).max())
     hit = 0
-    for i, found, score in ann.search_block(ids, x, queries, x[queries], 20, norm2):
+    for i, (found, _) in search(ids, x, queries, x[queries]).items():
         hit += len({*found.tolist()} & {j for j, _ in want[i]})
         assert i not in found
     assert hit / (20 * len(queries)) >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1.0])
+def test_any_magnitude_ends(scale):
+    """Products of 1e200 overflow to one infinite score, of 1e-200 vanish; the search ends and finds what brute force finds."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 8))
+    x[::3] *= scale
+    ids = np.arange(400)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        want = exact(ids, x, 5)
+    got = search(ids, x, np.array(sorted(want)), x[::20], 5)
+    assert set(got) == set(want)
+    same = [np.array_equal(got[i][1], [s for _, s in want[i]]) for i in want if np.isfinite([s for _, s in want[i]]).all()]
+    assert np.mean(same) >= 0.8
+    assert all(np.isinf(got[i][1]).sum() >= min(3, np.isinf([s for _, s in want[i]]).sum()) for i in want)
+
+
+def test_huge_and_tiny_rows_in_spark(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 4))
+    x[5], x[40] = [1e200, 1.0, 0.0, 0.0], [1e-200, 0.0, 0.0, 0.0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0] * 9), (1020, [2.0] * 9)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    by_query = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by_query) == set(range(0, 300, 20)) and all(len(v) == 3 for v in by_query.values())
+    assert by_query[40][0] == 5 and by_query[0][0] == (5 if x[0][0] > 0 else by_query[0][0])
+
+
+def test_repeated_ids_are_the_same_from_run_to_run(spark):
+    rows = [(i % 50, [float(i % 7), float(i % 11), 1.0]) for i in range(1000)]
+    first, again = (ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n), F.col("vec_id") % 20 == 0, k=4).collect() for n in (3, 8))
+    assert sorted(first) == sorted(again) and len(first) == 12
+    least = {}
+    for i, v in rows:
+        least[i] = min(least.get(i, v), v)
+    assert all(r.score == sum(a * b for a, b in zip(least[r.query_id], least[r.vec_id], strict=True)) for r in first)
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, []), (40, [0.0, 0.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, []), (40, [0.0, 0.0]), (9, [1.0, 2.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "id": F.lit(1), "v": F.lit(1), "query": F.lit(1)})
     got = ann.nearest(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 0.0)]
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    assert ann.nearest(table, F.lit(False)).collect() == []
