@@ -4,9 +4,9 @@ The lexicon comes from labelled texts: words, and stems that go on, which are fa
 ones, weighted by log odds. Its words stand in a trie. The product of the trie with the Levenshtein automata (one edit,
 for terms of FUZZY letters or more) is determinised state by state as words ask for it, so a word is looked up in one
 transition a letter, and most words die after a few. The query's automaton is ``loose``: edits reach stems and words of
-four letters too, swapped letters are one edit, and digits or signs inside a word don't cut it. Each hit is scored with the words around it: quotation marks or
-words of reporting lower it, direct address raises it. A logistic score over the hits of the whole text is fitted on
-the labelled sample.
+four letters too, swapped letters are one edit, and digits or signs inside a word don't cut it. Each hit is scored with the words around it:
+quotation, words of reporting and direct address each multiply it by a factor. The factors, and a logistic score over the
+hits of the whole text, are fitted on the labelled sample.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_sample, written
 
-#: Bound of the learning sample: labelled texts of each class. Bound of the lexicon.
-SAMPLE, TERMS = 6000, 400
+#: Bound of the learning sample: labelled texts of each class. It bounds the lexicon too.
+SAMPLE = 6000
 #: A term needs LEAST toxic texts and, at two deviations less, LIFT times its share among clean ones. Stems have STEM
 #: letters at least, and one longer term may not make up ALONE of a stem's texts.
 LEAST, LIFT, STEM, ALONE = 5, 8.0, 3, 0.85
@@ -34,13 +34,18 @@ FUZZY, FUZZY_SHARE = 5, 0.6
 #: Loose only: words of SHORT letters match with one edit where the first letter stays and none is lost, at a lower share.
 SHORT, SHORT_SHARE = 4, 0.3
 WINDOW = 4
-QUOTED, REPORTED, ADDRESSED = 0.3, 0.6, 1.25
+#: What a hit inside quotation marks, near a word of reporting, near a word of address is multiplied by, before the sample
+#: says otherwise; the factors it may choose; and what a factor away from the first costs, in log likelihood a squared log.
+CONTEXT = (0.3, 0.6, 1.25)
+FACTORS, PRIOR = (0.03, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0, 1.25, 1.6, 2.0), 1.0
+QUOTED, REPORTED, ADDRESSED = 1, 2, 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words joined by digits or signs inside: one token to a loose automaton. SPLIT_WORD is the same for Spark.
 JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\d@$!*+#._'’-]{1,2}[^\W\d_]++)+")
 SPLIT_WORD = r"\p{L}++(?:[\p{Nd}@$!*+#._'’-]{1,2}\p{L}++)+"
-#: Quotation marks, words of reporting, and words of direct address.
-MARKS = frozenset("\"“”„«»‘’")
+#: Quotation marks (single ones only where no apostrophe can stand), words of reporting, and words of direct address.
+OPENING = re.compile(r"[\"“”„«»]|(?<!\w)['‘’](?=\w)")
+CLOSING = re.compile(r"[\"“”„«»]|(?<=[\w.,!?])['‘’](?!\w)")
 REPORTING = frozenset("said says called wrote word term quote quoted dit écrit mot sagte nannte wort dijo llamó palabra".split())
 ADDRESS = frozenset("you your you're u tu toi vous ton votre du dich dir ihr euch tú usted vosotros eres".split())
 
@@ -138,8 +143,14 @@ class Automaton:
         return None
 
 
-def hits(text: str, automaton: Automaton, memory: dict) -> list[tuple[str, str, int, int, float]]:
-    """(term, word, position of the word, edits, score) of each match in the whole text."""
+def factor(context: int, factors: tuple) -> float:
+    """Product of the factors of what holds: QUOTED, else REPORTED, and ADDRESSED."""
+    quoted, reported, addressed = factors
+    return (quoted if context & QUOTED else reported if context & REPORTED else 1.0) * (addressed if context & ADDRESSED else 1.0)
+
+
+def hits(text: str, automaton: Automaton, memory: dict, factors: tuple = CONTEXT) -> list[tuple[str, str, int, int, float, int]]:
+    """(term, word, position of the word, edits, score, context) of each match in the whole text."""
     lowered = text.lower()
     words = LETTERS.findall(lowered)
 
@@ -169,22 +180,41 @@ def hits(text: str, automaton: Automaton, memory: dict) -> list[tuple[str, str,
     for i, j, w, (term, edits) in found:
         score = automaton.terms[term] * ((FUZZY_SHARE if len(term) >= FUZZY else SHORT_SHARE) if edits else 1.0)
         x, y = at[i][0], at[j][1]
-        before, after = lowered[max(0, at[max(0, i - WINDOW)][0]) : x], lowered[y : at[min(len(at) - 1, j + WINDOW)][1]]
+        first, last = at[i - WINDOW][0] if i >= WINDOW else 0, at[j + WINDOW][1] if j + WINDOW < len(at) else len(lowered)
         around = set(words[max(0, i - WINDOW) : i] + words[j + 1 : j + 1 + WINDOW])
-        if (MARKS & set(before)) and (MARKS & set(after)):
-            score *= QUOTED
-        elif around & REPORTING:
-            score *= REPORTED
-        if around & ADDRESS:
-            score *= ADDRESSED
-        out.append((term, w, i, edits, score))
+        quoted = OPENING.search(lowered, max(0, first - 1), x + 1) and CLOSING.search(lowered, y, last + 1)
+        context = QUOTED * bool(quoted) + REPORTED * bool(around & REPORTING) + ADDRESSED * bool(around & ADDRESS)
+        out.append((term, w, i, edits, score * factor(context, factors), context))
     return out
 
 
-def _summary(found: list, n_words: int) -> list[float]:
-    scores = [h[4] for h in found]
-    total = sum(scores)
-    return [math.log1p(total), max(scores, default=0.0), len({h[0] for h in found}) ** 0.5, math.log1p(100 * total / (n_words + 30)), float(bool(found))]
+def summaries(row: np.ndarray, term: np.ndarray, plain: np.ndarray, times: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Features of texts from their hits (row of the text, number of the term, score without context, factor of context).
+
+    Sum and largest of the scores, terms found, scores a word, and whether anything was found; the third and the last count a
+    hit by its factor, at most once.
+    """
+    n, score, share = len(n_words), plain * times, np.minimum(times, 1.0)
+    total = np.bincount(row, score, n)
+    most, some = np.zeros(n), np.zeros(n)
+    np.maximum.at(most, row, score)
+    np.maximum.at(some, row, share)
+    key, of = np.unique(row * (term.max(initial=0) + 1) + term, return_inverse=True)
+    each = np.zeros(len(key))
+    np.maximum.at(each, of, share)
+    terms = np.bincount(key // (term.max(initial=0) + 1), each, n)
+    return np.stack([np.log1p(total), most, np.sqrt(terms), np.log1p(100 * total / (n_words + 30)), some], axis=1)
+
+
+def _arrays(found: list[list], numbers: dict[str, int], factors: tuple) -> tuple[np.ndarray, ...]:
+    """(row, term, plain score, context) of the hits of many texts."""
+    flat = [(r, numbers[h[0]], h[4] / factor(h[5], factors), h[5]) for r, hs in enumerate(found) for h in hs]
+    row, term, plain, context = zip(*flat, strict=True) if flat else ((), (), (), ())
+    return np.array(row, np.int64), np.array(term, np.int64), np.array(plain, float), np.array(context, np.int64)
+
+
+def _times(context: np.ndarray, factors: tuple) -> np.ndarray:
+    return np.array([factor(c, factors) for c in range(8)])[context]
 
 
 @dataclass
@@ -194,6 +224,7 @@ class Model:
     scale: np.ndarray
     weight: np.ndarray
     bias: float
+    factors: tuple = CONTEXT
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) / self.scale) @ self.weight + self.bias
@@ -212,39 +243,75 @@ def _automaton(terms: dict[str, float]) -> tuple[Automaton, dict]:
     return _automata[key]
 
 
-def lexicon(texts: DataFrame, terms: int = TERMS) -> dict[str, float]:
+def _shared(a: Column, b: Column) -> Column:
+    """Letters that two strings begin with alike, by halving steps; 0 if one is null."""
+    least = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << j) for j in range(30, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda k, s: F.when((s <= least - k) & (F.substring(a, F.lit(1), k + s) == F.substring(b, F.lit(1), k + s)), k + s).otherwise(k))
+    return F.when(a.isNull() | b.isNull(), 0).otherwise(found)
+
+
+def _stems(words: DataFrame) -> DataFrame:
+    """(term, stem) for distinct words and the shorter beginnings of STEM letters or more after which two words part.
+
+    Those are what neighbours in alphabetical order share. Words are dealt by their first letters.
+    """
+    by_start = Window.partitionBy("start")
+    nearby = words.withColumn("start", F.substring("term", 1, STEM)).withColumn("n", _shared(F.col("term"), F.lag("term").over(by_start.orderBy("term"))))
+    nearby = nearby.withColumn("longest", F.greatest("n", F.lead("n", 1, 0).over(by_start.orderBy("term"))))
+    lengths = nearby.where(F.col("n") >= STEM).groupBy("start").agg(F.collect_set("n").alias("lengths"))
+    own = nearby.join(lengths, "start").withColumn("k", F.explode(F.filter("lengths", lambda k: (k <= F.col("longest")) & (k < F.length("term")))))
+    own = own.select("term", F.substring("term", F.lit(1), F.col("k")).alias("stem"))
+    places = nearby.where(F.col("n") >= STEM).select(F.substring("term", F.lit(1), F.col("n")).alias("stem")).distinct()
+    return own.join(places, "stem", "left_semi").select("term", "stem")
+
+
+def lexicon(texts: DataFrame) -> dict[str, float]:
     """Words, and stems marked ``*`` that longer words start with, from rows (text, label): log odds of toxic texts.
 
-    Counts are of texts, gathered by Spark over all rows given; at most ``terms`` come to the driver. Words stay beside any
-    stem, so that they keep their own edits. Before the bound a stem goes if a word makes up ALONE of its texts, if a
-    longer stem has all of them, or if a shorter one of no less gain stays (words are never dropped for a stem).
+    Counts are of texts, gathered by Spark over all rows given; what is significant comes to the driver, all of it. Words
+    stay beside any stem, so that they keep their own edits. A stem goes if a word makes up ALONE of its texts, if a longer
+    stem has all of them, or if a shorter one of no less gain stays (words are never dropped for a stem).
     """
     n = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     if not n.get(1):
         return {}
-    extracted = [F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)) for pattern in (r"\p{L}+", SPLIT_WORD)]
-    words = texts.select("label", F.array_distinct(extracted[0]).alias("ws"), F.array_distinct(extracted[1]).alias("joined"))
-    stems = F.flatten(F.transform("ws", lambda w: F.transform(F.filter(F.sequence(F.lit(STEM), F.lit(12)), lambda k: k < F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("*")))))
-    both = words.select("label", F.explode(F.array_distinct(F.concat("ws", "joined", stems))).alias("term"))
-    counts = both.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    share = (F.col("c") + 1) / (n.get(0, 0) + 1)
-    surely = (F.col("t") - 2 * F.sqrt("t")) / n[1] / share
-    odds = F.log((F.col("t") / n[1]) / share)
-    best = counts.where((F.col("t") >= LEAST) & (surely >= LIFT)).select("term", "t", odds.alias("weight"), (F.col("t") * odds).alias("gain"))
-    best = best.withColumns({"is_stem": F.col("term").endswith("*"), "letters": F.rtrim("term", F.lit("*"))})
-
-    beginnings = F.transform(F.sequence(F.lit(STEM), F.greatest(F.lit(STEM), F.least(F.lit(12), F.length("letters")))), lambda k: F.substring("letters", F.lit(1), k))
-    longer = best.select("t", "is_stem", "letters", F.explode(beginnings).alias("start")).where(~F.col("is_stem") | (F.length("start") < F.length("letters")))
-    longer = longer.groupBy(F.concat("start", F.lit("*")).alias("term")).agg(F.max(F.when(~F.col("is_stem"), F.col("t"))).alias("in_word"), F.max(F.when(F.col("is_stem"), F.col("t"))).alias("in_stem"))
-    explained = F.col("is_stem") & (F.coalesce(F.col("in_word") >= ALONE * F.col("t"), F.lit(False)) | F.coalesce(F.col("in_stem") >= F.col("t"), F.lit(False)))
-    kept = best.join(longer, "term", "left").where(~explained).select(*best.columns)
-
-    inner = kept.where("is_stem").select("term", "letters", "gain", F.explode(beginnings).alias("start")).where(F.length("start") < F.length("letters"))
-    shorter = kept.where("is_stem").select(F.col("letters").alias("start"), F.col("gain").alias("gain_of_start"))
-    covered = inner.join(shorter, "start").where(F.col("gain_of_start") >= F.col("gain")).select("term").distinct()
-    kept = kept.join(covered, "term", "left_anti")
-    found = kept.orderBy(F.desc("gain"), "is_stem", F.desc(F.length("term")), "term").limit(terms).collect()
-    return {r.term: float(r.weight) for r in found}
+
+    def significant(t: Column, c: Column) -> Column:
+        return (t >= LEAST) & ((t - 2 * F.sqrt(t)) / n[1] >= LIFT * (c + 1) / (n.get(0, 0) + 1))
+
+    def best(counts: DataFrame) -> DataFrame:
+        odds = F.log(F.col("t") / n[1] / ((F.col("c") + 1) / (n.get(0, 0) + 1)))
+        return counts.where(significant(F.col("t"), F.col("c"))).select("term", "t", odds.alias("weight"))
+
+    sums = F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")
+    pure, joined = (F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)) for pattern in (r"\p{L}+", SPLIT_WORD))
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "label", pure.alias("ws"), joined.alias("joined"))
+    counts = numbered.select("label", F.explode(F.array_distinct(F.concat("ws", "joined"))).alias("term")).groupBy("term").agg(*sums)
+    counts = written(counts, "toxicity-words")
+    pairs = written(_stems(counts.where(F.col("term").rlike(r"^\p{L}+$"))), "toxicity-stems")
+    # A stem has at most the toxic texts of all its words, and at least the clean ones of any: few can be significant.
+    could = pairs.join(counts, "term").groupBy("stem").agg(F.sum("t").alias("t"), F.max("c").alias("c")).where(significant(F.col("t"), F.col("c"))).select("stem")
+    wanted = pairs.join(could, "stem")
+    uses = numbered.select("row", "label", F.explode(F.array_distinct("ws")).alias("term")).join(wanted, "term").select("row", "label", "stem").distinct()
+    stems = uses.groupBy(F.concat("stem", F.lit("*")).alias("term")).agg(*sums)
+    return _without_repeats({r.term: (r.t, float(r.weight)) for r in best(counts).union(best(stems)).collect()})
+
+
+def _without_repeats(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """term -> (texts, weight) to term -> weight, without stems that add nothing."""
+    stems = {t[:-1]: v for t, v in found.items() if t.endswith("*")}
+    lengths = sorted({len(s) for s in stems})
+    in_word, in_stem = dict.fromkeys(stems, 0), dict.fromkeys(stems, 0)
+    for term, (texts, _) in found.items():
+        letters, kept = term.rstrip("*"), in_stem if term.endswith("*") else in_word
+        for k in lengths:
+            start = letters[:k]
+            if k <= len(letters) and start in stems and (kept is in_word or k < len(letters)):
+                kept[start] = max(kept[start], texts)
+    left = {s: t * w for s, (t, w) in stems.items() if in_word[s] < ALONE * t and in_stem[s] < t}
+    covered = {s for s, gain in left.items() if any(left.get(s[:k], -1.0) >= gain for k in lengths if k < len(s))}
+    return {t: w for t, (_, w) in sorted(found.items()) if not t.endswith("*") or (t[:-1] in left and t[:-1] not in covered)}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -262,44 +329,76 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w[:-1], float(w[-1])
 
 
+def _fitted(row: np.ndarray, term: np.ndarray, plain: np.ndarray, context: np.ndarray, n_words: np.ndarray, y: np.ndarray, factors: tuple) -> tuple[float, tuple]:
+    """(loss, (mean, scale, weight, bias)) of the logistic score under the factors; the loss has the factors' own cost."""
+    x = summaries(row, term, plain, _times(context, factors), n_words)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    weight, bias = _logistic((x - mean) / scale, y)
+    z = np.clip(((x - mean) / scale) @ weight + bias, -30, 30)
+    loss = float((np.logaddexp(0, z) - y * z).sum())
+    return loss + PRIOR * sum(math.log(f / d) ** 2 for f, d in zip(factors, CONTEXT, strict=True)), (mean, scale, weight, bias)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Learn lexicon and score from labelled rows: about ``sample`` whole texts of each class, by a hash of the id.
+    """Learn lexicon, factors of context and score from labelled rows: about ``sample`` whole texts of each class, by a hash of
+    the id.
 
-    Null labels and ids are left out; of an id labelled twice the largest label counts. None without both classes.
+    Null labels and ids are left out; of an id labelled twice the largest label counts; a text that stands twice under its id
+    counts twice. Other columns, whatever their names, aren't read. None without both classes. Each factor in turn takes the
+    value of FACTORS that fits best; where the sample shows no such context it stays as in CONTEXT.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = bounded_sample(known, "label", "id", sample, 7)
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select("label", F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = written(texts, "toxicity-sample")  # read three times
+    chosen = bounded_sample(known, "label", "id", sample, 7).select(F.col("id").alias("labelled"), "label")
+    plain_docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = plain_docs.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("label", "text")
+    texts = written(texts, "toxicity-sample")  # read again and again
     terms = lexicon(texts)
+    numbers = {t: i for i, t in enumerate(sorted(terms))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, memory = _automaton(terms)
         for batch in batches:
-            x = [_summary(hits(t, automaton, memory), len(t.split())) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
-
-    found = sorted((r.label, r.x) for r in texts.mapInArrow(run, "label int, x array<double>").collect())
-    if not terms or len({label for label, _ in found}) < 2:
+            found = [hits(t, automaton, memory) for t in batch.column(1).to_pylist()]
+            row, term, plain, context = _arrays(found, numbers, CONTEXT)
+            cuts = np.searchsorted(row, np.arange(len(found) + 1))
+            lists = [[x[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (term, plain, context)]
+            n = [len(t.split()) for t in batch.column(1).to_pylist()]
+            kinds = (pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], ["label", "n", "term", "plain", "context"])
+
+    found = sorted(tuple(r) for r in texts.mapInArrow(run, "label int, n long, term array<long>, plain array<double>, context array<long>").collect())
+    if not terms or len({r[0] for r in found}) < 2:
         return None
-    x, y = np.array([r for _, r in found]), np.array([label for label, _ in found], float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    weight, bias = _logistic((x - mean) / scale, y)
-    return Model(terms, mean, scale, weight, bias)
+    y, n_words = np.array([r[0] for r in found], float), np.array([r[1] for r in found])
+    row = np.repeat(np.arange(len(found)), [len(r[2]) for r in found])
+    term, plain, context = (np.array([v for r in found for v in r[k]], kind) for k, kind in ((2, np.int64), (3, float), (4, np.int64)))
+    factors, (loss, best) = CONTEXT, _fitted(row, term, plain, context, n_words, y, CONTEXT)
+    for _ in range(2):
+        for at, flag in enumerate((QUOTED, REPORTED, ADDRESSED)):
+            if (context & flag).any():
+                tried = [(*_fitted(row, term, plain, context, n_words, y, f), f) for f in ((*factors[:at], v, *factors[at + 1 :]) for v in FACTORS)]
+                least = min(tried, key=lambda x: x[0])
+                if least[0] < loss:
+                    loss, best, factors = least
+    return Model(terms, *best, factors)
 
 
-HITS = "array<struct<term: string, word: string, position: int, edits: int, score: double>>"
+HITS = "array<struct<term: string, word: string, position: int, edits: int, score: double, context: int>>"
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double, hits): toxicity of the whole text of each row in 0..1, and the matches behind it.
 
+    A match has its context: QUOTED, REPORTED and ADDRESSED added up.
+
     Null and empty texts have no hits and the score of such texts; without a model all scores are 0. Repeated rows stay.
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
-    kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string()), ("position", pa.int32()), ("edits", pa.int32()), ("score", pa.float64())]))
-    names = ("term", "word", "position", "edits", "score")
+    kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string()), ("position", pa.int32()), ("edits", pa.int32()), ("score", pa.float64()), ("context", pa.int32())]))
+    names = ("term", "word", "position", "edits", "score", "context")
+    factors = model.factors if model else CONTEXT
+    numbers = {t: i for i, t in enumerate(sorted(model.terms))} if model else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, memory = _automaton(model.terms if model else {})
@@ -307,8 +406,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             if not batch.num_rows:
                 continue
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [hits(t, automaton, memory) for t in texts]
-            s = model.score(np.array([_summary(h, len(t.split())) if h else _summary(h, 0) for h, t in zip(found, texts, strict=True)])) if model else np.zeros(len(texts))
+            found = [hits(t, automaton, memory, factors) for t in texts]
+            s = np.zeros(len(texts))
+            if model:
+                row, term, plain, context = _arrays(found, numbers, factors)
+                n = np.array([len(t.split()) if h else 0 for h, t in zip(found, texts, strict=True)])
+                s = model.score(summaries(row, term, plain, _times(context, factors), n))
             listed = pa.array([[dict(zip(names, x, strict=True)) for x in h] for h in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), listed], ["id", "score", "hits"])
 

@@ -1,3 +1,7 @@
+import math
+import os
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,11 +124,106 @@ def test_misspellings_of_learnt_words(spark):
         assert toxicity.hits("the sum of a slump, idle i.d. iota", automaton, memory) == []
 
 
-def test_stems_leave_room_below_the_bound(spark):
-    """Words stay beside a stem that many of them share, and stems that say the same take no place."""
-    rows = [(f"grobzz{c} there", 1) for c in "abcdefghijkl" for _ in range(15)] + [("vilest of all", 1)] * 50 + [("clean words here", 0)] * 3000
-    texts = spark.createDataFrame(rows, "text string, label int")
-    assert set(toxicity.lexicon(texts, 4)) >= {"grobzz*", "vilest"}
-    assert set(toxicity.lexicon(texts)) >= {"grobzz*", "vilest", *[f"grobzz{c}" for c in "abcdefghijkl"]}
-    automaton, memory = toxicity._automaton(toxicity.lexicon(texts))
+def test_words_stay_beside_stems_and_nothing_is_cut_off(spark):
+    """Words stay beside a stem that many of them share; long words and many words are all kept."""
+    long = "x" * 3 + "abcdefghij" * 40
+    rows = [(f"grobzz{c} there", 1) for c in "abcdefghijkl" for _ in range(15)] + [("vilest of all", 1)] * 50 + [(f"so {long}{c}", 1) for c in "pqrst" for _ in range(10)]
+    rows += [(" ".join(f"bad{i}word{i}" for i in range(k, k + 100)).replace("0", "o").replace("1", "l"), 1) for k in range(0, 500, 100) for _ in range(12)] + [("clean words here", 0)] * 3000
+    terms = toxicity.lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert set(terms) >= {"grobzz*", "vilest", f"{long}*", *[f"grobzz{c}" for c in "abcdefghijkl"]} and len(terms) > 300
+    automaton, memory = toxicity._automaton(terms)
     assert [h[3] for h in toxicity.hits("a grobbzzqq b", automaton, memory)] == [1]
+    assert [h[0] for h in toxicity.hits(f"a {long}zzz b", automaton, memory)] == [f"{long}*"]
+
+
+def brute_lexicon(rows):
+    """Word and stem counts of texts by hand; then the rules of the docstring."""
+    words = sorted({w for text, _ in rows for w in toxicity.LETTERS.findall(text.lower())})
+    places = {os.path.commonprefix([a, b]) for a in words for b in words if a != b}
+    n = {k: sum(label == k for _, label in rows) for k in (0, 1)}
+    t, c = {}, {}
+    for text, label in rows:
+        words = set(toxicity.LETTERS.findall(text.lower()))
+        for term in words | {w[:k] + "*" for w in words for k in range(toxicity.STEM, len(w)) if w[:k] in places}:
+            (t if label else c)[term] = (t if label else c).get(term, 0) + 1
+    share = {x: (c.get(x, 0) + 1) / (n[0] + 1) for x in t}
+    found = {x: (t[x], math.log(t[x] / n[1] / share[x])) for x in t if t[x] >= toxicity.LEAST and (t[x] - 2 * t[x] ** 0.5) / n[1] >= toxicity.LIFT * share[x]}
+    stems = {x for x in found if x.endswith("*")}
+    left = {}
+    for s in stems:
+        words = [found[x][0] for x in found if not x.endswith("*") and x.startswith(s[:-1])]
+        longer = [found[x][0] for x in stems if x != s and x.startswith(s[:-1])]
+        if max(words, default=0) < toxicity.ALONE * found[s][0] and max(longer, default=0) < found[s][0]:
+            left[s] = found[s][0] * found[s][1]
+    covered = {s for s in left if any(o != s and s.startswith(o[:-1]) and left[o] >= left[s] for o in left)}
+    return {x: w for x, (_, w) in found.items() if x not in stems or (x in left and x not in covered)}
+
+
+def test_lexicon_against_brute_force(spark):
+    rng = random.Random(3)
+    clean = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(150)]
+    bad = [base + end for base in ("grom", "blix", "tavo") for end in ("", "s", "en", "ens", "ity", "er")] + ["zzat"]
+    rows = [(" ".join(rng.choice(clean) for _ in range(8)), 0) for _ in range(800)] + [(rng.choice(bad) + " odd", 0) for _ in range(3)]
+    rows += [(" ".join([*(rng.choice(clean) for _ in range(5)), rng.choice(bad), rng.choice(bad)]), 1) for _ in range(150)]
+    got, want = toxicity.lexicon(spark.createDataFrame(rows, "text string, label int").repartition(5)), brute_lexicon(rows)
+    assert got.keys() == want.keys() and any(x.endswith("*") for x in want)
+    assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_score_against_brute_force(spark):
+    docs = spark.createDataFrame([(i, f'you vile thing "{w}" he said' if i % 2 else f"a vile {w} and vile {w}") for i, w in enumerate(["grim", "vile", "fine", "vola"] * 10)] + [(99, "none at all")], "doc_id long, text string")
+    model = toxicity.Model({"vile": 2.0, "grim": 1.0}, np.zeros(5), np.ones(5), np.array([0.5, 0.3, 0.2, 0.1, 0.4]), -1.0, (0.2, 0.5, 1.5))
+    for r in toxicity.score(docs, model).join(docs, "doc_id").collect():
+        n = len(r.text.split()) if r.hits else 0
+        by_term = {}
+        for h in r.hits:
+            f = (0.2 if h.context & 1 else 0.5 if h.context & 2 else 1.0) * (1.5 if h.context & 4 else 1.0)
+            assert abs(h.score - model.terms[h.term] * f * (toxicity.SHORT_SHARE if h.edits else 1.0)) < 1e-12
+            by_term[h.term] = max(by_term.get(h.term, 0.0), min(f, 1.0))
+        total = sum(h.score for h in r.hits)
+        x = [math.log1p(total), max((h.score for h in r.hits), default=0.0), sum(by_term.values()) ** 0.5, math.log1p(100 * total / (n + 30)), max(by_term.values(), default=0.0)]
+        assert abs(r.score - 1 / (1 + math.exp(1.0 - float(np.dot(x, model.weight))))) < 1e-9
+
+
+def test_quotation_is_told_from_abuse(spark):
+    """Fitted on texts where quoted and reported uses are clean, held-out quotations are left alone and abuse is found."""
+    rng = random.Random(5)
+    fill = [f"{a}{b}" for a in "bdfglmnprst" for b in ("ala", "ino", "eta", "oru")]
+    insults = ["grobzak", "vileton", "morvat"]
+
+    def text(kind, w):
+        around = [" ".join(rng.choice(fill) for _ in range(rng.randint(6, 20))) for _ in range(2)]
+        middle = {"abuse": f"{w} {rng.choice(fill)}", "you": f"you {w}", "quote": f"the word “{w}” is old", "single": f"signs with '{w}' on them", "said": f"somebody said {w} once"}[kind]
+        return f"{around[0]} {middle} {around[1]}"
+
+    toxic = [(text(rng.choice(["abuse", "you"]), rng.choice(insults)), 1) for _ in range(300)]
+    clean = [(" ".join(rng.choice(fill) for _ in range(25)), 0) for _ in range(3000)] + [(text(rng.choice(["quote", "single", "said"]), rng.choice(insults)), 0) for _ in range(60)]
+    rows = [(i, *r) for i, r in enumerate(toxic + clean)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    # Where quotation marks are mere emphasis, the sample says so.
+    loud = [(text(rng.choice(["abuse", "quote", "single"]), rng.choice(insults)), 1) for _ in range(300)] + clean[:3000]
+    loud = spark.createDataFrame([(i, *r) for i, r in enumerate(loud)], "doc_id long, text string, toxic int")
+    other = toxicity.fit(loud.select("doc_id", "text"), loud.select("doc_id", "toxic"))
+    kinds = ["abuse", "you", "quote", "single", "said"] * 30
+    held = spark.createDataFrame([(i, text(k, rng.choice(insults))) for i, k in enumerate(kinds)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(held, model).collect()}
+    right = [(got[i] >= 0.5) == (k in ("abuse", "you")) for i, k in enumerate(kinds)]
+    assert np.mean(right) > 0.95
+    got = {r.doc_id: r.score for r in toxicity.score(held, other).collect()}
+    assert np.mean([got[i] >= 0.5 for i, k in enumerate(kinds) if k in ("abuse", "quote", "single")]) > 0.95
+
+
+def test_apostrophes_are_no_quotation():
+    a = toxicity.Automaton({"idiot": 2.0}, loose=True)
+    context = lambda text: toxicity.hits(text, a, {})[0][5] & toxicity.QUOTED
+    assert not context("it’s an idiot, that’s clear") and not context("it's an idiot, that's clear") and not context("the dogs' idiot is here")
+    assert context("the ‘idiot’ is here") and context("the 'idiot' is here") and context("“an idiot”") and context("« idiot »")
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    rows = [(i, "vile " * (40_000 if i == 0 else 1) + "thing", 1) for i in range(8)] + [(20 + i, "clean words here " + "y" * (50_000 if i == 0 else 1), 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumns({"id": F.lit(1), "term": F.lit("x"), "score": F.lit("x"), "hits": F.lit(0), "labelled": F.lit(7)})
+    labels = docs.select("doc_id", F.col("label").alias("toxic"), F.lit(3).alias("id"), F.lit(4).alias("text"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert {r.doc_id for r in got if r.score >= 0.5} == set(range(8)) and max(len(r.hits) for r in got) == 40_000
