@@ -226,4 +226,4 @@ def test_clashing_names_and_very_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumns({"id": F.lit(1), "term": F.lit("x"), "score": F.lit("x"), "hits": F.lit(0), "labelled": F.lit(7)})
     labels = docs.select("doc_id", F.col("label").alias("toxic"), F.lit(3).alias("id"), F.lit(4).alias("text"))
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
-    assert {r.doc_id for r in got if r.score >= 0.5} == set(range(8)) and max(len(r.hits) for r in got) == 40_000
+    assert {r.doc_id for r in got if r.score >= 0.5} == set(range(8)) and max(len(r.hits) for r in got) >= 40_000
