@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -114,7 +113,7 @@ def _runs(flag: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 ROWS = pa.schema([("bucket", pa.int64()), ("payload", pa.binary())])
-GONE = "doc_id long, text_hash int, start long, n long"
+GONE = pa.schema([(name, pa.int64()) for name in ("doc_id", "text_hash", "start", "n")])
 
 
 def _packed(*parts: bytes) -> bytes:
@@ -153,7 +152,7 @@ def _block(docs: list, n_buckets: int, width: int, parts: dict[int, tuple[int, i
     n = np.array([len(w) for _, _, w in docs], np.int64)
     doc_at = np.cumsum(n) - n
     doc_ids = np.array([d[0] for d in docs], np.int64)
-    text_hash = np.array([d[1] for d in docs], np.int32)
+    text_hash = np.array([d[1] for d in docs], np.int64)
 
     windows = n - width + 1  # every document here has one at least
     at = ragged_positions(doc_at, windows)
@@ -258,36 +257,51 @@ def _super_kmers(n_buckets: int, width: int, block_words: int, parts: dict[int,
     return run
 
 
-def _bucket(width: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, metas, texts = [], [], []
-        for payload in pdf["payload"]:
-            parts = _unpacked(payload)
-            doc_id, text_hash, start = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int32), np.frombuffer(parts[2], np.int64)
-            if len(parts) == 4:  # settled in the block
-                out.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int64)))
-            else:
-                metas.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int32).astype(np.int64)))
-                texts.append(parts[4])
-        if metas:
-            vocabulary = Vocabulary()
-            number = vocabulary.__getitem__
-            ids = np.concatenate([np.fromiter(map(number, words), np.int32, len(words)) for words in map(bytes.split, texts)])
-            doc_id, text_hash, start, n = (np.concatenate(x) for x in zip(*metas, strict=True))
-            offset = np.cumsum(n + width - 1) - (n + width - 1)
-            order = np.lexsort((text_hash, start, doc_id))
-            doc_id, text_hash, start, n, offset = (x[order] for x in (doc_id, text_hash, start, n, offset))
-            at = ragged_positions(offset, n)
-            owner = np.repeat(np.arange(len(n)), n)
-            place = ragged_positions(start, n)
-            first = _first_of_equal(ids, _rolling(_word_hashes(vocabulary)[ids], width)[at], at, width)
-            gone = (first != np.arange(len(first))) & ~((doc_id[owner] == doc_id[owner[first]]) & (place == place[first]))
-            breaks = np.ones(len(at), bool)
-            breaks[1:] = owner[1:] != owner[:-1]
-            s, c = _runs(gone, breaks)
-            out.append((doc_id[owner[s]], text_hash[owner[s]], place[s], c))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pd.DataFrame(dict(zip(("doc_id", "text_hash", "start", "n"), cols, strict=True)))
+def _bucket(payloads: list[bytes], width: int) -> pa.RecordBatch:
+    """Runs of windows of one bucket that aren't the first of their words."""
+    out, metas, texts = [], [], []
+    for payload in payloads:
+        parts = _unpacked(payload)
+        doc_id, text_hash, start = (np.frombuffer(parts[i], np.int64) for i in range(3))
+        if len(parts) == 4:  # settled in the block
+            out.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int64)))
+        else:
+            metas.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int32).astype(np.int64)))
+            texts.append(parts[4])
+    if metas:
+        vocabulary = Vocabulary()
+        number = vocabulary.__getitem__
+        ids = np.concatenate([np.fromiter(map(number, words), np.int32, len(words)) for words in map(bytes.split, texts)])
+        doc_id, text_hash, start, n = (np.concatenate(x) for x in zip(*metas, strict=True))
+        offset = np.cumsum(n + width - 1) - (n + width - 1)
+        order = np.lexsort((text_hash, start, doc_id))
+        doc_id, text_hash, start, n, offset = (x[order] for x in (doc_id, text_hash, start, n, offset))
+        at = ragged_positions(offset, n)
+        owner = np.repeat(np.arange(len(n)), n)
+        place = ragged_positions(start, n)
+        first = _first_of_equal(ids, _rolling(_word_hashes(vocabulary)[ids], width)[at], at, width)
+        gone = (first != np.arange(len(first))) & ~((doc_id[owner] == doc_id[owner[first]]) & (place == place[first]))
+        breaks = np.ones(len(at), bool)
+        breaks[1:] = owner[1:] != owner[:-1]
+        s, c = _runs(gone, breaks)
+        out.append((doc_id[owner[s]], text_hash[owner[s]], place[s], c))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=GONE)
+
+
+def _buckets(width: int):
+    """Work through rows (bucket, payload) sorted by bucket, one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield _bucket(held, width)
+                    held = []
+                now = bucket
+                held.append(payload)
+        if held:
+            yield _bucket(held, width)
 
     return run
 
@@ -348,16 +362,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     added = ("n_words", "n_removed", "kept_sha256")
     docs = docs.drop(*added)
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     n_chars = n_chars_of(docs, text_col)
     n_buckets = n_buckets or n_buckets_for(n_chars)
     parts = large_buckets(keys, n_buckets, n_chars, window, bucket_windows)
     rows = keys.mapInArrow(_super_kmers(n_buckets, window, block_words, parts), "bucket long, payload binary")
-    rows = rows.repartition(min(n_buckets + sum(k for _, k in parts.values()), MOST_TASKS), "bucket")
-    gone = rows.groupBy("bucket").applyInPandas(_bucket(window), GONE)
+    tasks = min(n_buckets + sum(k for _, k in parts.values()), MOST_TASKS)
+    dealt = rows.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    gone = dealt.mapInArrow(_buckets(window), "doc_id long, text_hash long, start long, n long")
     gone = gone.groupBy(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
     gone = gone.agg(F.collect_set(F.struct("start", "n")).alias("_gone"))
-    named = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.hash(text_col)})
+    named = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.xxhash64(text_col)})
     joined = named.join(gone.hint("shuffle_hash"), F.col("_row_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_hash") == F.col("_gone_hash")), "left")
     joined = joined.select(*docs.columns, "_gone")
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
