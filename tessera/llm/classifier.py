@@ -3,7 +3,7 @@
 A logistic scorer over shape features of the whole text minimises the non-negative unbiased risk: with class prior q,
 positives P and unlabelled texts U, q * loss(P as positive) + max(0, loss(U as negative) - q * loss(P as negative)).
 Where the second term turns negative, its gradient is followed upwards, as the estimator prescribes. The prior is
-estimated from the labelled rows.
+estimated from positives and unlabelled texts alone: no negative label is read anywhere.
 """
 
 from __future__ import annotations
@@ -101,6 +101,46 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     return Scorer(mean, scale, w[:-1], float(w[-1]))
 
 
+def _against(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights of a logistic score that tells positives from unlabelled rows, both of one weight in all."""
+    x = np.concatenate([positive, unlabelled])
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(unlabelled))])
+    share = np.where(y == 1, 0.5 / len(positive), 0.5 / len(unlabelled))
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for step in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (share * (p - y)) + 1e-3 * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, from the two samples of features alone.
+
+    Rows get out-of-fold scores of a positive-against-unlabelled classifier; equal rows share a fold. Above any threshold, (share of unlabelled) over
+    (share of positives) is at least the prior, and equals it where only positives score so high. The threshold is the one
+    with the least upper confidence bound of that ratio.
+    """
+    both = expanded(np.concatenate([positive, unlabelled]).astype(float))
+    mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
+    both = np.concatenate([np.clip((both - mean) / scale, -8, 8), np.ones((len(both), 1))], axis=1)
+    p, u = both[: len(positive)], both[len(positive) :]
+    scores_p, scores_u = np.zeros(len(p)), np.zeros(len(u))
+    _, same = np.unique(both, axis=0, return_inverse=True)
+    fold_p, fold_u = same[: len(p)] % 2, same[len(p) :] % 2
+    for k in (0, 1):
+        learn_p, learn_u = p[fold_p == k], u[fold_u == k]
+        w = _against(learn_p, learn_u) if len(learn_p) and len(learn_u) else np.zeros(both.shape[1])
+        scores_p[fold_p != k], scores_u[fold_u != k] = p[fold_p != k] @ w, u[fold_u != k] @ w
+    at = np.unique(scores_p)
+    above_p = 1 - np.searchsorted(np.sort(scores_p), at) / len(p)
+    above_u = 1 - np.searchsorted(np.sort(scores_u), at) / len(u)
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (len(u) ** -0.5 + len(np.unique(same[: len(p)])) ** -0.5)
+    best = int(((above_u + slack) / above_p).argmin())
+    return float(min(max(above_u[best] / above_p[best], 0.02), 0.98))
+
+
 def _feature_rows(rows: DataFrame, keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,14 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learn from rows of ``labels`` (id, label 0/1) and unlabelled texts of ``docs``.
 
     Trusted positives: texts labelled 1. Unlabelled: texts of docs, whatever their label. Each is a sample of about
-    ``sample`` rows by a hash of the id. Prior: share of label 1 among all labelled rows. Null labels and ids are
-    left out; of an id labelled twice, the labels' largest counts. None without positives or texts.
+    ``sample`` rows by a hash of the id. The class prior is estimated from these two (estimated_prior); labels 0 are read
+    only to see that an id isn't trusted. Null labels and ids are left out; of an id labelled twice, the labels' largest
+    counts; a text that stands twice under its id counts twice. Columns besides these aren't read. None without positives or
+    texts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    n, positives = known.agg(F.count("*"), F.sum("label")).head()
-    if not n or not positives:
-        return None
-    prior = min(max(positives / n, 0.05), 0.99)
     trusted = known.where("label = 1").select("id", F.lit("p").alias("role"))
     loose = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lit("u").alias("role"))
     chosen = bounded_sample(trusted, "role", "id", sample, 6).union(bounded_sample(loose, "role", "id", sample, 61)).distinct()
@@ -130,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     x = {k: np.array([np.frombuffer(b, np.float32) for r, b in found if r == k]) for k in "pu"}
     if not len(x["p"]) or not len(x["u"]):
         return None
-    return nn_pu(x["p"], x["u"], prior)
+    return nn_pu(x["p"], x["u"], estimated_prior(x["p"], x["u"]))
 
 
 def score(docs: DataFrame, model: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,13 +21,13 @@ DIM, CLUSTERS, ROUNDS = 4096, 4, 8
 #: Bound of the learning sample: documents a language. Share of learning texts that may lie beyond the rejection distance.
 SAMPLE, BEYOND = 800, 0.002
 UNKNOWN = "und"
-_TABLE = 0x30000
+_POINTS = 0x110000
 _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(_TABLE)]))
+        _letters.append(np.array([chr(c).isalpha() for c in range(_POINTS)]))
     return _letters[0]
 
 
@@ -36,7 +36,7 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letter_table()[np.minimum(points, _TABLE - 1)]
+    letter = _letter_table()[points]
     if not letter.any():
         return None
     c = np.concatenate([[0], np.where(letter, points, 0), [0]]).astype(np.uint32)

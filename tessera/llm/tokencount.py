@@ -6,8 +6,9 @@ tried by rising start, and a later one must score strictly more. A character tha
 below the least score, and counts its bytes where the vocabulary has byte pieces.
 
 No piece goes on over a space mark that follows another character, and none holds a line feed, so a text's best path
-is the best paths of its parts in order; parts are looked up in a bounded memory first. Scores that are whole numbers,
-as here, add up exactly, so ties come out the same in parts as in the whole.
+is the best paths of its parts in order; parts are looked up in a bounded memory first. That is done for scores that are
+whole numbers, as here: they add up exactly, so ties come out the same in parts as in the whole. With other scores texts
+are taken whole.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not sp.is_control(i)]
 
 
-
-
 class Counter:
     """Best score and piece count of texts, for a vocabulary of (piece, score)."""
 
@@ -54,7 +53,9 @@ class Counter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in pieces}
         self.has_bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        if not self.has_bytes or any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in names):
+        if any(not s.is_integer() for _, s in pieces):
+            self.splits = None  # sums of parts round otherwise than the whole, which may turn ties
+        elif not self.has_bytes or any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in names):
             self.splits = None  # unknown runs count once, or pieces go over the cuts: texts are taken whole
         else:
             self.splits = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")

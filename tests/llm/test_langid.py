@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,3 +35,44 @@ def test_edge_cases(spark):
     empty = docs.limit(0)
     assert langid.fit(empty) is None and langid.predict(empty, None).collect() == []
     assert langid.predict(docs, None).where("lang_pred <> 'und'").count() == 0
+
+
+def test_letters_of_all_planes():
+    assert langid.gram_counts("\U00030000\U00031000").sum() == 2 + 3 + 2 and langid.gram_counts("\U000e0001") is None
+
+
+def brute_grams(text):
+    """Hash of each 1- to 3-gram of the letters, words apart, by whole-number arithmetic."""
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    m, counts = 1 << 32, {}
+    points = [0 if c == " " else ord(c) for c in line]
+    hashed = [p * 0x165667B1 for p in points if p]
+    hashed += [a * 0x9E3779B1 + b * 0x85EBCA77 for a, b in zip(points, points[1:])]
+    hashed += [(a * 0x9E3779B1 + b * 0x85EBCA77) % m * 0xC2B2AE3D + c * 0x27D4EB2F for a, b, c in zip(points, points[1:], points[2:])]
+    for h in hashed:
+        h %= m
+        h = (h ^ h >> 15) * 0x2C1B3C6D % m >> 20
+        counts[h] = counts.get(h, 0) + 1
+    return counts
+
+
+def test_prediction_against_brute_force(spark):
+    """Weights, cosines, the nearest centroid, ties and rejection, text by text in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i in sorted(texts)[:60]:
+        counts = brute_grams(texts[i])
+        weight = {h: math.log1p(n) * float(model.idf[h]) for h, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        cosines = [sum(w * float(v[h]) for h, w in weight.items()) / norm for v in model.vectors]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[i].lang_pred == model.languages[best] and abs(got[i].score - min(cosines[best], 1.0)) < 1e-5
+        assert abs(cosines[best] - model.least) < 1e-5 or got[i].rejected == (cosines[best] < model.least)
+
+
+def test_ties_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "same words", "bb"), (2, "same words", "aa"), (3, "same words " * 50_000, None), (4, "w" * 300_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "aa" and got[3].lang_pred == "aa" and 0 <= got[4].score <= 1
