@@ -4,7 +4,9 @@ Documents are cut at every multiple of the sequence length, so only the rests ar
 rounded piece lengths has at most ``CAPACITY / UNIT`` entries whatever the corpus; on it the driver solves the cutting
 stock linear program by column generation, a knapsack dynamic program pricing new patterns. Rounded-down pattern
 counts, and patterns for the few pieces left over, are ranges of ranks within a length class, and each piece finds
-its sequence from its rank. Ranks come from hashed groups with running offsets, so no class is ordered in one task.
+its sequence from its rank. Short pieces of one length go in bundles, which are placed like one piece, so that rounding a
+length up to its class never costs more than a few hundredths. Ranks come from hashed groups with running offsets, so no class
+is ordered in one task.
 """
 
 from __future__ import annotations
@@ -175,13 +177,17 @@ def encode_documents(texts: list, path: str) -> Iterator[tuple[int, np.ndarray]]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids with the end id, cut at multiples of capacity."""
+    """(id, start, length, ids_crc32, doc_tokens, turn[, ids]): each document's ids with the end id, cut at multiples of capacity.
+
+    turn counts the pieces of a task; it tells equal rows apart once they are written.
+    """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in in_slices(batches):
-            owner, start, length, crc, total, ids = [], [], [], [], [], []
+            owner, start, length, crc, total, turn, ids = [], [], [], [], [], [], []
             for i, tokens in encode_documents(as_bytes(batch.column(1)), path):
                 tokens = np.concatenate([tokens, np.array([END_ID], np.uint32)]).astype("<u4")
                 n = len(tokens)
@@ -192,10 +198,12 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     length.append(len(piece))
                     crc.append(zlib.crc32(piece))
                     total.append(n)
+                    turn.append(seen)
+                    seen += 1
                     if keep_ids:
                         ids.append(piece.astype(np.int32))
-            cols = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+            cols = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, turn))]
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "turn"]
             if keep_ids:
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
@@ -203,7 +211,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder(path).trim()
         pa.default_memory_pool().release_unused()
 
-    return kept.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
+    return kept.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, turn long" + ", ids array<int>" * keep_ids)
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -294,31 +302,62 @@ def _ranges(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int
     return out
 
 
+def _bundles(counts: dict[int, int], short: int, bundle: int, unit: int) -> tuple[list[tuple[int, ...]], dict[int, int]]:
+    """Where the pieces of each key go, and how many items each class has.
+
+    Keys up to ``short`` are lengths, the others ``short`` + class. Rows: (key, pieces an item, full items, class and first rank of
+    those, class and rank of the last item, which holds what is left over).
+    """
+    demand: dict[int, int] = {}
+    rows = []
+
+    def take(size: int, n: int) -> tuple[int, int]:
+        kind = -(-size // unit)
+        first = demand.get(kind, 0)
+        if n:
+            demand[kind] = first + n
+        return kind, first
+
+    for key, count in sorted(counts.items()):
+        per = bundle // key if key <= short else 1
+        size = key * per if key <= short else (key - short) * unit
+        full, left = divmod(count, per)
+        rows.append((key, per, full, *take(size, full), *take(key * left, 1 if left else 0)))
+    return rows, demand
+
+
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, unit: int = UNIT, keep_ids: bool = False) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (long) and ids if asked for.
 
     A document is its tokenizer ids and the end id, so null and empty texts make one piece of one id. Pieces tile their
     document; sequences are filled from offset 0 without gaps, up to ``capacity``. Repeated rows and equal or null ids are
-    packed one by one. Other columns aren't read. Empty in, empty out.
+    packed one by one, and equal rows are spread over tasks. Other columns aren't read. Empty in, empty out.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, path or tokenizer_path(), id_col, text_col, capacity, keep_ids), "pieces")
-    classed = cut.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
-    histogram = classed.groupBy("class").count().collect()  # at most capacity / unit rows
+    bundle = capacity // 16 // unit * unit
+    short = bundle // 4
+    key = F.when(F.col("length") <= short, F.col("length")).otherwise(short + F.ceil(F.col("length") / unit)).cast("int")
+    keyed = cut.withColumn("key", key)
+    counts = {r["key"]: r["count"] for r in keyed.groupBy("key").count().collect()}  # at most short + capacity / unit rows
+    rows, items = _bundles(counts, short, bundle, unit)
     demand = np.zeros(capacity // unit, np.int64)
-    for r in histogram:
-        demand[r["class"] - 1] = r["count"]
+    for kind, n in items.items():
+        demand[kind - 1] = n
     ranges = spark.createDataFrame(_ranges(cutting_stock(demand)), "r_class int, low long, high long, per long, base long")
-    groups = int(max(64, -(-int(demand.sum()) // GROUP_PIECES)))
-    classed = classed.withColumn("grp", F.pmod(F.xxhash64("id", "start"), F.lit(groups)))
-    before = Window.partitionBy("class").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = classed.groupBy("class", "grp").count().select("class", "grp", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("class", "grp").orderBy("id", "start", "ids_crc32", "doc_tokens")
-    ranked = classed.withColumn("n", F.row_number().over(within)).join(offsets, ["class", "grp"])
-    ranked = ranked.withColumn("rank", F.col("ahead") + F.col("n") - 1)
+    homes = spark.createDataFrame(rows, "home int, pieces long, full long, full_class int, full_rank long, last_class int, last_rank long")
+    groups = int(max(64, -(-sum(counts.values()) // GROUP_PIECES)))
+    keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32", "turn"), F.lit(groups)))
+    before = Window.partitionBy("key").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("key", "grp").count().select("key", "grp", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("key", "grp").orderBy("id", "start", "ids_crc32", "doc_tokens", "turn")
+    ranked = keyed.withColumn("n", F.row_number().over(within)).join(offsets, ["key", "grp"]).join(F.broadcast(homes), F.col("key") == F.col("home"))
+    ranked = ranked.withColumn("item", F.expr("(ahead + n - 1) div pieces"))
+    is_full = F.col("item") < F.col("full")
+    classed = ranked.withColumns({"class": F.when(is_full, F.col("full_class")).otherwise(F.col("last_class")), "rank": F.when(is_full, F.col("full_rank") + F.col("item")).otherwise(F.col("last_rank"))})
     # The ranges are few: their number depends on the classes, not on the documents.
-    placed = ranked.join(F.broadcast(ranges), (F.col("class") == F.col("r_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = classed.join(F.broadcast(ranges), (F.col("class") == F.col("r_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - low) div per"))
-    line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "class", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "class", "rank", "ahead", "n").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(line), F.lit(0)))
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else []))

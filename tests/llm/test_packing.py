@@ -107,3 +107,23 @@ def test_edge_cases(spark):
     twice = packing.pack(frame.union(frame))
     assert twice.count() == 2 * packing.pack(frame).count()
     assert packing.pack(frame.limit(0)).collect() == []
+
+
+def test_short_and_equal_pieces_fill_their_sequences(spark):
+    """Thousands of empty, equal and very short texts: gapless from 0, full but for the last sequences."""
+    rows = [(None, None)] * 9000 + [(7, "same words here")] * 9000 + [(i, "word " * (i % 23)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = packing.pack(docs).collect()
+    assert len(got) == len(rows)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    assert total / (4096 * len(sequences)) > 0.95
+    assert sorted(sequences) == list(range(len(sequences)))
