@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,13 @@ def free_name(rows: DataFrame, base: str) -> str:
     return name
 
 
+def protected(docs: DataFrame, keep: tuple[str, ...], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``operator``, which sees all but ``keep`` under names that can't clash with its own."""
+    inner = [c if c in keep else f"column {i}" for i, c in enumerate(docs.columns)]
+    found = operator(docs.toDF(*inner))
+    return found.select([found[f"`{a}`"].alias(c) for a, c in zip(inner, docs.columns, strict=True)])
+
+
 _own_folder: list[str] = []
 
 

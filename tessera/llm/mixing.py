@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_words, written
+from tessera.llm.common import n_words, protected, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     Sources in code point order (null last) weigh ``weights``, repeating, and share ``share`` times all words; no target
     is above ``cap`` times its source, and what is above goes to the others by weight. With sources in order of cap over
     weight, the level that fills all targets is the largest of (words left when the first k are full) / (weight left).
-    One row per source is all this holds.
+    One row per source is all this holds, ordered in one task: sources are names of collections, thousands at most, not hosts
+    of pages.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     One row per distinct (id, text, source) with n_rows, size (words of one row), source_size, target (of its source) and
     copies (of each of its rows): id_col, source_col, text_hash, n_rows, size, source_size, target, copies. Repeated rows
-    are one unit and share a decision, so reruns agree. Null texts have size 0; a null source is a source; null ids are
+    are one unit and share a decision, so reruns agree; a source's words miss its target by its largest unit at most, about. Null texts have size 0; a null source is a source; null ids are
     units by their text. Other columns aren't read. Empty in, empty out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), n_words(F.col(text_col)).alias("size"))
@@ -124,9 +125,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as mix() takes it, with the columns of ``docs``."""
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    taken = taken.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.xxhash64(text_col) == F.col("_hash"))
-    joined = docs.join(taken.hint("shuffle_hash"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as mix() takes it, with the columns of ``docs``, whatever their names."""
+
+    def take(rows: DataFrame) -> DataFrame:
+        taken = mix(rows, id_col, text_col, source_col, **options).where("copies > 0")
+        taken = taken.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
+        same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.xxhash64(text_col) == F.col("_hash"))
+        return rows.join(taken.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+
+    return protected(docs, (id_col, text_col, source_col), take)

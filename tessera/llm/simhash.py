@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, drop_written, written
+from tessera.llm.common import as_bytes, drop_written, protected, written
 
 BITS, LINK = 64, 3
 SEGMENTS, PARTS = 5, 4
@@ -260,9 +260,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` of each component: that with its smallest id (null ids last), with all its columns."""
-    _, nodes = _labelled(docs, id_col, text_col)
-    kept = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    rows = hashed.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_text_hash", id_col]).select(*docs.columns)
+    """One row of ``docs`` of each component: that with its smallest id (null ids last), with all its columns, whatever their
+    names. Of repeated rows one stays."""
+
+    def first_rows(rows: DataFrame) -> DataFrame:
+        _, nodes = _labelled(rows, id_col, text_col)
+        kept = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+        hashed = rows.withColumn("_text_hash", F.xxhash64(text_col))
+        found = hashed.join(kept, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+        return found.dropDuplicates(["_text_hash", id_col])
+
+    return protected(docs, (id_col, text_col), first_rows)

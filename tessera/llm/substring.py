@@ -372,9 +372,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = dealt.mapInArrow(_buckets(window), "doc_id long, text_hash long, start long, n long")
     gone = gone.groupBy(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
     gone = gone.agg(F.collect_set(F.struct("start", "n")).alias("_gone"))
-    named = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.xxhash64(text_col)})
+    inner = [f"column {i}" for i in range(len(docs.columns))]  # the caller's names can't clash with those added here
+    own = dict(zip(docs.columns, inner, strict=True))
+    named = docs.toDF(*inner).withColumns({"_row_id": F.col(f"`{own[id_col]}`").cast("long"), "_row_hash": F.xxhash64(f"`{own[text_col]}`")})
     joined = named.join(gone.hint("shuffle_hash"), F.col("_row_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_hash") == F.col("_gone_hash")), "left")
-    joined = joined.select(*docs.columns, "_gone")
+    joined = joined.select(*[f"`{c}`" for c in inner], "_gone")
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
