@@ -1,6 +1,6 @@
 """All registered queries of the library (the training-data operators register their own)."""
 
-from tessera.plans import groups, joins, lists, ordered, readers, stores, streams, texts  # noqa: F401  registers them
+from tessera.plans import groups, joins, lists, measures, ordered, readers, stores, streams, texts  # noqa: F401  registers them
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
