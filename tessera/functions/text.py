@@ -52,3 +52,30 @@ def stop_word_language(x: Column) -> Column:
 def salted_id(x: Column, salt: Column) -> Column:
     """Sixteen hex digits of a hash under a changing salt."""
     return F.substring(F.sha2(F.concat(salt, F.lit(":"), x), 256), 1, 16)
+
+
+def with_tag(tags: Column, tag: str, vocabulary: list[str], default: str) -> Column:
+    """tags and one more, in the vocabulary's order; the default goes. Tags outside the vocabulary are dropped."""
+    known = F.array(*[F.lit(t) for t in vocabulary])
+    return F.array_intersect(known, F.array_append(F.filter(tags, lambda t: t != default), F.lit(tag)))
+
+
+def without_tag(tags: Column, tag: str, vocabulary: list[str], default: str) -> Column:
+    """tags without one, in the vocabulary's order; the default where none is left."""
+    left = F.array_intersect(F.array(*[F.lit(t) for t in vocabulary]), F.filter(tags, lambda t: t != tag))
+    return F.when(F.size(left) > 0, left).otherwise(F.array(F.lit(default)))
+
+
+def small_json(raw: Column, items: int, letters: int) -> Column:
+    """A JSON list of (label, amount) kept small: ``items`` at most, labels cut, amounts that aren't finite numbers null."""
+    parsed = F.slice(F.from_json(raw, "array<struct<label: string, amount: string>>"), 1, items)
+    number = lambda x: F.when(x.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), x.try_cast("double"))
+    return F.transform(parsed, lambda x: F.struct(F.substring(x.label, 1, letters).alias("label"), number(x.amount).alias("amount")))
+
+
+def fenced_json(said: Column) -> Column:
+    """The JSON object in an answer: inside a code fence, else from the first brace to the last; null if it doesn't parse."""
+    fence = F.nullif(F.regexp_extract(said, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    bare = F.nullif(F.regexp_extract(said, r"(?s)(\{.*\})", 1), F.lit(""))
+    found = F.coalesce(fence, bare)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
