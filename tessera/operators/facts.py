@@ -29,3 +29,23 @@ def pending(events: DataFrame, runs: DataFrame, extractor: str, version: str) ->
     """Events without a run of this version; a run without records counts (measured silence)."""
     done = runs.where((F.col("extractor") == extractor) & (F.col("version") == version)).select("event_id")
     return events.join(done, "event_id", "left_anti")
+
+
+def rolled_back(versions: DataFrame, extractor: str) -> DataFrame:
+    """The active version of an extractor becomes a candidate again and the one retired last (largest version) active."""
+    mine = F.col("extractor") == extractor
+    before = versions.where(mine & (F.col("status") == "retired")).agg(F.max("version").alias("_before"))
+    joined = versions.crossJoin(F.broadcast(before))  # one row
+    status = F.when(mine & (F.col("version") == F.col("_before")), "active").when(mine & (F.col("status") == "active") & F.col("_before").isNotNull(), "candidate").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("_before")
+
+
+def rejected(versions: DataFrame, extractor: str, version: str) -> DataFrame:
+    """A candidate that must not be activated; the active version can't be rejected."""
+    hit = (F.col("extractor") == extractor) & (F.col("version") == version) & (F.col("status") != "active")
+    return versions.withColumn("status", F.when(hit, "rejected").otherwise(F.col("status")))
+
+
+def purged(facts: DataFrame, versions: DataFrame) -> DataFrame:
+    """Facts without those of rejected versions."""
+    return facts.join(versions.where("status = 'rejected'").select("extractor", "version"), ["extractor", "version"], "left_anti")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a small side that are sent to every executor at most (two numbers each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
 
 def band_pairs(df: DataFrame, key: str, at: str, width: int, id_col: str) -> DataFrame:
     """(key, id_a, id_b, gap): pairs of rows of a key with |at_a - at_b| <= width and id_a < id_b.
@@ -66,13 +69,20 @@ def shingles(words: Column, n: int) -> Column:
 def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float) -> DataFrame:
     """(small_id, large_id, shared, of): pairs where the share of the small side's shingles in the large side is >= least.
 
-    Frames hold an id and an array ``shingles``. Both are exploded and joined on the shingle, counted by pair.
+    Frames hold an id and an array ``shingles``. Hashes of shingles find the candidates, so that eight bytes a shingle are all
+    that is exploded; the small side's are broadcast up to BROADCAST_ROWS, and then nothing of the large side is shuffled
+    but what it shares. Candidates are counted on the shingles themselves.
     """
-    of = small.select(small_id, F.size("shingles").alias("of"))
-    a = small.select(small_id, F.explode("shingles").alias("shingle"))
-    b = large.select(large_id, F.explode("shingles").alias("shingle"))
-    shared = a.join(b, "shingle").groupBy(small_id, large_id).agg(F.count("*").alias("shared"))
-    return shared.join(of, small_id).where(F.col("shared") >= least * F.col("of")).select(small_id, large_id, "shared", F.col("of").cast("bigint"))
+    hashed = lambda rows: F.explode(F.transform("shingles", lambda s: F.xxhash64(s)))
+    a = small.select(small_id, hashed(small).alias("h"))
+    b = large.select(large_id, hashed(large).alias("h"))
+    a = F.broadcast(a) if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else a
+    sizes = small.select(small_id, F.size("shingles").alias("of"))
+    pairs = b.join(a, "h").groupBy(small_id, large_id).agg(F.count("*").alias("likely")).join(sizes, small_id).where(F.col("likely") >= least * F.col("of")).select(small_id, large_id)
+    named = small.select(small_id, F.col("shingles").alias("_x"))
+    counted = pairs.join(named, small_id).join(large.select(large_id, F.col("shingles").alias("_y")), large_id)
+    checked = counted.select(small_id, large_id, F.size(F.array_intersect("_x", "_y")).cast("bigint").alias("shared"), F.size("_x").cast("bigint").alias("of"))
+    return checked.where(F.col("shared") >= least * F.col("of"))
 
 
 def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
@@ -97,7 +107,8 @@ def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
     Prefix filter: in a common order (rare first), similar sets share a shingle among the first of each, so only those
     are joined; candidates are then checked on whole sets. Sizes are compared in whole numbers.
     """
-    items = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("g"))
+    # Hashes stand for shingles up to the check, which is on the words.
+    items = classes.select("rep", F.size("s").alias("n"), F.explode(F.transform("s", lambda g: F.xxhash64(g))).alias("g"))
     rare = items.groupBy("g").agg(F.count("*").alias("f"))
     ranked = items.join(rare, "g").withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("f", "g")))
     prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).select(F.col("rep").alias("a"), "g", "n")

@@ -33,11 +33,31 @@ def exact_else_prefix(df: DataFrame, col: str, wanted: str) -> DataFrame:
 
 
 def hidden(df: DataFrame, entries: DataFrame) -> DataFrame:
-    """``df`` without rows that match an entry in all fields the entry fills (nulls of an entry match anything)."""
-    match = F.lit(True)
-    for c in entries.columns:
-        match &= entries[c].isNull() | (df[c] == entries[c])
-    return df.join(F.broadcast(entries), match, "left_anti")
+    """``df`` without rows that match an entry in all fields the entry fills (nulls of an entry match anything).
+
+    Entries that fill the same fields are one equi-join; there are as many as ways to fill the few columns of an entry.
+    """
+    ways = entries.select(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in entries.columns])).alias("filled")).distinct().collect()
+    for way in sorted(tuple(r.filled) for r in ways):
+        if not way:
+            return df.limit(0)  # an entry without fields hides everything
+        others = [c for c in entries.columns if c not in way]
+        some = entries
+        for c in entries.columns:
+            some = some.where(F.col(c).isNotNull() if c in way else F.col(c).isNull())
+        df = df.join(some.drop(*others).distinct(), list(way), "left_anti")
+    return df
+
+
+def ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, place): rank of each value, largest first, ties alike. Distinct values are ranked in range partitions with running
+    offsets, so no task orders all rows."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(F.desc(value)).withColumn("_part", F.spark_partition_id())
+    sizes = counts.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ahead = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_ahead"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.join(F.broadcast(ahead), "_part").select(value, (F.col("_ahead") + within + 1).alias("place"))
 
 
 def semi_or_open(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.measures import let
+
+#: Names of a dictionary that are sent to every executor at most; beyond, they meet the words by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def envelopes(df: DataFrame, id_col: str, kind: Column) -> DataFrame:
     """event_id, event_type and the other columns as a JSON payload."""
@@ -26,11 +31,11 @@ def restored(stay: DataFrame, log: DataFrame) -> DataFrame:
 def stable_ids(rows: DataFrame, content: list[str], known: DataFrame) -> DataFrame:
     """rows with surrogate_id: that of ``known`` (content columns, surrogate_id) where it has the content, else new ones.
 
-    New ids follow the largest known one in order of a content hash. The hash space is cut in 1,024 parts with running
+    New ids follow the largest known one in order of a content hash (the first 60 bits of md5). The hash space is cut in 1,024 parts with running
     offsets, so no task orders all new rows.
     """
     joined = rows.join(known, content, "left")
-    fresh = joined.where("surrogate_id is null").select(*content).distinct().withColumn("_h", F.xxhash64(*content)).withColumn("_part", F.shiftright("_h", 54))
+    fresh = joined.where("surrogate_id is null").select(*content).distinct().withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws("|", *content).cast("binary")), 1, 15), 16, 10).cast("bigint")).withColumn("_part", F.shiftright("_h", 50))
     top = known.agg(F.coalesce(F.max("surrogate_id"), F.lit(0)).alias("_top"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = fresh.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
@@ -54,16 +59,20 @@ def feed_gaps(feeds: DataFrame, key: str, order: str, ids: str) -> DataFrame:
 def dictionary_matches(texts: DataFrame, id_col: str, words: Column, names: DataFrame, longest: int) -> DataFrame:
     """(id, name, at): names (column ``name``, words joined by a blank) in texts, longest first, without overlaps.
 
-    Runs of 1..longest words are joined with the names as a hash join; a find is dropped when a longer or earlier one covers
-    its place: it isn't the longest that starts there, or an earlier longest one reaches over it.
+    Runs of 1..longest words are built inside the text's array, so words aren't shuffled to meet their neighbours, and joined with
+    the names, which are broadcast up to BROADCAST_ROWS of them; only finds go on. A find is dropped when a longer or earlier
+    one covers its place: it isn't the longest that starts there, or an earlier longest one reaches over it.
     """
-    numbered = texts.select(id_col, F.posexplode(words).alias("at", "_w"))
+
+    def runs(ws: Column) -> Column:
+        each = lambda n: F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(ws, i + 1, n), " ").alias("name")))
+        none = F.array().cast("array<struct<at: int, n: int, name: string>>")
+        return F.concat(*[F.when(F.size(ws) >= n, each(n)).otherwise(none) for n in range(1, longest + 1)])
+
     w = Window.partitionBy(id_col).orderBy("at")
-    run, grams = F.col("_w"), []
-    for n in range(1, longest + 1):
-        grams.append(F.struct(F.lit(n).alias("n"), run.alias("name")))
-        run = F.concat(run, F.lit(" "), F.lead("_w", n).over(w))
-    spread = numbered.select(id_col, "at", F.array(*grams).alias("g")).select(id_col, "at", F.explode("g").alias("g")).select(id_col, "at", "g.*")
-    found = spread.join(names.select("name").distinct(), "name").groupBy(id_col, "at").agg(F.max("n").alias("n"), F.max_by("name", "n").alias("name"))
+    spread = texts.select(id_col, F.explode(let(words, runs)).alias("g")).select(id_col, "g.*")
+    wanted = names.select("name").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    found = spread.join(wanted, "name").groupBy(id_col, "at").agg(F.max("n").alias("n"), F.max_by("name", "n").alias("name"))
     covered = F.max(F.col("at") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("_end", covered).where(F.col("_end").isNull() | (F.col("_end") <= F.col("at"))).select(id_col, "name", "at")

@@ -27,12 +27,14 @@ def or_page_best_child(spark, d):
     """Newest orders of a state and date range with their highest-value line, page 1 of 50, and the total count."""
     orders = table(spark, d, "orders").where((F.col("o_orderstatus") == "F") & P.half_open(F.col("o_orderdate"), "1995-01-01", "1999-01-01"))
     value = F.struct("l_extendedprice", -F.col("l_linenumber"), -F.col("l_partkey"), -F.col("l_suppkey"))
-    best = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max_by(F.struct("l_partkey", "l_linenumber", "l_extendedprice"), value).alias("b"))
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    # The page is cut first: the lines of its fifty orders are all that is aggregated.
+    top = page(orders.join(lines.select("o_orderkey"), "o_orderkey", "left_semi"), [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    best = lines.join(F.broadcast(top.select("o_orderkey")), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.max_by(F.struct("l_partkey", "l_linenumber", "l_extendedprice"), value).alias("b"))
     total = orders.agg(F.count("*").alias("total"))
-    rows = orders.join(best, "o_orderkey").crossJoin(F.broadcast(total))
+    rows = top.join(best, "o_orderkey").crossJoin(F.broadcast(total))
     rows = rows.select("o_orderkey", "o_orderdate", "o_totalprice", F.col("b.l_partkey").alias("best_part"), F.col("b.l_linenumber").alias("best_line"), F.col("b.l_extendedprice").alias("best_price"), "total")
-    top = page(rows, [F.desc("o_orderdate"), F.desc("o_orderkey")])
-    return top.select("o_orderkey", micros(F.col("o_orderdate")).alias("ordered_at"), "o_totalprice", "best_part", "best_line", "best_price", "total")
+    return rows.select("o_orderkey", micros(F.col("o_orderdate")).alias("ordered_at"), "o_totalprice", "best_part", "best_line", "best_price", "total")
 
 
 @query("fl_status_window", """
@@ -112,12 +114,13 @@ def fl_quality_gate(spark, d):
 @query("fl_unranked_split", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity > 45 AS unranked,
  CASE WHEN l_quantity > 45 THEN 0 ELSE rank() OVER (PARTITION BY l_quantity > 45 ORDER BY l_extendedprice DESC) END AS position
-FROM lineitem WHERE l_extendedprice > 90000""")
+FROM lineitem""")
 def fl_unranked_split(spark, d):
     """Flagged rows leave the ranking but stay in the result."""
-    rows = table(spark, d, "lineitem").where("l_extendedprice > 90000").withColumn("unranked", F.col("l_quantity") > 45)
-    place = F.rank().over(Window.partitionBy("unranked").orderBy(F.desc("l_extendedprice"))).cast("bigint")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "unranked", F.when(~F.col("unranked"), place).otherwise(0).alias("position"))
+    rows = table(spark, d, "lineitem").withColumn("unranked", F.col("l_quantity") > 45)
+    places = P.ranks(rows.where(~F.col("unranked")), "l_extendedprice")
+    ranked = rows.join(places, "l_extendedprice", "left")
+    return ranked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "unranked", F.when(~F.col("unranked"), F.col("place")).otherwise(0).alias("position"))
 
 
 @query("or_typeahead", """

@@ -9,7 +9,7 @@ from tessera.operators import windows as W
 from tessera.operators.aggregates import cents
 from tessera.operators.chains import lifecycle
 from tessera.plans.registry import query
-from tessera.sources.tables import micros, table
+from tessera.sources.tables import micros, stored, table
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -145,10 +145,11 @@ def _totals(lines):
 @query("sync_incremental", """
 SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(round(CASE WHEN l_suppkey % 9 = 4 THEN l_extendedprice + 1 ELSE l_extendedprice END * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem WHERE NOT (l_suppkey % 11 = 2 AND l_linenumber = 1) GROUP BY 1""")
 def sync_incremental(spark, d):
-    """Totals after an edit of some suppliers' lines, from the old totals and the changed suppliers only."""
+    """Totals after an edit of some suppliers' lines, from what the last run stored: its totals and a signature per supplier."""
     old = table(spark, d, "lineitem")
     new = old.where("NOT (l_suppkey % 11 = 2 AND l_linenumber = 1)").withColumn("l_extendedprice", F.when(F.col("l_suppkey") % 9 == 4, F.col("l_extendedprice") + 1).otherwise(F.col("l_extendedprice")))
-    return S.refreshed(_totals(old), old, new, ["l_suppkey"], _totals)
+    published, signatures = stored(_totals(old), "totals"), stored(S.signatures(old, ["l_suppkey"]), "signatures")
+    return S.refreshed_from(published, signatures, new, ["l_suppkey"], _totals)
 
 
 @query("ch_lifecycle")

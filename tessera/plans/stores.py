@@ -29,13 +29,14 @@ def sk_envelopes(spark, d):
 
 
 @query("sk_surrogate_ids", """
-SELECT count(*) AS n, count(DISTINCT p_name) AS names, CAST(min(p_partkey % 1) AS BIGINT) AS low, count(DISTINCT p_name) AS high FROM part""")
+WITH k AS (SELECT p_name, row_number() OVER (ORDER BY substr(md5(p_name), 1, 15), p_name) AS id FROM (SELECT DISTINCT p_name FROM part WHERE p_size < 3)),
+f AS (SELECT p_name, (SELECT count(*) FROM k) + row_number() OVER (ORDER BY substr(md5(p_name), 1, 15), p_name) AS id FROM (SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM k)))
+SELECT p_partkey, p_name, coalesce(k.id, f.id) AS surrogate_id FROM part LEFT JOIN k USING (p_name) LEFT JOIN f USING (p_name)""")
 def sk_surrogate_ids(spark, d):
     """Ids of part names: those of small parts are known, the others are new and follow without gaps."""
-    part = table(spark, d, "part").select("p_name", "p_size")
-    known = S.stable_ids(part.where("p_size < 10").select("p_name").distinct(), ["p_name"], spark.createDataFrame([], "p_name string, surrogate_id long"))
-    given = S.stable_ids(part, ["p_name"], known)
-    return given.agg(F.count("*").alias("n"), F.count_distinct("surrogate_id").alias("names"), (F.min("surrogate_id") - 1).alias("low"), F.max("surrogate_id").alias("high"))
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    known = S.stable_ids(part.where("p_size < 3").select("p_name").distinct(), ["p_name"], spark.createDataFrame([], "p_name string, surrogate_id long"))
+    return S.stable_ids(part, ["p_name"], known).select("p_partkey", "p_name", "surrogate_id")
 
 
 @query("sk_rename_map", """

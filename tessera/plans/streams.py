@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.sources.tables import micros, table
+from tessera.sources.tables import micros, shared_folder, table
 from tessera.streaming import events as E
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def run_to_end(frame: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input and return the sink's rows. Complete mode keeps the last result of all groups."""
     spark = frame.sparkSession
@@ -75,3 +67,48 @@ def sr_guarded_ingest(spark, d):
     guards = [("kind", F.col("event_type") != "error"), ("value", F.col("value") >= 0), ("unknown user", F.col("user_id") % 10 != 3)]
     judged = E.guarded(table(spark, d, "events"), guards)
     return judged.groupBy(F.coalesce("refused_by", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("sr_guard_chain", """
+SELECT coalesce(CASE WHEN event_id IS NULL THEN 'id' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup', 'error') THEN 'kind' WHEN ts < TIMESTAMP '2024-01-01' THEN 'old' WHEN value IS NULL OR value < 0 THEN 'value' WHEN value > 300 THEN 'outlier' WHEN user_id % 10 = 3 THEN 'unknown user' WHEN event_type = 'error' AND value < 1 THEN 'noise' END, 'accepted') AS verdict, count(*) AS n FROM events GROUP BY 1""")
+def sr_guard_chain(spark, d):
+    """Seven guards in order over the event stream."""
+    known = ("click", "view", "purchase", "signup", "error")
+    guards = [
+        ("id", F.col("event_id").isNotNull()), ("kind", F.col("event_type").isin(*known)), ("old", F.col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz")), ("value", F.col("value") >= 0),
+        ("outlier", F.col("value") <= 300), ("unknown user", F.col("user_id") % 10 != 3), ("noise", ~((F.col("event_type") == "error") & (F.col("value") < 1))),
+    ]
+    judged = run_to_end(E.guarded(_stream(spark, d), guards).select("event_id", "refused_by"))
+    return judged.groupBy(F.coalesce("refused_by", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("sr_merging_stream", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, event_id) AS rn FROM events)
+SELECT user_id, event_id, event_type FROM r WHERE rn = 1""")
+def sr_merging_stream(spark, d):
+    """The event stream merged into a keyed table by the better source: version by version through foreachBatch."""
+    folder = shared_folder(spark, "merged")
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
+    kept = _stream(spark, d).select("user_id", "event_id", "event_type")
+    path_of = lambda n: f"{folder}/v{n}"
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        E.merging_sink(path_of, ["user_id"], F.struct(-rank, -F.col("event_id")), [])(batch, number)
+        last[:] = [number]
+
+    state = shared_folder(spark, "merged-state")
+    kept.writeStream.option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path_of(last[0])) if last else spark.createDataFrame([], "user_id long, event_id long, event_type string")
+
+
+@query("sr_page_views", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS views, count(DISTINCT substr(sha256(strftime(ts, '%Y-%m-%d') || ':' || user_id), 1, 16)) AS visitors FROM events WHERE user_id % 7 > 0 AND event_type <> 'error' GROUP BY 1""")
+def sr_page_views(spark, d):
+    """A log of views without bots, visitors hashed under a salt of the day, appended as a stream."""
+    from tessera.functions.text import salted_id
+
+    day = F.date_format("ts", "yyyy-MM-dd")
+    seen = _stream(spark, d).where((F.col("user_id") % 7 > 0) & (F.col("event_type") != "error"))
+    log = run_to_end(seen.select(day.alias("day"), salted_id(F.col("user_id").cast("string"), day).alias("visitor")))
+    return log.groupBy("day").agg(F.count("*").alias("views"), F.count_distinct("visitor").alias("visitors"))

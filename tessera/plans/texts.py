@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import values as V
+from tessera.functions.measures import let
 from tessera.operators.matching import containment, jaccard_pairs, shingle_classes, shingle_members, shingles
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -64,9 +64,11 @@ HAVING bool_or(starts_with(w, 'tion')) AND bool_or(starts_with(w, 'heat')) AND b
 def tx_search_prefix(spark, d):
     """All terms must start some word of the document; newest first, 200."""
     terms = ["tion", "heat", "ston"]
-    postings = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w"))
-    hit = postings.select("doc_id", F.explode(F.array(*[F.when(F.col("w").startswith(t), t) for t in terms])).alias("term")).where("term is not null")
-    return hit.groupBy("doc_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).orderBy(F.desc("doc_id")).limit(200).select("doc_id")
+    def all_found(words):
+        return F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.exists(words, lambda w: F.startswith(w, t)))
+
+    docs = table(spark, d, "documents").where(let(X.words(F.col("text")), all_found))  # one scan, no shuffle of words
+    return docs.orderBy(F.desc("doc_id")).limit(200).select("doc_id")
 
 
 def _language_sql():
@@ -83,32 +85,17 @@ def tx_language(spark, d):
 
 
 @query("tx_jaccard_pairs", f"""
-WITH {_shingles_sql("s", "doc_id", "(SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3'))", 5)},
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, shared, x.n + y.n - shared AS together FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE shared >= 0.8 * (x.n + y.n - shared)""")
+WITH {_shingles_sql("s", "doc_id", "documents", 5)}, k AS (SELECT doc_id, list_sort(list(s)) AS k FROM s GROUP BY 1), c AS (SELECT min(doc_id) AS rep, k FROM k GROUP BY k), r AS (SELECT rep, unnest(k) AS s, len(k) AS n FROM c),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared, x.n + y.n - count(*) AS together FROM r x JOIN r y ON x.s = y.s AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n)
+SELECT a, b, shared, together FROM p WHERE shared * 100 >= 80 * together""")
 def tx_jaccard_pairs(spark, d):
-    """Pairs of three sources' documents with 5-word Jaccard similarity of 0.8 or more.
-
-    Prefix filter: in a common order (rare first), similar sets share a shingle among the first (1 - 0.8) of each, so only
-    those are joined; candidates are then checked on whole sets.
-    """
-    docs = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    sets = docs.select("doc_id", shingles(X.words(F.col("text")), 5).alias("s")).where(F.size("s") > 0)
-    items = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    rare = items.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = items.join(rare, "g").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "g")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1).select("doc_id", "g", "n")
-    other = prefix.select(F.col("doc_id").alias("b"), "g", F.col("n").alias("m"))
-    pairs = prefix.join(other, "g").where((F.col("doc_id") < F.col("b")) & (F.least("n", "m") >= 0.8 * F.greatest("n", "m"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    checked = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("together"))
-    return checked.where(F.col("shared") >= 0.8 * F.col("together"))
+    """Pairs of all documents with 5-word Jaccard similarity of 0.8 or more, one document for each set of shingles."""
+    return jaccard_pairs(shingle_classes(table(spark, d, "documents"), "doc_id", X.words(F.col("text")), 5), 80)
 
 
 @query("tx_jaccard_all")
 def tx_jaccard_all(spark, d):
-    """Pairs over the documents of all sources, one document for each set of shingles; tx_jaccard_members has the others."""
+    """The pairs of tx_jaccard_pairs, without SQL; tx_jaccard_members has the documents that each of them stands for."""
     return jaccard_pairs(shingle_classes(table(spark, d, "documents"), "doc_id", X.words(F.col("text")), 5), 80)
 
 
@@ -130,7 +117,7 @@ def ma_sigfig(spark, d):
     """First three significant figures of each order's cents."""
     totals = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double").alias("c"))
     scale = F.pow(F.lit(10.0), F.floor(F.log10("c")) - 2)
-    return totals.select("l_orderkey", F.round(F.col("c") / scale).cast("bigint").alias("figures"))
+    return totals.select("l_orderkey", F.round(V.significant(F.col("c"), 3) / scale).cast("bigint").alias("figures"))
 
 
 @query("ma_tolerance", """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +52,55 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str]) -> D
     joined = new.join(held, key, "left")
     fresh = joined.select(*[F.coalesce(f"_old_{c}", c).alias(c) if c in keep else F.col(c) for c in new.columns])
     return fresh.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; below the warehouse where that is unset and the master
+    is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet into a shared folder and read back."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dimension(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A dimension from JSON lines, with its schema given."""
+    return spark.read.schema(schema).json(path)
+
+
+#: Sources by name: functions (spark, path) -> DataFrame of (event_id, title, published_at).
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def source(name: str) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        SOURCES[name] = f
+        return f
+
+    return register
+
+
+@source("rss")
+def _rss(spark: SparkSession, path: str) -> DataFrame:
+    return rss_items(spark, path).select(F.col("guid").alias("event_id"), "title", "published_at")
+
+
+@source("envelopes")
+def _envelopes(spark: SparkSession, path: str) -> DataFrame:
+    fine, _ = envelopes(spark, path)
+    return fine.select("event_id", F.col("payload")["title"].alias("title"), F.try_to_timestamp("published_at").alias("published_at"))
+
+
+def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
+    if name not in SOURCES:
+        raise KeyError(f"no source {name}; there are {', '.join(sorted(SOURCES))}")
+    return SOURCES[name](spark, path)
