@@ -17,6 +17,7 @@ def in_order(df: DataFrame, key: list[str], order: list[str], reads: list[str],
     work = df.withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in key])))
     spread = work.repartition("_key").sortWithinPartitions("_key", *order)
     names = [c.split()[0] for c in added.split(", ")]
+    kinds = [{"long": "Int64", "boolean": "boolean"}[c.split()[1]] for c in added.split(", ")]  # with nulls
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -26,7 +27,7 @@ def in_order(df: DataFrame, key: list[str], order: list[str], reads: list[str],
                 if k != now:
                     now, state = k, start()
                 out.append(step(state, *values))
-            yield frame.drop(columns="_key").assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
+            yield frame.drop(columns="_key").assign(**{n: pd.array([o[i] for o in out], dtype=kinds[i]) for i, n in enumerate(names)})
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [added])
     return spread.mapInPandas(fold, schema)
@@ -142,3 +143,18 @@ def greedy_pairs(labels: DataFrame, predicted: DataFrame, key: list[str], id_col
             yield pd.DataFrame([(*values, None, j, 0) for j in free], columns=[*key, "label_id", "row_id", "points"]).astype({"label_id": "Int64", "row_id": "Int64"})
 
     return spread.mapInPandas(fold, schema)
+
+
+def last_fitting(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with ``name``: the last earlier value of the key that differs by more than half a per cent and is within a factor of two.
+
+    Of earlier rows only the last place of each distinct value can be the answer, so that is what the fold keeps.
+    """
+
+    def step(state: dict, v: int) -> tuple:
+        found = next((w for w in reversed(state) if abs(v - w) * 200 > w and w <= 2 * v and v <= 2 * w), None)
+        state.pop(v, None)
+        state[v] = True
+        return (found,)
+
+    return in_order(df, key, order, [value], f"{name} long", dict, step)

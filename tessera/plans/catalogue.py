@@ -1,6 +1,6 @@
 """All registered queries of the library (the training-data operators register their own)."""
 
-from tessera.plans import categories, extract, folds, groups, headlines, joins, lists, measures, ordered, portal, readers, refresh, stores, streams, texts  # noqa: F401  registers them
+from tessera.plans import categories, extract, folds, groups, headlines, joins, lists, measures, ordered, portal, readers, refresh, releases, stores, streams, texts  # noqa: F401  registers them
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
