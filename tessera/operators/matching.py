@@ -24,15 +24,21 @@ def band_pairs(df: DataFrame, key: str, at: str, width: int, id_col: str) -> Dat
 def nearest_match(left: DataFrame, right: DataFrame, key: str, at: str, id_col: str, back: int, ahead: int) -> DataFrame:
     """Each left row's nearest right row of the key within [-back, +ahead]: key, left_id, right_id, gap.
 
-    Both sides are ordered together once per key; the last right row before and the first after are window values, so
-    no pairs are made. Equal gaps take the earlier row; of rows at one time the one with the smaller id counts.
+    Time is cut in buckets as wide as the reach, so a hot key is spread over them: the last right row before and the first after
+    are window values of a bucket, or the edges of the buckets beside it; no pairs are made. Equal gaps take the earlier
+    row; of rows at one time the one with the smaller id counts.
     """
-    both = left.select(key, at, F.col(id_col).alias("left_id"), F.lit(None).cast("struct<at: bigint, id: bigint>").alias("r"))
-    both = both.unionByName(right.select(key, at, F.lit(None).cast("bigint").alias("left_id"), F.struct(F.col(at).cast("bigint").alias("at"), F.col(id_col).cast("bigint").alias("id")).alias("r")))
-    by_time = Window.partitionBy(key).orderBy(F.col(at))
-    before = F.max("r.at").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("r.at").over(by_time.rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"before": before, "after": after}).where("left_id is not null")
+    width = max(back, ahead, 1)
+    bucket = F.floor(F.col(at) / width).alias("bucket")
+    both = left.select(key, at, bucket, F.col(id_col).alias("left_id"), F.lit(None).cast("struct<at: bigint, id: bigint>").alias("r"))
+    both = both.unionByName(right.select(key, at, bucket, F.lit(None).cast("bigint").alias("left_id"), F.struct(F.col(at).cast("bigint").alias("at"), F.col(id_col).cast("bigint").alias("id")).alias("r")))
+    by_time = Window.partitionBy(key, "bucket").orderBy(F.col(at))
+    inside = {"before": F.max("r.at").over(by_time.rangeBetween(Window.unboundedPreceding, 0)), "after": F.min("r.at").over(by_time.rangeBetween(0, Window.unboundedFollowing))}
+    edges = right.groupBy(key, bucket).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    found = both.withColumns(inside).where("left_id is not null")
+    found = found.join(edges.select(key, (F.col("bucket") + 1).alias("bucket"), F.col("high").alias("ahead_of")), [key, "bucket"], "left")
+    found = found.join(edges.select(key, (F.col("bucket") - 1).alias("bucket"), F.col("low").alias("behind")), [key, "bucket"], "left")
+    found = found.withColumns({"before": F.coalesce("before", "ahead_of"), "after": F.coalesce("after", "behind")})
     gap_before, gap_after = F.col(at) - F.col("before"), F.col("after") - F.col(at)
     ok_before, ok_after = F.coalesce(gap_before <= back, F.lit(False)), F.coalesce(gap_after <= ahead, F.lit(False))
     pick = F.when(ok_before & (~ok_after | (gap_before <= gap_after)), F.col("before")).when(ok_after, F.col("after"))
