@@ -218,7 +218,8 @@ def links(distinct_fp: DataFrame, run: int = RUN) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of the edges (a, b), by alternating large and small stars.
 
-    Each half step is a map-side combined min and a join back, so a hub's edges are never gathered in one group.
+    Each half step is a map-side combined min and a join back, so a hub's edges are never gathered in one group; where the
+    edges of a hub make a partition of the join too large, adaptive execution splits it.
     Each round is written to the shared scratch folder; rounds end when the edges stop changing.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
@@ -250,7 +251,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id) for each row: its fingerprint and the smallest id that links of <= 3 bits reach.
 
-    Null and wordless texts have fingerprint zero and link like others. Repeated rows and ids stay, one result each;
+    Null and wordless texts have fingerprint zero and link like others; texts of any length count whole. Repeated rows and ids stay, one result each;
     a null id never names a component unless all ids in it are null. Other columns are not read. Empty in, empty out.
     """
     fps, nodes = _labelled(docs, id_col, text_col)

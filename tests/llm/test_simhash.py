@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 
@@ -77,3 +78,13 @@ def test_near_duplicates_on_the_table(spark):
     want = brute_components(fps)
     got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: (fps[i], want[i]) for i in fps}
+
+
+def test_very_long_texts_and_ties(spark):
+    """Whole texts count: a change at the end of a long one is seen, equal ones link, the smallest id names them."""
+    long = " ".join(f"w{i % 977} v{i % 31}" for i in range(60_000))
+    rows = [(5, long), (3, long), (9, "x" * 400_000), (8, "x" * 400_000), (4, long + " " + "tail " * 90_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own"))
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert [got[i].component_id for i in (3, 5, 8, 9)] == [3, 3, 8, 8] and got[4].fp != got[3].fp
+    assert {i: got[i].fp & (2**64 - 1) for i in got} == {i: brute_fp(t) for i, t in rows}
