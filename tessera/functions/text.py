@@ -79,3 +79,15 @@ def fenced_json(said: Column) -> Column:
     bare = F.nullif(F.regexp_extract(said, r"(?s)(\{.*\})", 1), F.lit(""))
     found = F.coalesce(fence, bare)
     return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def best_window(words: Column, asked: Column) -> Column:
+    """struct (words, place): the run of as many words as ``asked`` that shares most of them, the first of equals; place from 0."""
+
+    def windows(x: Column) -> Column:
+        n = F.size(x.asked)
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x.words) - n)), lambda i: F.struct(F.size(F.array_intersect(F.slice(x.words, i + 1, n), x.asked)).alias("shared"), (-i).alias("at")))
+        top = F.array_max(runs)
+        return F.struct(F.slice(x.words, 1 - top["at"], n).alias("words"), (-top["at"]).alias("place"))
+
+    return F.get(F.transform(F.array(F.struct(words.alias("words"), asked.alias("asked"))), windows), F.lit(0))

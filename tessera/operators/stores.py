@@ -76,3 +76,21 @@ def dictionary_matches(texts: DataFrame, id_col: str, words: Column, names: Data
     found = spread.join(wanted, "name").groupBy(id_col, "at").agg(F.max("n").alias("n"), F.max_by("name", "n").alias("name"))
     covered = F.max(F.col("at") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("_end", covered).where(F.col("_end").isNull() | (F.col("_end") <= F.col("at"))).select(id_col, "name", "at")
+
+
+def rewritten(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """References in ``col`` by a map (old, new); references that it doesn't have become null."""
+    return df.join(ids.select("old", "new").distinct(), F.col(col) == F.col("old"), "left").withColumn(col, F.col("new")).select(*df.columns)
+
+
+def gaps_filled(first: DataFrame, second: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Rows of ``first`` with their null columns from ``second``, and rows of ``second`` for keys that first doesn't have; ``how`` is own,
+    filled or other."""
+    rest = [c for c in first.columns if c not in key]
+    named = second.select(*key, *[F.col(c).alias(f"_{c}") for c in rest], F.lit(True).alias("_second"))
+    joined = first.withColumn("_first", F.lit(True)).join(named, key, "full")
+    gap = F.lit(False)
+    for c in rest:
+        gap |= F.col(c).isNull() & F.col(f"_{c}").isNotNull()
+    step = F.when(F.col("_first").isNull(), "other").when(gap, "filled").otherwise("own")
+    return joined.select(*key, *[F.coalesce(c, f"_{c}").alias(c) for c in rest], step.alias(how))
