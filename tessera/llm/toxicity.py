@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,19 +251,33 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0).otherwise(found)
 
 
-def _stems(words: DataFrame) -> DataFrame:
-    """(term, stem) for distinct words and the shorter beginnings of STEM letters or more after which two words part.
+#: Beginnings up to LONG letters are grouped; those of longer words, which are rare, are found by order.
+LONG = 64
 
-    Those are what neighbours in alphabetical order share. Words are dealt by their first letters.
+
+def _stems(counts: DataFrame, significant: Callable[[Column, Column], Column]) -> DataFrame:
+    """(term, stem) for distinct words (term, t, c) and the shorter beginnings of STEM letters or more after which two words part,
+    as far as they can be significant.
+
+    A stem has at most the toxic texts of all its words, and at least the clean ones of any. Beginnings are grouped with sums
+    that combine before the shuffle, so a frequent one is no load; words part after one that has two next letters or ends.
     """
+    lengths = F.explode(F.sequence(F.lit(STEM), F.least(F.length("term"), F.lit(LONG)))).alias("k")
+    cut = counts.where(F.length("term") >= STEM).select("*", lengths).select("term", "t", "c", F.substring("term", F.lit(1), F.col("k")).alias("stem"), F.substring("term", F.col("k") + 1, F.lit(1)).alias("next"))
+    goes_on = F.col("next") != ""
+    places = cut.groupBy("stem").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.sum(F.when(goes_on, F.col("t")).otherwise(0)).alias("t"), F.max(F.when(goes_on, F.col("c")).otherwise(0)).alias("c"))
+    places = places.where((F.col("a") != F.col("b")) & significant(F.col("t"), F.col("c"))).select("stem")
+    found = cut.where(goes_on).select("term", "stem").join(places, "stem")
+
     by_start = Window.partitionBy("start")
-    nearby = words.withColumn("start", F.substring("term", 1, STEM)).withColumn("n", _shared(F.col("term"), F.lag("term").over(by_start.orderBy("term"))))
+    nearby = counts.where(F.length("term") > LONG).withColumn("start", F.substring("term", 1, LONG)).withColumn("n", _shared(F.col("term"), F.lag("term").over(by_start.orderBy("term"))))
     nearby = nearby.withColumn("longest", F.greatest("n", F.lead("n", 1, 0).over(by_start.orderBy("term"))))
-    lengths = nearby.where(F.col("n") >= STEM).groupBy("start").agg(F.collect_set("n").alias("lengths"))
-    own = nearby.join(lengths, "start").withColumn("k", F.explode(F.filter("lengths", lambda k: (k <= F.col("longest")) & (k < F.length("term")))))
-    own = own.select("term", F.substring("term", F.lit(1), F.col("k")).alias("stem"))
-    places = nearby.where(F.col("n") >= STEM).select(F.substring("term", F.lit(1), F.col("n")).alias("stem")).distinct()
-    return own.join(places, "stem", "left_semi").select("term", "stem")
+    shared = nearby.where(F.col("n") > LONG)
+    own = nearby.join(shared.groupBy("start").agg(F.collect_set("n").alias("lengths")), "start").withColumn("k", F.explode(F.filter("lengths", lambda k: (k <= F.col("longest")) & (k < F.length("term")))))
+    own = own.select("term", "t", "c", F.substring("term", F.lit(1), F.col("k")).alias("stem"))
+    far = shared.select(F.substring("term", F.lit(1), F.col("n")).alias("stem")).distinct()
+    far = own.groupBy("stem").agg(F.sum("t").alias("t"), F.max("c").alias("c")).where(significant(F.col("t"), F.col("c"))).join(far, "stem", "left_semi").select("stem")
+    return found.select("term", "stem").union(own.select("term", "stem").join(far, "stem").select("term", "stem"))
 
 
 def lexicon(texts: DataFrame) -> dict[str, float]:
@@ -289,10 +303,7 @@ def lexicon(texts: DataFrame) -> dict[str, float]:
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "label", pure.alias("ws"), joined.alias("joined"))
     counts = numbered.select("label", F.explode(F.array_distinct(F.concat("ws", "joined"))).alias("term")).groupBy("term").agg(*sums)
     counts = written(counts, "toxicity-words")
-    pairs = written(_stems(counts.where(F.col("term").rlike(r"^\p{L}+$"))), "toxicity-stems")
-    # A stem has at most the toxic texts of all its words, and at least the clean ones of any: few can be significant.
-    could = pairs.join(counts, "term").groupBy("stem").agg(F.sum("t").alias("t"), F.max("c").alias("c")).where(significant(F.col("t"), F.col("c"))).select("stem")
-    wanted = pairs.join(could, "stem")
+    wanted = _stems(counts.where(F.col("term").rlike(r"^\p{L}+$")), significant)
     uses = numbered.select("row", "label", F.explode(F.array_distinct("ws")).alias("term")).join(wanted, "term").select("row", "label", "stem").distinct()
     stems = uses.groupBy(F.concat("stem", F.lit("*")).alias("term")).agg(*sums)
     return _without_repeats({r.term: (r.t, float(r.weight)) for r in best(counts).union(best(stems)).collect()})
