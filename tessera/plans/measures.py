@@ -56,11 +56,11 @@ def ma_family(spark, d):
 
 @query("ma_grade_ppm", f"""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, {picked("l_partkey", UNITS)} AS token FROM lineitem), u AS (SELECT *, {cases("token", CANON)} AS unit FROM t)
-SELECT unit, count(*) AS n, sum(CAST(round(l_quantity * {cases("unit", PPM)} * 1000) AS BIGINT))::BIGINT AS milli_ppm FROM u GROUP BY 1""")
+SELECT unit, count(*) AS n, coalesce(sum(CAST(round(l_quantity * {cases("unit", PPM)} * 1000) AS BIGINT))::BIGINT, -1) AS milli_ppm FROM u GROUP BY 1""")
 def ma_grade_ppm(spark, d):
     """Grades in any spelling of a unit, in parts per million by unit."""
     rows = table(spark, d, "lineitem").select("l_quantity", M.grade_unit(pick(F.col("l_partkey"), UNITS)).alias("unit"))
-    return rows.groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.round(M.grade_ppm(F.col("l_quantity"), F.col("unit")) * 1000).cast("bigint")).alias("milli_ppm"))
+    return rows.groupBy("unit").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.round(M.grade_ppm(F.col("l_quantity"), F.col("unit")) * 1000).cast("bigint")), F.lit(-1)).alias("milli_ppm"))
 
 
 @query("ma_plausible", f"""
@@ -78,8 +78,8 @@ QUANTITIES = {"m": ("m", 1.0), "Feet": ("m", 0.3048), "Mt": ("t", 1e6), "million
 
 @query("ma_quantities", f"""
 WITH t AS (SELECT p_partkey, p_size, {picked("p_partkey", list(QUANTITIES))} AS u FROM part)
-SELECT p_partkey, p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "m"})} AS metres, p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "t"})} AS tonnes,
- p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "oz"})} AS ounces, p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "lb"})} AS pounds FROM t""")
+SELECT p_partkey, (p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "m"})})::DOUBLE AS metres, (p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "t"})})::DOUBLE AS tonnes,
+ (p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "oz"})})::DOUBLE AS ounces, (p_size * {cases("u", {k: f for k, (kind, f) in QUANTITIES.items() if kind == "lb"})})::DOUBLE AS pounds FROM t""")
 def ma_quantities(spark, d):
     """Lengths, tonnages, ounces and pounds in base units; ambiguous units give nothing."""
     unit, size = pick(F.col("p_partkey"), list(QUANTITIES)), F.col("p_size").cast("double")
@@ -88,22 +88,22 @@ def ma_quantities(spark, d):
 
 @query("ma_contained", f"""
 WITH t AS (SELECT p_partkey, p_retailprice * 1000 AS tonnage, CAST(p_size AS DOUBLE) AS grade, {picked("p_partkey", FIVE)} AS unit, {picked("p_size", METALS)} AS metal FROM part), m AS (SELECT *, tonnage * (grade * {cases("unit", PPM)}) / 1e6 AS t FROM t)
-SELECT p_partkey, CAST(round(t * 100) AS BIGINT) AS t_cents, CASE WHEN metal IN ('Au', 'Ag', 'AuEq', 'AgEq') THEN CAST(round(t * 1e6 / 31.1035) AS BIGINT) END AS oz, CASE WHEN metal IN ('Cu', 'U3O8', 'Mo') THEN CAST(round(t * 2204.62) AS BIGINT) END AS lb FROM m""")
+SELECT p_partkey, CAST(round(t * 100) AS BIGINT) AS t_cents, CASE WHEN metal IN ('Au', 'Ag', 'AuEq', 'AgEq') THEN CAST(round(t * 1e6 / 31.1035) AS BIGINT) ELSE -1 END AS oz, CASE WHEN metal IN ('Cu', 'U3O8', 'Mo') THEN CAST(round(t * 2204.62) AS BIGINT) ELSE -1 END AS lb FROM m""")
 def ma_contained(spark, d):
     c = M.contained(F.col("p_retailprice") * 1000, F.col("p_size").cast("double"), pick(F.col("p_partkey"), FIVE), pick(F.col("p_size"), METALS))
     rows = table(spark, d, "part").select("p_partkey", c.alias("c"))
-    return rows.select("p_partkey", F.round(F.col("c.t") * 100).cast("bigint").alias("t_cents"), F.round("c.oz").cast("bigint").alias("oz"), F.round("c.lb").cast("bigint").alias("lb"))
+    return rows.select("p_partkey", F.round(F.col("c.t") * 100).cast("bigint").alias("t_cents"), F.coalesce(F.round("c.oz").cast("bigint"), F.lit(-1)).alias("oz"), F.coalesce(F.round("c.lb").cast("bigint"), F.lit(-1)).alias("lb"))
 
 
 @query("ma_interval_value", f"""
 WITH t AS (SELECT l_orderkey, l_quantity * 3 AS grade, l_linenumber * 1.5 AS metres, {picked("l_partkey", FIVE)} AS unit, {picked("l_suppkey", METALS)} AS metal FROM lineitem),
 f AS (SELECT *, CASE WHEN unit = '%' AND grade > 100 THEN NULL WHEN metal IN ('Au', 'Ag', 'AuEq', 'AgEq', 'Pt+Pd') THEN CASE WHEN unit = '%' THEN NULL ELSE {cases("unit", PPM)} END ELSE {cases("unit", PPM)} / 10000.0 END AS f FROM t)
-SELECT metal, unit, count(*) AS n, count(f) AS valued, CAST(round(sum(grade * f * metres)) AS BIGINT) AS total FROM f GROUP BY 1, 2""")
+SELECT metal, unit, count(*) AS n, count(f) AS valued, coalesce(CAST(round(sum(grade * f * metres)) AS BIGINT), -1) AS total FROM f GROUP BY 1, 2""")
 def ma_interval_value(spark, d):
     """Grade times length in the display unit of the metal's class."""
     value = M.interval_value(F.col("l_quantity") * 3, F.col("unit"), F.col("metal"), F.col("l_linenumber") * 1.5)
     rows = table(spark, d, "lineitem").select("l_quantity", "l_linenumber", pick(F.col("l_partkey"), FIVE).alias("unit"), pick(F.col("l_suppkey"), METALS).alias("metal")).withColumn("v", value)
-    return rows.groupBy("metal", "unit").agg(F.count("*").alias("n"), F.count("v").alias("valued"), F.round(F.sum("v")).cast("bigint").alias("total"))
+    return rows.groupBy("metal", "unit").agg(F.count("*").alias("n"), F.count("v").alias("valued"), F.coalesce(F.round(F.sum("v")).cast("bigint"), F.lit(-1)).alias("total"))
 
 
 @query("ma_thresholds", f"""

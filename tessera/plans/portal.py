@@ -296,13 +296,13 @@ def aj_small_json(spark, d):
 
 
 @query("aj_fenced_json", """
-SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN -1 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
 def aj_fenced_json(spark, d):
     """JSON out of a fenced or chatty answer; null where there is none."""
     from tessera.functions.text import fenced_json
 
     said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Sure. "), "props")).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.lit("I can't say {"))
-    return table(spark, d, "events").select("event_id", F.get_json_object(fenced_json(said), "$.k").cast("bigint").alias("k"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(fenced_json(said), "$.k").cast("bigint"), F.lit(-1)).alias("k"))
 
 
 @query("aj_json_keys", """

@@ -153,11 +153,11 @@ def fl_person_search(spark, d):
 
 @query("jn_first_children", """
 WITH c AS (SELECT l_orderkey, l_linenumber AS kind, min(struct_pack(f := CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END, p := l_partkey, s := l_suppkey)) AS b FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, max(b.p) FILTER (WHERE kind = 1) AS k1, max(b.p) FILTER (WHERE kind = 2) AS k2, max(b.p) FILTER (WHERE kind = 3) AS k3, max(b.p) FILTER (WHERE kind = 4) AS k4, max(b.p) FILTER (WHERE kind = 5) AS k5, max(b.p) FILTER (WHERE kind = 6) AS k6, max(b.p) FILTER (WHERE kind = 7) AS k7 FROM c GROUP BY 1""")
+SELECT l_orderkey, coalesce(max(b.p) FILTER (WHERE kind = 1), -1) AS k1, coalesce(max(b.p) FILTER (WHERE kind = 2), -1) AS k2, coalesce(max(b.p) FILTER (WHERE kind = 3), -1) AS k3, coalesce(max(b.p) FILTER (WHERE kind = 4), -1) AS k4, coalesce(max(b.p) FILTER (WHERE kind = 5), -1) AS k5, coalesce(max(b.p) FILTER (WHERE kind = 6), -1) AS k6, coalesce(max(b.p) FILTER (WHERE kind = 7), -1) AS k7 FROM c GROUP BY 1""")
 def jn_first_children(spark, d):
     """The preferred child of a parent in each of seven child tables, in one aggregation instead of seven joins."""
     order = F.struct(F.when(F.col("l_returnflag") == "R", 0).otherwise(1), "l_partkey", "l_suppkey")
-    firsts = [F.min_by("l_partkey", F.when(F.col("l_linenumber") == k, order)).alias(f"k{k}") for k in range(1, 8)]
+    firsts = [F.coalesce(F.min_by("l_partkey", F.when(F.col("l_linenumber") == k, order)), F.lit(-1)).alias(f"k{k}") for k in range(1, 8)]
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(*firsts)
 
 
@@ -200,13 +200,13 @@ def ag_capture_three(spark, d):
 
 @query("wn_revised_from_any", """
 WITH p AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders)
-SELECT a.o_orderkey, (SELECT b.v FROM p b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate, b.o_orderkey) < (a.o_orderdate, a.o_orderkey) AND abs(a.v - b.v) * 200 > b.v AND b.v <= 2 * a.v AND a.v <= 2 * b.v ORDER BY b.o_orderdate DESC, b.o_orderkey DESC LIMIT 1) AS revised_from FROM p a""")
+SELECT a.o_orderkey, coalesce((SELECT b.v FROM p b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate, b.o_orderkey) < (a.o_orderdate, a.o_orderkey) AND abs(a.v - b.v) * 200 > b.v AND b.v <= 2 * a.v AND a.v <= 2 * b.v ORDER BY b.o_orderdate DESC, b.o_orderkey DESC LIMIT 1), -1) AS revised_from FROM p a""")
 def wn_revised_from_any(spark, d):
     """The last earlier value that differs by more than half a per cent and is within a factor of two, however far back."""
     from tessera.operators.folds import last_fitting
 
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", micros(F.col("o_orderdate")).alias("moment"), cents(F.col("o_totalprice")).alias("v"))
-    return last_fitting(rows, ["o_custkey"], ["moment", "o_orderkey"], "v", "revised_from").select("o_orderkey", "revised_from")
+    return last_fitting(rows, ["o_custkey"], ["moment", "o_orderkey"], "v", "revised_from").select("o_orderkey", F.coalesce("revised_from", F.lit(-1)).alias("revised_from"))
 
 
 @query("wn_history_guarded", """
