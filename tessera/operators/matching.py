@@ -72,23 +72,32 @@ def shingles(words: Column, n: int) -> Column:
     return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
-def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float) -> DataFrame:
-    """(small_id, large_id, shared, of): pairs where the share of the small side's shingles in the large side is >= least.
+def shingle_hashes(words: Column, n: int) -> Column:
+    """Distinct hashes of the n-word shingles of an array of words; no shingle is put together for it."""
 
-    Frames hold an id and an array ``shingles``. Hashes of shingles find the candidates, so that eight bytes a shingle are all
-    that is exploded; the small side's are broadcast up to BROADCAST_ROWS, and then nothing of the large side is shuffled
-    but what it shares. Candidates are counted on the shingles themselves.
+    def of(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))
+
+
+def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str, n: int, least: float) -> DataFrame:
+    """(small_id, large_id, shared, of): pairs where the share of the small side's n-word shingles in the large side is >= least.
+
+    Frames hold an id and an array ``words``. Hashes of shingles find the candidates, so that eight bytes a shingle are all that
+    is exploded; the small side's are broadcast up to BROADCAST_ROWS, and then nothing of the large side is shuffled but
+    what it shares. Candidates are counted on the shingles themselves, which only they are cut into.
     """
-    hashed = lambda rows: F.explode(F.transform("shingles", lambda s: F.xxhash64(s)))
-    a = small.select(small_id, hashed(small).alias("h"))
-    b = large.select(large_id, hashed(large).alias("h"))
+    hashed = F.explode(shingle_hashes(F.col("words"), n)).alias("h")
+    a, b = small.select(small_id, hashed), large.select(large_id, hashed)
     a = F.broadcast(a) if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else a
-    sizes = small.select(small_id, F.size("shingles").alias("of"))
-    pairs = b.join(a, "h").groupBy(small_id, large_id).agg(F.count("*").alias("likely")).join(sizes, small_id).where(F.col("likely") >= least * F.col("of")).select(small_id, large_id)
-    named = small.select(small_id, F.col("shingles").alias("_x"))
-    counted = pairs.join(named, small_id).join(large.select(large_id, F.col("shingles").alias("_y")), large_id)
-    checked = counted.select(small_id, large_id, F.size(F.array_intersect("_x", "_y")).cast("bigint").alias("shared"), F.size("_x").cast("bigint").alias("of"))
-    return checked.where(F.col("shared") >= least * F.col("of"))
+    sizes = small.select(small_id, F.size(shingle_hashes(F.col("words"), n)).alias("likely_of"))
+    pairs = b.join(a, "h").groupBy(small_id, large_id).agg(F.count("*").alias("likely")).join(sizes, small_id).where(F.col("likely") >= least * F.col("likely_of")).select(small_id, large_id)
+    counted = pairs.join(small.select(small_id, F.col("words").alias("_x")), small_id).join(large.select(large_id, F.col("words").alias("_y")), large_id)
+    both = F.struct(shingles(F.col("_x"), n).alias("x"), shingles(F.col("_y"), n).alias("y"))
+    checked = counted.select(small_id, large_id, F.get(F.transform(F.array(both), lambda v: F.struct(F.size(F.array_intersect(v.x, v.y)).cast("bigint").alias("shared"), F.size(v.x).cast("bigint").alias("of"))), F.lit(0)).alias("n"))
+    return checked.select(small_id, large_id, "n.shared", "n.of").where(F.col("shared") >= least * F.col("of"))
 
 
 def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:

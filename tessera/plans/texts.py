@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import values as V
 from tessera.functions.measures import let
-from tessera.operators.matching import containment, jaccard_pairs, shingle_classes, shingle_members, shingles
+from tessera.operators.matching import containment, jaccard_pairs, shingle_classes, shingle_members
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -36,9 +36,9 @@ n AS (SELECT item_id, count(*) AS "of" FROM bs GROUP BY 1), x AS (SELECT item_id
 SELECT x.item_id, doc_id, shared, "of" FROM x JOIN n ON x.item_id = n.item_id WHERE shared >= 0.8 * "of" """)
 def tx_shingle_overlap(spark, d):
     """Benchmark passages whose 8-word shingles a document holds to 80 % or more."""
-    small = table(spark, d, "benchmark").select("item_id", shingles(X.words(F.col("text")), 8).alias("shingles"))
-    large = table(spark, d, "documents").select("doc_id", shingles(X.words(F.col("text")), 8).alias("shingles"))
-    return containment(small, large, "item_id", "doc_id", 0.8)
+    small = table(spark, d, "benchmark").select("item_id", X.words(F.col("text")).alias("words"))
+    large = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    return containment(small, large, "item_id", "doc_id", 8, 0.8)
 
 
 @query("tx_exact_dups", "SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1")
