@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import stored
+
 #: Rows of a small side that are sent to every executor at most (two numbers each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -105,15 +107,19 @@ def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> Data
 
     Words hold no white space, so the joined, sorted shingles say the set; its digest is what rows are grouped by.
     """
-    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sort_array(shingles(words, n)).alias("s")).where(F.size("s") > 0)
-    return sets.groupBy(F.sha2(F.array_join("s", "\n"), 256).alias("key")).agg(F.min("id").alias("rep"), F.first("s").alias("s")).select("rep", "s", "key")
+    key = F.sha2(F.array_join(F.sort_array(shingles(words, n)), "\n"), 256)
+    sets = docs.where(F.col(id_col).isNotNull() & (F.size(words) >= n)).withColumn("_key", key)
+    reps = sets.select(F.col(id_col).alias("rep"), "_key").groupBy("_key").agg(F.min("rep").alias("rep"))
+    # Only ids and digests are grouped; texts meet their representatives as they are, and are cut into shingles after that.
+    found = sets.join(reps.select(F.col("rep").alias(id_col), "_key"), [id_col, "_key"], "left_semi")
+    return found.select(F.col(id_col).alias("rep"), F.sort_array(shingles(words, n)).alias("s"), F.col("_key").alias("key"))
 
 
 def shingle_members(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
     """(id_col, rep): the class of each document that has shingles."""
-    reps = shingle_classes(docs, id_col, words, n).select("rep", "key")
-    keyed = docs.select(id_col, F.sort_array(shingles(words, n)).alias("s")).where(F.size("s") > 0)
-    return keyed.select(id_col, F.sha2(F.array_join("s", "\n"), 256).alias("key")).where(F.col(id_col).isNotNull()).join(reps, "key").select(id_col, "rep")
+    key = F.sha2(F.array_join(F.sort_array(shingles(words, n)), "\n"), 256).alias("key")
+    keyed = docs.where(F.col(id_col).isNotNull() & (F.size(words) >= n)).select(id_col, key)
+    return keyed.join(keyed.groupBy("key").agg(F.min(id_col).alias("rep")), "key").select(id_col, "rep")
 
 
 def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +136,11 @@ def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
     other = prefix.select(F.col("a").alias("b"), "g", F.col("n").alias("m"))
     near = (F.col("a") < F.col("b")) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))
     pairs = prefix.join(other, "g").where(near).select("a", "b").distinct()
-    x, y = classes.select(F.col("rep").alias("a"), F.col("s").alias("x")), classes.select(F.col("rep").alias("b"), F.col("s").alias("y"))
+    pairs = stored(pairs, "jaccard-pairs")  # counted, and read for both ends
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ends = F.broadcast(ends) if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ends
+    sets = classes.join(ends, "rep", "left_semi")  # whole sets travel only for candidates
+    x, y = sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), sets.select(F.col("rep").alias("b"), F.col("s").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
     checked = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("together"))
-    return checked.where(F.col("shared") * 100 >= percent * F.col("together"))
+    return checked.where(F.col("shared") * 100 >= percent * F.col("together")).distinct()  # of repeated rows
