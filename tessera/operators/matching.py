@@ -107,12 +107,11 @@ def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> Data
 
     Words hold no white space, so the joined, sorted shingles say the set; its digest is what rows are grouped by.
     """
-    key = F.sha2(F.array_join(F.sort_array(shingles(words, n)), "\n"), 256)
-    sets = docs.where(F.col(id_col).isNotNull() & (F.size(words) >= n)).withColumn("_key", key)
-    reps = sets.select(F.col(id_col).alias("rep"), "_key").groupBy("_key").agg(F.min("rep").alias("rep"))
-    # Only ids and digests are grouped; texts meet their representatives as they are, and are cut into shingles after that.
-    found = sets.join(reps.select(F.col("rep").alias(id_col), "_key"), [id_col, "_key"], "left_semi")
-    return found.select(F.col(id_col).alias("rep"), F.sort_array(shingles(words, n)).alias("s"), F.col("_key").alias("key"))
+    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), words.alias("_w"), F.xxhash64(words).alias("_h")).where(F.size("_w") >= n)
+    key = F.sha2(F.array_join(F.sort_array(shingles(F.col("_w"), n)), "\n"), 256)
+    # Only ids and digests are grouped; words meet their representatives as they are, and are cut into shingles after that.
+    reps = stored(sets.select("rep", "_h", key.alias("key")).groupBy("key").agg(F.min(F.struct("rep", "_h")).alias("r")), "classes").select("r.rep", "r._h", "key")
+    return sets.join(reps, ["rep", "_h"]).select("rep", F.sort_array(shingles(F.col("_w"), n)).alias("s"), "key")
 
 
 def shingle_members(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
