@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, classifier, langid, mixing, packing, quality, simhash, substring, tokencount, toxicity
+from tessera.llm import ann, classifier, codes, langid, mixing, packing, quality, simhash, spelling, substring, tokencount, toxicity, urlfilter
 from tessera.llm.common import fold
 
 
@@ -72,6 +72,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.rule_table(spark)).drop("url")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -83,10 +96,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filters": op11_url_filters,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL where SQL can say it.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op4_substring_dedup": substring.ORACLE,
+    "op11_url_filters": urlfilter.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
