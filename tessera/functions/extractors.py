@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.measures import AMOUNT, CURRENCY, MAGNITUDE, currency, let, money, spans
+from tessera.functions.measures import MONEY_TEXT, let, money, spans
 from tessera.functions.values import lenient_date, parsed_number
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 NAME = r"[A-Z][A-Za-z0-9'-]*(?: [A-Z][A-Za-z0-9'-]*){0,4}"
-MONEY = rf"{CURRENCY}\s?{AMOUNT}{MAGNITUDE}"
+MONEY = MONEY_TEXT
 DATE = r"(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2}"
 PERIOD = r"(?:Q[1-4]|H[12]|9M|FY) \d{4}"
 METAL = r"(?i:gold|silver|copper|zinc|lead|nickel|uranium|lithium)|AuEq|Au|Ag|Cu|Zn|Pb|Ni|U3O8"
@@ -69,7 +69,7 @@ def _fact_of(piece: Piece, start: Column):
             value = parsed_number(cut.text)
         elif piece.kind == "money":
             amount = F.get(money(cut.text), F.lit(0))
-            value, unit = amount.value, currency(F.regexp_extract(cut.text, rf"^({CURRENCY})", 1))
+            value, unit = amount.value, amount.currency
         shown = F.date_format(lenient_date(cut.text), "yyyy-MM-dd") if piece.kind == "date" else cut.text
         first = start + cut.ahead
         return F.struct(F.lit(piece.field).alias("field"), value.alias("value_num"), shown.alias("value_text"), unit.alias("unit"), first.alias("span_start"), (first + F.length(cut.text)).alias("span_end"))

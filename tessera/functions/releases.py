@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.headlines import headline_tokens, markers, name_key, steps_differ
+from tessera.functions.headlines import GENERAL, NOTICES, STOPS, headline_tokens, is_notice, markers, name_key, steps_differ
 from tessera.functions.measures import let, spans
 from tessera.functions.values import lenient_date
 
@@ -185,23 +185,31 @@ def word_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if enough(x) and enough(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+#: Share of matching blocks from which on headlines are alike, letters from which on a beginning tells, words of their own that a headline
+#: needs to be told by.
+ALIKE, LONG_BEGINNING, TELLING = 0.9, 40, 3
+
+
 def headline_grade(a: Column, b: Column, ratio: Column) -> Column:
-    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the joined
-    tokens, reckoned on candidate pairs only."""
+    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the two,
+    reckoned on candidate pairs only.
+
+    Headlines are alike if their words are equal, if the longer goes on where the shorter ends after LONG_BEGINNING letters, or if
+    their ratio says so. Markers that both have room for, steps of a deal and a notice of correction part them. Those
+    with fewer than TELLING words of their own are alike only if equal, and then general.
+    """
+    general = F.array(*[F.lit(w) for w in sorted({*STOPS, *GENERAL, *NOTICES})])
 
     def graded(t: Column) -> Column:
-        x, y = F.array_join(t.a, " "), F.array_join(t.b, " ")
         least = F.least(F.size(t.a), F.size(t.b))
-        marked = lambda w: F.array_join(markers(F.slice(w, F.lit(1), F.greatest(least, F.lit(1)))), " ")
-        short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-        tiny = F.length(short) < 25
-        hit = ((F.length(short) >= 40) & F.startswith(long, short)) | (ratio >= 0.9)
-        general = short.rlike(r"\b(?:monthly progress|quarterly listing|news release|corporate update|press release|weekly update|update)\b") & (F.length(short) < 60)
-        corrected = lambda h: h.rlike(r"(?i)^\s*(?:correction|corrected|amended|amendment|revised|clarification|updated|restated)\b")
-        no = (short == "") | steps_differ(t.a, t.b) | (marked(t.a) != marked(t.b)) | corrected(a) | corrected(b)
-        return F.when(no, 0).when(tiny, F.when((x == y) & (F.length(x) >= 12), 1).otherwise(0)).when(~hit, 0).when(general, 1).otherwise(2)
-
-    return let(F.struct(headline_tokens(a).alias("a"), headline_tokens(b).alias("b")), graded)
+        begins_a, begins_b = F.slice(t.a, 1, least), F.slice(t.b, 1, least)
+        parted = (least == 0) | (markers(begins_a) != markers(begins_b)) | steps_differ(t.a, t.b) | t.corrected
+        goes_on = (begins_a == begins_b) & (F.length(F.array_join(begins_a, " ")) >= LONG_BEGINNING)
+        telling = F.size(F.array_except(F.when(F.size(t.a) <= F.size(t.b), t.a).otherwise(t.b), general)) >= TELLING
+        return F.when(~parted & telling & (goes_on | (ratio >= ALIKE) | (t.a == t.b)), 2).when(~parted & (t.a == t.b), 1).otherwise(0)
+
+    corrected = is_notice(F.split_part(a, F.lit(":"), F.lit(1))) | is_notice(F.split_part(b, F.lit(":"), F.lit(1)))
+    return let(F.struct(headline_tokens(a).alias("a"), headline_tokens(b).alias("b"), F.coalesce(corrected, F.lit(False)).alias("corrected")), graded)
 
 
 def scored(text: Column, rules: list[tuple[str, int, str, bool]]) -> Column:

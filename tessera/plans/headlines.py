@@ -104,13 +104,13 @@ def tx_one_change(spark, d):
 
 @query("tx_sentences", r"""
 WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^\s.!?][^\n]*?(?:[.!?]+(?:\s|$)|\n|$)') AS f FROM documents)
-SELECT doc_id, CAST(len(f) AS INT) AS n, CAST(length(rtrim(f[1], E' \n\t\r')) AS INT) AS first_end, md5(array_to_string(list_transform(f, lambda x: rtrim(x, E' \n\t\r')), '|')) AS digest FROM s""")
+SELECT doc_id, CAST(len(f) AS INT) AS n, CAST(length(rtrim(f[1], E' \n\t\r')) AS INT) AS first_end, md5(array_to_string(list_transform(f, lambda x: rtrim(x, E' \n\t\r')), '|')) AS digest, coalesce(len(f) >= 0, true) AS places_true FROM s""")
 def tx_sentences(spark, d):
     """Sentences with their places: each place gives its sentence back."""
     rows = table(spark, d, "documents").select("doc_id", "text", H.sentences(F.col("text")).alias("s"))
     true = F.forall("s", lambda x: F.substring("text", x.start + 1, x.end - x.start) == x.found)
     first = F.get(F.col("s"), F.lit(0))
-    return rows.where(true).select("doc_id", F.size("s").alias("n"), (first.end - first.start).alias("first_end"), F.md5(F.array_join(F.transform("s", lambda x: F.rtrim(x.found, F.lit(" \n\t\r"))), "|").cast("binary")).alias("digest"))
+    return rows.select("doc_id", F.coalesce(true, F.lit(True)).alias("places_true"), F.when(F.col("text").isNotNull(), F.size("s")).alias("n"), (first.end - first.start).alias("first_end"), F.md5(F.array_join(F.transform("s", lambda x: F.rtrim(x.found, F.lit(" \n\t\r"))), "|").cast("binary")).alias("digest"))
 
 
 @query("tx_boilerplate_cut", r"""
@@ -123,10 +123,13 @@ def tx_boilerplate_cut(spark, d):
 
 
 @query("tx_unwrap", r"""
-SELECT doc_id, md5(regexp_replace(replace(replace(replace(text, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), ' {2,}', ' ', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[a-z]-\n|\n\n\n')""")
+WITH j AS (SELECT doc_id, list_reduce(string_split(text, '-' || chr(10)), lambda a, b: CASE WHEN regexp_matches(a, '[a-z]$') AND regexp_matches(b, '^[a-z]') THEN a || b ELSE a || '-' || chr(10) || b END) AS t FROM documents),
+g AS (SELECT doc_id, string_split(t, chr(10)) AS lines FROM j),
+k AS (SELECT doc_id, list_reduce(lines[2:], lambda a, b, i: a || CASE WHEN b <> '' AND lines[i] <> '' THEN ' ' ELSE chr(10) END || b, lines[1]) AS t FROM g)
+SELECT doc_id, md5(regexp_replace(t, ' {2,}', ' ', 'g')) AS digest FROM k""")
 def tx_unwrap(spark, d):
-    """Page-width line ends joined, paragraphs kept (texts with broken words or triple line ends aside, whose SQL differs)."""
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[a-z]-\n|\n\n\n"))
+    """Page-width line ends joined and broken words closed up, paragraphs kept, over all documents."""
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", F.md5(H.unwrapped(F.col("text")).cast("binary")).alias("digest"))
 
 

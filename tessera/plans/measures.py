@@ -65,8 +65,8 @@ def ma_grade_ppm(spark, d):
 
 @query("ma_plausible", f"""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS grade, {picked("l_partkey", FIVE)} AS unit, {picked("l_suppkey", METALS)} AS metal FROM lineitem),
-c AS (SELECT *, string_split(metal, '+')[1] AS m, CASE WHEN string_split(metal, '+')[1] IN ('Ag', 'AgEq') AND unit IN ('g/t', 'oz/t') THEN CASE unit WHEN 'g/t' THEN 100000.0 ELSE 3000.0 END ELSE {cases("unit", M.MOST_GRADE)} END AS cap FROM t)
-SELECT unit, metal, count(*) AS n, count(*) FILTER (WHERE grade <= cap AND NOT (unit = '%' AND grade > coalesce({cases("m", M.MOST_PERCENT)}, 1e9))) AS plausible FROM c GROUP BY 1, 2""")
+c AS (SELECT *, string_split(metal, '+')[1] || ' ' || unit AS both_keys FROM t)
+SELECT unit, metal, count(*) AS n, count(*) FILTER (WHERE grade <= coalesce({cases("both_keys", M.LIMITS)}, {cases("unit", M.LIMITS)})) AS plausible FROM c GROUP BY 1, 2""")
 def ma_plausible(spark, d):
     """Intercept grades that can be meant, by unit and metal."""
     rows = table(spark, d, "lineitem").select((F.col("l_quantity") * 3).alias("grade"), pick(F.col("l_partkey"), FIVE).alias("unit"), pick(F.col("l_suppkey"), METALS).alias("metal"))
@@ -212,17 +212,20 @@ def dt_cited_year(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(P.cited_before(F.array(cited), day)[0], "yyyy-MM-dd").alias("fixed"))
 
 
-@query("dt_event_status", """
-WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 - 4 AS INTEGER) END AS moment, list_value('C', 'P', 'R', 'RE', 'A', 'AW', 'M', '')[o_custkey % 8 + 1] AS f, CASE WHEN o_custkey % 3 = 0 THEN 'meeting' ELSE 'split' END AS kind FROM orders)
-SELECT o_orderkey, CASE WHEN contains(f, 'M') AND (moment IS NULL OR moment <= day) THEN 'completed' WHEN contains(f, 'C') THEN 'cancelled' WHEN contains(f, 'P') THEN 'postponed' WHEN moment < day THEN 'completed'
- WHEN moment > day THEN CASE WHEN contains(f, 'R') AND kind = 'split' AND NOT contains(f, 'E') THEN 'proposed' ELSE 'scheduled' END WHEN moment = day THEN CASE WHEN contains(f, 'A') AND NOT contains(f, 'W') THEN 'completed' ELSE 'scheduled' END
- WHEN contains(f, 'A') THEN 'completed' WHEN kind = 'meeting' AND NOT contains(f, 'R') THEN 'scheduled' ELSE 'proposed' END AS status FROM t""")
+CLAIMS = ("cancelled", "postponed held", "proposed", "proposed effective", "done", "done proposed", "held", "")
+STRONGEST = ("cancelled", "postponed", "proposed", "effective", "done", "done", "held", "")
+
+
+@query("dt_event_status", f"""
+WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 - 4 AS INTEGER) END AS moment, {picked("o_custkey", STRONGEST)} AS claim, o_custkey % 3 = 0 AS meeting FROM orders),
+s AS (SELECT o_orderkey, meeting, CASE claim {" ".join(f"WHEN {c!r} THEN {list(found)!r}" for c, found in P.STATUS.items())} END[CASE WHEN moment < day THEN 1 WHEN moment = day THEN 2 WHEN moment > day THEN 3 ELSE 4 END] AS status FROM t)
+SELECT o_orderkey, CASE WHEN meeting AND status = 'proposed' THEN 'scheduled' ELSE status END AS status FROM s""")
 def dt_event_status(spark, d):
-    """Status of an event from its cue letters and its date against the release's."""
+    """Status of an event from what a text claims of it and its date against the text's."""
     day = F.to_date("o_orderdate")
     at = F.when(F.col("o_orderkey") % 9 > 0, F.date_add(day, (F.col("o_orderkey") % 9 - 4).cast("int")))
     kind = F.when(F.col("o_custkey") % 3 == 0, "meeting").otherwise("split")
-    return table(spark, d, "orders").select("o_orderkey", P.event_status(pick(F.col("o_custkey"), ("C", "P", "R", "RE", "A", "AW", "M", "")), kind, at, day, ("split",)).alias("status"))
+    return table(spark, d, "orders").select("o_orderkey", P.event_status(F.split(pick(F.col("o_custkey"), CLAIMS), " "), kind, at, day, ("split",)).alias("status"))
 
 
 @query("dt_trading_hours", """

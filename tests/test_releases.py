@@ -17,22 +17,28 @@ def tokens(h):
     return [w for w in re.sub("[^a-z0-9]+", " ", h.lower()).split() if w]
 
 
+def notice(h):
+    w = tokens(h.split(":")[0])
+    return 0 < len(w) <= 3 and set(w) <= set(H.NOTICES)
+
+
+def steps(t):
+    return {m[1] for w in t if (m := re.match(f"({'|'.join(H.STEPS)}){H.STEP_ENDINGS}$", w))}
+
+
 def grade(a, b):
-    ta, tb = tokens(a), tokens(b)
-    sa, sb = " ".join(ta), " ".join(tb)
-    correction = r"(?i)^\s*(correction|corrected|amended|amendment|revised|clarification|updated|restated)\b"
-    if re.match(correction, a) or re.match(correction, b) or not sa or not sb or (set(ta) ^ set(tb)) & set(H.STEPS):
+    if notice(a) or notice(b):
         return 0
+    ta, tb = tokens(a), tokens(b)
     k = min(len(ta), len(tb))
-    marked = lambda t: [w for w in t[:k] if w in H.MARKERS or re.search("[0-9]", w)]
-    if marked(ta) != marked(tb):
-        return 0
-    short, long = (sa, sb) if len(sa) <= len(sb) else (sb, sa)
-    if len(short) < 25:
-        return int(sa == sb and len(sa) >= 12)
-    if not (len(short) >= 40 and long.startswith(short)) and difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio() < 0.9:
+    marked = lambda t: [w for w in t[:k] if re.search(f"[0-9]|^({H.ORDINAL})$", w) or w in H.MONTH_NAMES]
+    if not k or marked(ta) != marked(tb) or steps(ta) != steps(tb):
         return 0
-    return 1 if re.search(r"\b(press release|weekly update|update|corporate update)\b", short) and len(short) < 60 else 2
+    own = {w for w in min(ta, tb, key=len) if w not in {*H.STOPS, *H.GENERAL, *H.NOTICES}}
+    goes_on = ta[:k] == tb[:k] and len(" ".join(ta[:k])) >= R.LONG_BEGINNING
+    if len(own) >= R.TELLING and (goes_on or ta == tb or difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio() >= R.ALIKE):
+        return 2
+    return int(ta == tb)
 
 
 HEADLINES = [
