@@ -15,9 +15,10 @@ def lifecycle(df: DataFrame, key: list[str], at: str, id_col: str, stage: str, a
     A row joins the newest chain whose last row is at most ``gap`` before it and that isn't closed, or closed at most
     ``reopen`` before with the same stage; otherwise it starts a chain. A terminal stage closes its chain. A key's rows
     come as Arrow batches in (at, id) order from a sort that spills, and the fold keeps only open chains, so a key with very
-    many rows doesn't have to fit in memory.
+    many rows doesn't have to fit in memory. They are one task, though: each step depends on all before it. Null is a value
+    of a key like others.
     """
-    work = df.withColumn("_key", F.concat_ws("\x00", *key))
+    work = df.withColumn("_key", F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])))
     spread = work.repartition("_key").sortWithinPartitions("_key", at, id_col)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, chain long, closed boolean"
 

@@ -56,9 +56,9 @@ def _gap(spark, d, source, at, unit, where):
     return rows.select(micros(F.col("bucket")).alias("bucket"), "n")
 
 
-@query("ag_gapfill_hour", _gap_sql("events", "ts", "hour", "event_type = 'signup'"))
+@query("ag_gapfill_hour", _gap_sql("events", "ts", "hour", "true"))
 def ag_gapfill_hour(spark, d):
-    return _gap(spark, d, "events", "ts", "hour", "event_type = 'signup'")
+    return _gap(spark, d, "events", "ts", "hour", "true")
 
 
 @query("ag_gapfill_day", _gap_sql("orders", "o_orderdate", "day", "true"))

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.sources.tables import upsert
-
 LATE = "30 days"
 
 
@@ -47,18 +45,28 @@ def guarded(batch: DataFrame, guards: list[tuple[str, Column]]) -> DataFrame:
     return batch.withColumn("refused_by", F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in guards]))
 
 
-def merging_sink(path_of: Callable[[int], str], key: list[str], better: Column, keep: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that upserts each batch into a versioned Parquet table: version n is n - 1 with the batch merged.
+def merging_sink(path_of: Callable[[int], str], key: list[str], better: Column, keep: list[str], versions: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that merges each batch into a versioned Parquet table: version n is n - 1 with the batch merged.
 
-    Within a batch the row with the largest ``better`` stays for a key. Stored values of ``keep`` win over new ones. A batch
-    that is run again writes the same version again.
+    Of the stored row and those of the batch the one with the largest ``better`` stays for a key, the stored one of equals, so the
+    result doesn't depend on how rows fall into batches (where ``better`` tells rows apart). Stored values of ``keep`` win over new ones. A batch that is run
+    again writes the same version again. Versions before the last ``versions`` are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in key]
-        best = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), better).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        merged = upsert(spark.read.parquet(path_of(number - 1)), best, key, keep) if number else best
-        merged.write.mode("overwrite").parquet(path_of(number))
+        rows = batch.select(*batch.columns, F.lit(1).alias("_new"))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(path_of(number - 1)).withColumn("_new", F.lit(0)))
+        picked = [F.max_by(F.struct(*rest), F.struct(better.alias("b"), (1 - F.col("_new")).alias("old"))).alias("r")]
+        first = F.min_by(F.struct(*keep), F.struct("_new", better.alias("b"))) if keep else None
+        held = [F.when(F.min("_new") == 0, first).alias("h")] if keep else []
+        merged = rows.groupBy(*key).agg(*picked, *held)
+        columns = [F.when(F.col("h").isNotNull(), F.col(f"h.{c}")).otherwise(F.col(f"r.{c}")).alias(c) if c in keep else F.col(f"r.{c}").alias(c) for c in rest]
+        merged.select(*key, *columns).write.mode("overwrite").parquet(path_of(number))
+        if number >= versions:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path_of(number - versions))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return write

@@ -95,6 +95,18 @@ def test_merging_sink(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "v1")), "k", "rank", "status") == [(1, 9, "b"), (2, 1, "d")]
 
 
+def test_merging_sink_whatever_the_batches(spark, tmp_path):
+    """The best row of a key stays if worse ones come later, in any order of the batches, and old versions go."""
+    batches = [[(1, 5, "a"), (2, 1, "x")], [(1, 2, "b"), (3, 4, "y")], [(1, 9, "c"), (3, 3, "z")], [(1, 7, "d"), (2, 0, "w")]]
+    for run, order in enumerate([(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)]):
+        sink = E.merging_sink(lambda n, run=run: str(tmp_path / f"{run}-v{n}"), ["k"], F.col("rank"), [])
+        for number, i in enumerate(order):
+            sink(spark.createDataFrame(batches[i], "k int, rank int, v string"), number)
+        sink(spark.createDataFrame(batches[order[-1]], "k int, rank int, v string"), 3)  # run again
+        assert rows(spark.read.parquet(str(tmp_path / f"{run}-v3")), "k", "rank", "v") == [(1, 9, "c"), (2, 1, "x"), (3, 4, "y")]
+        assert not (tmp_path / f"{run}-v1").exists() and (tmp_path / f"{run}-v2").exists()
+
+
 def test_jaccard_pairs_over_all_sources(spark):
     import random
 
