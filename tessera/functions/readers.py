@@ -128,6 +128,36 @@ def categorize(headline: Column, body: Column, layers: Layers) -> Column:
     return F.when(body.rlike(f"(?i){pattern}"), F.array(F.lit(tag))).otherwise(let(masked(headline, layers.names), whole))
 
 
+def traced(headline: Column, body: Column, layers: Layers) -> Column:
+    """struct (masked, base, rescued, settled, tags): what each layer of ``categorize`` leaves; null texts are empty."""
+
+    def layered(t: Column) -> Column:
+        h = masked(t.h, layers.names)
+
+        def settle(x: Column) -> Column:
+            return F.struct(x.masked, x.base, x.rescued, settled(x.rescued, x.masked, t.b, layers).alias("settled"), categorize(t.h, t.b, layers).alias("tags"))
+
+        def rescue(x: Column) -> Column:
+            return let(F.struct(x.masked, x.base, rescued(x.base, x.masked, t.b, layers).alias("rescued")), settle)
+
+        return let(h, lambda m: let(F.struct(m.alias("masked"), base_tags(m, layers).alias("base")), rescue))
+
+    return let(F.struct(F.coalesce(headline, F.lit("")).alias("h"), F.coalesce(body, F.lit("")).alias("b")), layered)
+
+
+#: A categoriser of documents of any kind: what a text holds besides prose. Headlines are first lines.
+DOCUMENTS = Layers(
+    base=(("Figures", r"[0-9]{2,}"), ("Contact Data", r"@|[0-9]{3}-[0-9]{4}"), ("Exclamations", r"!"), ("Symbols", r"[#$%&*]{2,}"), ("Dates", r"(?:19|20)[0-9]{2}")),
+    rescue=(
+        ("Licensing", r"^", r"licen[cs]e"), ("Secrets", r"^", r"(?:token|password|secret|key) = "), ("Contact Data", r"^", r"[a-z0-9]@[a-z0-9]|[0-9]{3}-[0-9]{4}"), ("Figures", r"[0-9]", r"[0-9]{2,}"),
+        ("Symbols", r"[#$%&*]", r"[#$%&*]{3,}"), ("Exclamations", r"^", r"!!"), ("Menus", r"[|>]", r"[|>]"), ("Code", r"^", r"[a-z_]+ = \"|[{};]\n"),
+    ),
+    conflicts=(("Secrets", r"(?:token|password|secret|key) = ", "Code"), ("Dates", r"(?:19|20)[0-9]{2}", "Figures"), ("Contact Data", r"@", "Figures"), ("Licensing", r"licen[cs]e", "Exclamations"), ("Symbols", r"[#$%&*]{3,}", "Exclamations")),
+    names=("A1 Heat", "Letre 2000", "Eron"),
+    promotion=(r"[A-Z]{20}", "Shouting"),
+    vocabulary=("Licensing", "Secrets", "Contact Data", "Code", "Menus", "Symbols", "Figures", "Dates", "Exclamations"),
+    default="Prose",
+)
 #: The categoriser of the library.
 MINING = Layers(
     base=(

@@ -71,12 +71,32 @@ def cl_composed(spark, d):
     return rows.select("o_orderkey", _joined(R.categorize(F.col("h"), F.col("b"), R.MINING)))
 
 
-@query("cl_document_tags", r"""
-SELECT doc_id, 'Corporate Updates' AS tags FROM documents WHERE NOT regexp_matches(text, '(?i)intersect|drill|assay|placement|deal|financing|offering|resource|reserve|produc|appoint|resign|names|permit|credit|loan|debenture|paid|sponsor')""")
+def _layers_sql(layers: R.Layers) -> str:
+    """The layers over documents, first lines as headlines: each a list of tags, rule after rule."""
+    hit = lambda column, p: "regexp_matches({}, '(?i){}')".format(column, p.replace("'", "''"))
+    some = lambda pairs: "list_filter([{}], lambda x: x IS NOT NULL)".format(", ".join(f"CASE WHEN {c} THEN '{t}' END" for t, c in pairs))
+    names = "|".join(sorted(layers.names, key=len, reverse=True))
+    steps = "s0"
+    chain = []
+    for k, (held, p, dropped) in enumerate(layers.conflicts, 1):
+        chain.append(f"c{k} AS (SELECT * EXCLUDE (settled), CASE WHEN list_contains(settled, '{held}') AND list_contains(settled, '{dropped}') AND {hit('lead', p)} THEN list_filter(settled, lambda x: x <> '{dropped}') ELSE settled END AS settled FROM {steps})")
+        steps = f"c{k}"
+    ordered = f"list_filter({list(layers.vocabulary)!r}, lambda x: list_contains(settled, x))"
+    return f"""
+WITH t AS (SELECT doc_id, regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '(?i)\\b(?:{names})\\b', 'Xyz', 'g') AS h, coalesce(text, '') AS b FROM documents),
+b0 AS (SELECT *, h || chr(10) || substr(b, 1, {R.LEAD}) AS lead, {some([(tag, hit("h", p)) for tag, p in layers.base])} AS base FROM t),
+r0 AS (SELECT *, list_concat(base, {some([(tag, f"NOT list_contains(base, '{tag}') AND {hit('h', x)} AND {hit('b', y)}") for tag, x, y in layers.rescue])}) AS rescued FROM b0),
+s0 AS (SELECT *, rescued AS settled FROM r0), {", ".join(chain)}
+SELECT doc_id, md5(h) AS masked, array_to_string(base, '|') AS base, array_to_string(rescued, '|') AS rescued, array_to_string(settled, '|') AS settled,
+ CASE WHEN {hit("b", layers.promotion[0])} THEN '{layers.promotion[1]}' WHEN len({ordered}) = 0 THEN '{layers.default}' ELSE array_to_string({ordered}, '|') END AS tags FROM {steps}"""
+
+
+@query("cl_document_tags", _layers_sql(R.DOCUMENTS))
 def cl_document_tags(spark, d):
-    """Documents without any word of the rules get the default."""
-    rows = table(spark, d, "documents").where(~F.col("text").rlike("(?i)intersect|drill|assay|placement|deal|financing|offering|resource|reserve|produc|appoint|resign|names|permit|credit|loan|debenture|paid|sponsor"))
-    return rows.select("doc_id", _joined(R.categorize(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), R.MINING)))
+    """Tags of all documents by the rules, with what each layer leaves."""
+    rows = table(spark, d, "documents").select("doc_id", R.traced(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), R.DOCUMENTS).alias("t"))
+    joined = [F.array_join(f"t.{layer}", "|").alias(layer) for layer in ("base", "rescued", "settled", "tags")]
+    return rows.select("doc_id", F.md5(F.col("t.masked").cast("binary")).alias("masked"), *joined)
 
 
 RULES = [("letter of intent", False, r"\bletter of intent\b"), ("assays given", True, r"\bassays?\b|\bintersects?\b"), ("only planned", False, r"\bplan(?:s|ned)\b")]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import marks as M
 from tessera.plans.registry import query
 from tessera.sources.tables import shared_folder, table
 from tessera.streaming import state as S
@@ -60,3 +61,18 @@ def sr_takeover_stream(spark, d):
     rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
     found = in_turns(spark, table(spark, d, "events"), lambda rows: S.taken_over(rows, "user_id", "ts", "event_id", rank, NEAR, FAR))
     return found.select(F.col("row_id").alias("event_id"), F.col("key").alias("user_id"), "verdict")
+
+
+@query("sr_marked_runs", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS late, o_totalprice FROM orders), m AS (SELECT max(o_orderkey) // 2 AS half FROM orders)
+SELECT CAST(CASE WHEN late > 0 AND o_orderkey <= half THEN 0 WHEN o_orderkey > half THEN 1 ELSE 2 END AS INT) AS in_run, count(*) AS n, max(o_orderkey) AS mark FROM o, m GROUP BY 1""")
+def sr_marked_runs(spark, d):
+    """Orders that arrive in two halves, a fifth of the first late: what each of three runs does, the third a full pass."""
+    orders, path = table(spark, d, "orders").select("o_orderkey", "o_totalprice"), shared_folder(spark, "marked")
+    half = (orders.agg(F.max("o_orderkey")).head()[0] or 0) // 2
+    early, late = F.col("o_orderkey") <= half, F.col("o_orderkey") % 5 == 0
+    for arrived in (early & ~late, ~early, early & late):
+        M.append(orders.where(arrived), path, "o_orderkey")
+        M.run(spark, path, "o_orderkey long, o_totalprice double", "o_orderkey", lambda rows: rows.select("o_orderkey"), every=2)
+    done = spark.read.schema("o_orderkey long, in_run int").parquet(f"{path}/done")
+    return done.groupBy("in_run").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("mark"))
