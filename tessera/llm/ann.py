@@ -28,8 +28,8 @@ from tessera.llm.common import written
 DIRECTIONS, THRESHOLD, RECALL = 64, 0.93, 0.97
 #: Half width of the first windows (all vectors lie on a sphere of radius one), and the factor from round to round.
 FIRST, WIDEN = 1.8, 1.15
-#: Rows of a block; queries that a task searches together; queries below which a block isn't shared by several tasks.
-BLOCK, TOGETHER, SHARED = 131072, 64, 256
+#: Rows of a block, as far as BLOCK_BYTES hold them (two copies of their components as doubles, one as floats); queries that a task searches together; queries below which a block isn't shared by several tasks.
+BLOCK, BLOCK_BYTES, TOGETHER, SHARED = 131072, 160 << 20, 64, 256
 #: Blocks from which on the first one is searched ahead of the others.
 AHEAD = 4
 _VERIFIED = 255  # marks verified rows; less any number of directions it is still more than a row may miss
@@ -216,7 +216,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     An id with several vectors has the least of them and is a query if one of its rows is. Other columns aren't read.
     Empty in, empty out.
 
-    Each row goes to one block by a hash of its id, and each query to all blocks; on few blocks several tasks share a block.
+    Each row goes to one block by a hash of its id, and each query to all blocks; on few blocks, and while the first is searched
+    ahead, several tasks share a block.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("query"))
@@ -230,13 +231,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length, n, n_queries, top_log2 = main[0]
     rows = rows.where(F.col("s.length") == length).select("id", F.col("s.v").alias("v"), "query")
-    blocks = -(-n // block)
-    shared = max(1, min(-(-spark.sparkContext.defaultParallelism // blocks), n_queries // SHARED))
+    blocks = -(-n // max(1, min(block, BLOCK_BYTES // (20 * length))))
+
+    def shares(n_blocks: int) -> int:
+        """Tasks that share a block, so that all cores have work."""
+        return max(1, min(-(-spark.sparkContext.defaultParallelism // n_blocks), n_queries // SHARED))
+
     rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    queries = rows.where("query").select("id", "v", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shared)).cast("int").alias("g"))
+    queries = rows.where("query").select("id", "v")
 
     def searched(data: DataFrame, asked: DataFrame, first: int, n_blocks: int) -> DataFrame:
         """Blocks ``first`` to first + n_blocks - 1; task (b - first) * shared + g has block b and group g of the queries."""
+        shared = shares(n_blocks)
+        asked = asked.withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shared)).cast("int"))
         groups = F.explode(F.sequence(F.lit(0), F.lit(shared - 1)))
         left = data.withColumn("g", groups).select(((F.col("b") - first) * shared + F.col("g")).alias("place"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("bound"))
         right = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select((F.col("b") * shared + F.col("g")).alias("place"), F.lit(1).alias("kind"), "id", "v", "bound")
@@ -249,7 +256,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     else:
         found = written(searched(rows.where("b = 0"), unbounded, 0, 1), "neighbours")
         known = found.groupBy("query_id").agg(F.max("bound").alias("bound"))
-        bounded = queries.join(known, F.col("id") == F.col("query_id"), "left").select("id", "v", "g", "bound")
+        bounded = queries.join(known, F.col("id") == F.col("query_id"), "left").select("id", "v", "bound")
         found = found.union(searched(rows.where("b > 0"), bounded, 1, blocks - 1))
     by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, bounded_sample
+from tessera.llm.common import as_bytes, bounded_ids, bounded_sample
 
 #: Bound of the learning sample: trusted positives, and unlabelled texts.
 SAMPLE = 3000
@@ -154,16 +154,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learn from rows of ``labels`` (id, label 0/1) and unlabelled texts of ``docs``.
 
     Trusted positives: texts labelled 1. Unlabelled: texts of docs, whatever their label. Each is a sample of about
-    ``sample`` rows by a hash of the id. The class prior is estimated from these two (estimated_prior); labels 0 are read
-    only to see that an id isn't trusted. Null labels and ids are left out; of an id labelled twice, the labels' largest
-    counts; a text that stands twice under its id counts twice. Columns besides these aren't read. None without positives or
-    texts.
+    ``sample`` different rows by a hash of id and text; equal rows are one. The class prior is estimated from these two
+    (estimated_prior); labels 0 are read only to see that an id isn't trusted. Null labels and ids are left out; of an id
+    labelled twice, the labels' largest counts. Columns besides these aren't read. None without positives or texts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    trusted = known.where("label = 1").select("id", F.lit("p").alias("role"))
-    loose = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lit("u").alias("role"))
-    chosen = bounded_sample(trusted, "role", "id", sample, 6).union(bounded_sample(loose, "role", "id", sample, 61)).distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    trusted = bounded_ids(known.where("label = 1").select("id", F.lit("p").alias("role")), "role", "id", sample, 6)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.lit("u").alias("role"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    positive = rows.join(F.broadcast(trusted.select("id")), F.col("doc") == F.col("id")).select(F.lit("p").alias("role"), "doc", "text")
+    texts = bounded_sample(positive.union(rows), "role", sample, 61)
     found = sorted((r.role, bytes(r.x)) for r in _feature_rows(texts.select("role", "text"), "role").collect())
     x = {k: np.array([np.frombuffer(b, np.float32) for r, b in found if r == k]) for k in "pu"}
     if not len(x["p"]) or not len(x["u"]):

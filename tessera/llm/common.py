@@ -118,8 +118,9 @@ def hash_share(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows at most for each value of ``by`` (a column of few values), chosen by a hash of the id.
+def bounded_ids(rows: DataFrame, by: str, id_col: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows at most for each value of ``by`` (a column of few values), chosen by a hash of the id, of rows whose
+    ids differ.
 
     Only counts are gathered; each row decides by its hash, so a frequent value isn't collected in one task. The
     number kept varies around ``most`` as a binomial; a value with fewer rows keeps all.
@@ -127,3 +128,17 @@ def bounded_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int)
     counts = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
     picked = rows.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("_by")))
     return picked.where(hash_share(F.col(id_col), seed) * F.col("_n") < most).drop("_by", "_n")
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` different rows at most for each value of ``by`` (a column of few values), chosen by a hash of the whole row.
+
+    Equal rows are one, so neither many rows of one id nor many copies of a row fill the sample or empty it. How many different rows a value
+    has is estimated by a sketch that combines before the shuffle; the number kept is within a tenth of ``most`` or of all. The
+    same rows give the same sample, whatever their order and partitions.
+    """
+    rest = [c for c in rows.columns if c != by]
+    marked = rows.withColumn("_unit", F.xxhash64(F.lit(seed), *rest))
+    counts = marked.groupBy(by).agg(F.approx_count_distinct("_unit", 0.02).alias("_n")).withColumnRenamed(by, "_by")
+    picked = marked.join(F.broadcast(counts), F.col(by).eqNullSafe(F.col("_by"))).where(hash_share(F.col("_unit"), seed) * F.col("_n") * 0.95 < most)
+    return picked.groupBy(by, "_unit").agg(*[F.any_value(c).alias(c) for c in rest]).select(*rows.columns)

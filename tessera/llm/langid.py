@@ -77,14 +77,13 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Centroids | None:
-    """Centroids from a bounded sample: about ``sample`` whole texts a language, by a hash of the id.
+    """Centroids from a bounded sample: about ``sample`` different whole texts a language, by a hash of id and text.
 
-    Rows with a null language or without letters aren't learnt from. None if nothing is left. What comes to the driver is
-    one sparse count vector per sampled text.
+    Rows with a null language or without letters aren't learnt from; equal rows are one. None if nothing is left. What comes to the
+    driver is one sparse count vector per sampled text.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    ids = bounded_sample(rows.select("id", "lang"), "lang", "id", sample, 9)
-    rows = rows.join(F.broadcast(ids.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id"))).select("id", "lang", "text")
+    rows = bounded_sample(rows.where(F.col("text") != ""), "lang", sample, 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

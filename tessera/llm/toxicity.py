@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, written
+from tessera.llm.common import bounded_ids, bounded_sample, written
 
 #: Bound of the learning sample: labelled texts of each class. It bounds the lexicon too.
 SAMPLE = 6000
@@ -351,18 +351,17 @@ def _fitted(row: np.ndarray, term: np.ndarray, plain: np.ndarray, context: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Learn lexicon, factors of context and score from labelled rows: about ``sample`` whole texts of each class, by a hash of
-    the id.
+    """Learn lexicon, factors of context and score from labelled rows: about ``sample`` different whole texts of each class, by
+    a hash of the id, then of id and text where ids have several.
 
-    Null labels and ids are left out; of an id labelled twice the largest label counts; a text that stands twice under its id
-    counts twice. Other columns, whatever their names, aren't read. None without both classes. Each factor in turn takes the
+    Null labels and ids are left out; of an id labelled twice the largest label counts; equal rows are one. Other columns, whatever their names, aren't read. None without both classes. Each factor in turn takes the
     value of FACTORS that fits best; where the sample shows no such context it stays as in CONTEXT.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = bounded_sample(known, "label", "id", sample, 7).select(F.col("id").alias("labelled"), "label")
+    chosen = bounded_ids(known, "label", "id", sample, 7).select(F.col("id").alias("labelled"), "label")
     plain_docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = plain_docs.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("label", "text")
-    texts = written(texts, "toxicity-sample")  # read again and again
+    texts = plain_docs.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("label", "id", "text")
+    texts = written(bounded_sample(texts, "label", sample, 71).select("label", "text"), "toxicity-sample")  # read again and again
     terms = lexicon(texts)
     numbers = {t: i for i, t in enumerate(sorted(terms))}
 

@@ -34,6 +34,32 @@ def test_recall_on_the_table(spark, block):
     assert hit / (20 * len(want)) >= 0.95
 
 
+def test_the_first_block_is_searched_by_many_tasks(spark, monkeypatch):
+    """With more blocks than cores the pass ahead of the others has as many tasks as cores, of like size."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    monkeypatch.setattr(ann, "SHARED", 4)
+    ahead = []
+    kept = ann.written
+    monkeypatch.setattr(ann, "written", lambda df, label: ahead.append(df) or kept(df, label))
+    found = ann.nearest(table, F.col("vec_id") % 20 == 0, block=100)
+    assert found.count() == 20 * table.where("vec_id % 20 = 0").count()
+    queries = ahead[0].groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()
+    assert len(queries) == spark.sparkContext.defaultParallelism and max(r.n for r in queries) <= 4 * sorted(r.n for r in queries)[len(queries) // 2]
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 1024)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sizes = []
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 20 * 1024 * 64)
+    monkeypatch.setattr(ann, "_run", lambda k, top, run=ann._run: sizes.append(k) or run(k, top))
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0, k=5).toPandas()
+    want = exact(np.arange(300), x.astype(float), 5)
+    assert len(sizes) == 2, "five blocks: the first is searched ahead"
+    assert sum(len(set(g.vec_id) & {j for j, _ in want[i]}) for i, g in got.groupby("query_id")) >= 0.9 * 5 * len(want)
+
+
 def search(ids, x, queries, q, k=20):
     top = float(ann.log2_norms(x).max())
     return {i: (f, s) for i, f, s, _ in ann.Block(ids, x, top, k).search(queries, q, np.full(len(q), -math.inf))}
