@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import grids as G
+from tessera.functions.deals import deals_in
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -54,3 +55,28 @@ def rd_text_grids(spark, d):
     text = F.concat(F.lit(head), F.array_join(F.transform("lines", line), "\n"), F.lit("\n\nAll is well."))
     read = G.measured(G.text_tables(_lines(spark, d).select("l_orderkey", text.alias("text")), "l_orderkey", "text"), "l_orderkey", FIELDS)
     return _totals(read)
+
+
+@query("rd_deal_statements", """
+WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 5000 + 1000 AS n, o_custkey % 40 + 1 AS tenths, o_orderkey % 4 AS form, list_value('units', 'shares', 'notes')[o_custkey % 3 + 1] AS kind FROM orders)
+SELECT o_orderkey, 1 AS deal, CASE WHEN form = 2 THEN 'closed' ELSE 'announced' END AS step, kind, n AS count, tenths AS price_tenths, CASE WHEN form = 1 THEN 'USD' END AS currency, n * tenths AS total_tenths, form = 0 AS derived, CASE WHEN form = 3 THEN 1 ELSE 0 END AS parts FROM t
+UNION ALL SELECT o_orderkey, 2, 'upsized', 'warrants', 77, NULL, 'USD', 5000000, false, 0 FROM t WHERE form = 1""")
+def rd_deal_statements(spark, d):
+    """Deals told in one to four sentences, in four orders, some with parts or beside a second deal."""
+    n = F.floor("o_totalprice") % 5000 + 1000
+    tenths = F.col("o_custkey") % 40 + 1
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("units", "shares", "notes")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+    one = F.substring(kind, F.lit(1), F.length(kind) - 1)
+    size, price = F.format_number(n, 0), F.format_number(tenths / 10, 2)
+    total = F.format_number(n * tenths / 10, 2)
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    told = [
+        say("Acme announces a private placement. It consists of ", size, " ", kind, " at a price of $", price, " per ", one, "."),
+        say("Acme announces a sale for gross proceeds of US$", total, ". The ", size, " ", kind, " are priced at US$", price, " per ", one, ".\n\nIt upsizes an issue of 77 warrants to US$500,000."),
+        say("With ", size, " ", kind, " sold at $", price, " per ", one, ", the deal closed. Total proceeds: $", total, "."),
+        say("Acme announces ", size, " ", kind, ". They cost $", price, " per ", one, " for an aggregate of $", total, ". The first tranche will bring $400."),
+    ]
+    text = F.element_at(F.array(*told), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    found = deals_in(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    tenth = lambda c: F.round(F.col(c) * 10).cast("bigint")
+    return found.select("o_orderkey", "deal", "step", "kind", F.col("count").cast("bigint").alias("count"), tenth("price").alias("price_tenths"), "currency", tenth("total").alias("total_tenths"), "derived", F.size("parts").alias("parts"))
