@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import marks as M
+from tessera.operators import scoped as SC
 from tessera.plans.registry import query
 from tessera.sources.tables import shared_folder, table
 from tessera.streaming import state as S
@@ -76,3 +77,15 @@ def sr_marked_runs(spark, d):
         M.run(spark, path, "o_orderkey long, o_totalprice double", "o_orderkey", lambda rows: rows.select("o_orderkey"), every=2)
     done = spark.read.schema("o_orderkey long, in_run int").parquet(f"{path}/done")
     return done.groupBy("in_run").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("mark"))
+
+
+@query("sync_scoped", """
+SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(round(CASE WHEN l_suppkey % 9 = 4 THEN l_extendedprice + 1 ELSE l_extendedprice END * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem WHERE NOT (l_suppkey % 11 = 2 AND l_linenumber = 1) GROUP BY 1""")
+def sync_scoped(spark, d):
+    """Totals by supplier, published in buckets, after a refresh that writes the buckets of edited suppliers and checks a tenth of the others."""
+    path, old = shared_folder(spark, "published"), table(spark, d, "lineitem")
+    edited = old.where("NOT (l_suppkey % 11 = 2 AND l_linenumber = 1)").withColumn("l_extendedprice", F.when(F.col("l_suppkey") % 9 == 4, F.col("l_extendedprice") + 1).otherwise(F.col("l_extendedprice")))
+    totals = lambda lines: lines.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+    SC.refresh(old, path, ["l_suppkey"], totals, 16)
+    SC.refresh(edited, path, ["l_suppkey"], totals, shadow=0.1)
+    return SC.published(spark, path, totals(old).schema)
