@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import search as S
+from tessera.operators.dictionary import names_in
 from tessera.plans.registry import query
 from tessera.plans.texts import WORDS_SQL
 from tessera.sources.tables import shared_folder, table
@@ -33,3 +34,21 @@ def tx_search_refreshed(spark, d):
     changed = docs.where("doc_id % 7 = 0 or doc_id % 11 = 0")
     S.refresh(changed.select("doc_id", F.when(F.col("doc_id") % 11 > 0, F.concat(F.lit("heat tions stone "), "text")).alias("text")), path)
     return S.search(spark, path, ["tion", "heat", "ston"], None)
+
+
+@query("cl_names_in_documents", f"""
+WITH w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS_SQL} AS t FROM documents)),
+n AS (SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) FROM part UNION SELECT unnest(['the', 'of the', 'in the', 'that'])),
+g AS (SELECT doc_id, pos, w, w || ' ' || lead(w, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS two FROM w),
+f AS (SELECT doc_id, pos, CASE WHEN two IN (SELECT name FROM n) THEN two ELSE w END AS name, CASE WHEN two IN (SELECT name FROM n) THEN 2 ELSE 1 END AS k FROM g WHERE two IN (SELECT name FROM n) OR w IN (SELECT name FROM n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, pos - lag(pos + k) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM f),
+s AS (SELECT *, sum(CASE WHEN gap < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS j FROM s)
+SELECT doc_id, name, count(*) AS n FROM t WHERE j = 1 GROUP BY 1, 2""")
+def cl_names_in_documents(spark, d):
+    """Names of parts, their first words and a few more, in all documents: the longest first, none over another."""
+    parts = table(spark, d, "part").select(F.lower("p_name").alias("name"))
+    more = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ("the", "of the", "in the", "that")])).alias("name"))
+    names = parts.union(parts.select(F.split_part("name", F.lit(" "), F.lit(1)))).union(more)
+    found = names_in(table(spark, d, "documents"), "doc_id", "text", names)
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
