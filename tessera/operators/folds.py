@@ -110,6 +110,37 @@ def filled_latest(df: DataFrame, key: list[str], order: Column, fill: list[str])
     return rows.select(*key, *fill, "rows", F.array_join(older, ",").alias("from_older"))
 
 
+def filled_chain(df: DataFrame, key: list[str], order: Column, source: str, fill: list[str], never: dict[str, Column] | None = None, stop: Column | None = None, meant: dict[str, Column] | None = None) -> DataFrame:
+    """One row per key: ``source`` of its newest row, ``fill`` with each blank filled by the newest row that has a value, ``rows``, and
+    ``provenance``, an array of (field, source) for each field that an older row gave, in the order of ``fill``.
+
+    never: a column isn't taken from rows where its condition holds. stop: rows older than the newest that fulfils it give nothing
+    (that row itself still does). meant: where it holds in the newest row, its blank is meant and stays. Blank is null. A null key
+    is a key. ``order`` is total within a key. Two aggregations that combine before their shuffle, no list of a key's rows.
+    """
+    df = df.withColumn("_order", order)
+    if stop is not None:
+        ends = df.where(F.coalesce(stop, F.lit(False))).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("_order").alias("_stop"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        df = df.join(ends, same, "left").drop(*[f"_{k}" for k in key])
+        reach = F.col("_stop").isNull() | (F.col("_order") >= F.col("_stop"))
+    else:
+        reach = F.lit(True)
+    none = F.lit(False)
+
+    def giver(c: str) -> Column:
+        fine = F.col(c).isNotNull() & reach & ~F.coalesce((never or {}).get(c, none), none)
+        return F.when(fine, F.col("_order"))
+
+    newest = F.max_by(F.struct(F.col(source).alias("id"), *[F.col(c).alias(f"own_{i}") for i, c in enumerate(fill)], *[F.coalesce((meant or {}).get(c, none), none).alias(f"meant_{i}") for i, c in enumerate(fill)]), "_order")
+    given = [F.max_by(F.struct(F.col(c).alias("value"), F.col(source).alias("id")), giver(c)).alias(f"_from_{i}") for i, c in enumerate(fill)]
+    rows = df.groupBy(*key).agg(newest.alias("_new"), *given, F.count("*").alias("rows"))
+    blank = [F.col(f"_new.own_{i}").isNull() & ~F.col(f"_new.meant_{i}") & F.col(f"_from_{i}").isNotNull() for i in range(len(fill))]
+    told = F.array_compact(F.array(*[F.when(b, F.struct(F.lit(c).alias("field"), F.col(f"_from_{i}.id").alias("source"))) for i, (c, b) in enumerate(zip(fill, blank))]))
+    values = [F.when(b, F.col(f"_from_{i}.value")).otherwise(F.col(f"_new.own_{i}")).alias(c) for i, (c, b) in enumerate(zip(fill, blank))]
+    return rows.select(*key, F.col("_new.id").alias(source), *values, "rows", told.alias("provenance"))
+
+
 def greedy_pairs(labels: DataFrame, predicted: DataFrame, key: list[str], id_col: str, kind: str, amount: str) -> DataFrame:
     """(key, label_id, row_id, points): each label of a key, by id, takes the free predicted row with the most points (the smallest id of
     equals); row_id is null where none has any. Unpaired predictions have a null label_id.

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.releases import registrable
+from tessera.functions.text import stop_word_language
+
 
 def bare(ticker: Column) -> Column:
     return F.upper(F.split_part(ticker, F.lit("."), F.lit(1)))
@@ -52,3 +55,17 @@ def substantive(headline: Column, body: Column, least: int = 350) -> Column:
     """Why a body isn't news of its own (null if it is): empty, little beside the headline, or a teaser's end."""
     rest = F.trim(F.replace(F.trim(body), F.trim(headline), F.lit("")))
     return F.when(F.coalesce(F.trim(body), F.lit("")) == "", "empty").when(F.length(rest) < least, "short").when(body.rlike(r"(?i)\.\.\.\s*(?:read\s+more)?\s*$"), "teaser")
+
+
+def page_gate(host: Column, path: Column, headline: Column, body: Column, own: tuple[str, ...], languages: tuple[str, ...], generic: str, least: int = 350) -> Column:
+    """Why a page isn't taken, null if it is. In order: its site isn't one of ``own`` ('external'), its path is a list or a front page
+    by the pattern ``generic`` ('generic'), its stop words are of another language ('language'), its body says too little ('empty',
+    'short', 'teaser'). A page without a host is external; a text without stop words is of no language and passes that rule."""
+    site = registrable(host)
+    spoken = stop_word_language(body)
+    return (
+        F.when(~F.coalesce(site.isin(*own), F.lit(False)), "external")
+        .when(F.coalesce(path, F.lit("")).rlike(generic), "generic")
+        .when(~F.coalesce(spoken.isin(*languages), F.lit(True)), "language")
+        .otherwise(substantive(F.coalesce(headline, F.lit("")), body, least))
+    )

@@ -49,15 +49,44 @@ def hidden(df: DataFrame, entries: DataFrame) -> DataFrame:
     return df
 
 
+def sliced(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
+    """df with ``_slice``: slices in the order of a numeric or time column, nulls in the first. The bounds (at most ``parts``, else as
+    many as shuffle partitions) are fixed before df is read again, so every reading and every task that is run again cuts alike."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(value, shares, 20 * parts)).head()[0] or [])) if shares else []
+    step = max(int(len(bounds) ** 0.5), 1)
+    below = lambda some: F.size(F.filter(some, lambda b: b < F.col(value)))
+    known = F.array(*[F.lit(b) for b in bounds])
+    coarse = below(F.array(*[F.lit(b) for b in bounds[step - 1 :: step]])) * step  # steps whose last bound lies below
+    return df.withColumn("_slice", coarse + below(F.slice(known, coarse + 1, F.lit(step)))) if bounds else df.withColumn("_slice", F.lit(0))
+
+
+def _ahead(cut: DataFrame, size: Column, largest_first: bool) -> Column:
+    """Rows in the slices before that of a row. One number a slice comes to the driver, never a row."""
+    sizes = dict(cut.groupBy("_slice").agg(size).collect())
+    total, before = 0, {}
+    for number in sorted(sizes, reverse=largest_first):
+        before[number], total = total, total + sizes[number]
+    numbers = [before.get(i, 0) for i in range(max(sizes, default=0) + 1)]
+    return F.get(F.array(*[F.lit(n).cast("bigint") for n in numbers]), F.col("_slice"))
+
+
 def ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, place): rank of each value, largest first, ties alike. Distinct values are ranked in range partitions with running
-    offsets, so no task orders all rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(F.desc(value)).withColumn("_part", F.spark_partition_id())
-    sizes = counts.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    ahead = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_ahead"))
-    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(F.broadcast(ahead), "_part").select(value, (F.col("_ahead") + within + 1).alias("place"))
+    """(value, place): rank of each value, largest first, ties alike. Distinct values are ranked in slices with running offsets, so no
+    task orders all rows."""
+    counts = sliced(df.groupBy(value).agg(F.count("*").alias("_n")), value)
+    ahead = _ahead(counts, F.sum("_n"), True)
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_slice").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(value, (ahead + within + 1).alias("place"))
+
+
+def row_numbers(df: DataFrame, by: str, *ties: Column) -> DataFrame:
+    """df with ``place``, the row's number from 1 in the order of a column (``ties`` make it total), sorted slice by slice."""
+    cut = sliced(df, by)
+    ahead = _ahead(cut, F.count("*"), False)
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy(F.col(by), *ties))
+    return cut.withColumn("place", ahead + within).drop("_slice")
 
 
 def semi_or_open(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -63,6 +63,26 @@ def wn_filled_latest(spark, d):
     return O.filled_latest(rows, ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), ["price", "priority"])
 
 
+@query("wn_filled_chain", """
+WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority END AS priority,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age, o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS fresh FROM orders),
+s AS (SELECT r.*, coalesce(age <= min(age) FILTER (WHERE fresh) OVER (PARTITION BY o_custkey), true) AS reached FROM r),
+g AS (SELECT o_custkey, arg_min(o_orderkey, age) AS newest, min_by(o_orderstatus, age) = 'O' AS is_open, max(price) FILTER (WHERE age = 1) AS own_price, max(priority) FILTER (WHERE age = 1) AS own_priority,
+ arg_min(price, age) FILTER (WHERE price IS NOT NULL AND reached) AS older_price, arg_min(o_orderkey, age) FILTER (WHERE price IS NOT NULL AND reached) AS price_from,
+ arg_min(priority, age) FILTER (WHERE priority IS NOT NULL AND reached AND o_orderstatus <> 'F') AS older_priority, arg_min(o_orderkey, age) FILTER (WHERE priority IS NOT NULL AND reached AND o_orderstatus <> 'F') AS priority_from, count(*) AS rows FROM s GROUP BY 1)
+SELECT o_custkey, newest AS o_orderkey, coalesce(own_price, CASE WHEN NOT is_open THEN older_price END) AS price, coalesce(own_priority, older_priority) AS priority, rows,
+ concat_ws(',', CASE WHEN own_price IS NULL AND NOT is_open AND price_from IS NOT NULL THEN 'price:' || price_from END, CASE WHEN own_priority IS NULL AND priority_from IS NOT NULL THEN 'priority:' || priority_from END) AS provenance FROM g""")
+def wn_filled_chain(spark, d):
+    """The newest order of a customer filled from older ones back to a fresh start; an open order's price stays blank, a closed
+    order gives no priority."""
+    price, priority = F.when(F.col("o_orderkey") % 4 == 1, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority"))
+    rows = table(spark, d, "orders").withColumns({"price": price, "priority": priority})
+    status = F.col("o_orderstatus")
+    made = O.filled_chain(rows, ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), "o_orderkey", ["price", "priority"], {"priority": status == "F"}, (status == "P") & (F.col("o_orderkey") % 5 == 0), {"price": status == "O"})
+    told = F.array_join(F.transform("provenance", lambda p: F.concat(p.field, F.lit(":"), p.source)), ",")
+    return made.withColumn("provenance", told)
+
+
 @query("wn_ordered_distinct", """
 WITH f AS (SELECT o_custkey, o_orderpriority, min(struct_pack(a := o_orderdate, b := o_orderkey)) AS first FROM orders GROUP BY 1, 2)
 SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY first) AS seen FROM f GROUP BY 1""")

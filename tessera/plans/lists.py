@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import predicates as P
@@ -151,13 +150,8 @@ def or_rank_filter_limit(spark, d):
 SELECT CAST((rn - 1) // 500 AS BIGINT) AS chunk, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""")
 def sk_export_chunks(spark, d):
-    """Fixed-size chunks in key order. Ranks come from range partitions with running offsets, not from one sorted task."""
-    keys = table(spark, d, "orders").select("o_orderkey").repartitionByRange("o_orderkey")
-    placed = keys.withColumn("part", F.spark_partition_id())
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) + F.col("ahead") - 1
-    ranked = placed.join(F.broadcast(ahead), "part").withColumn("chunk", F.floor(rank / 500))
+    """Fixed-size chunks in key order. Row numbers come from slices with running offsets, not from one sorted task."""
+    ranked = P.row_numbers(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").withColumn("chunk", F.floor((F.col("place") - 1) / 500))
     return ranked.groupBy("chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import listings as L
 from tessera.plans.measures import pick, picked
 from tessera.plans.registry import query
@@ -109,6 +110,31 @@ def fl_substantive(spark, d):
     return table(spark, d, "documents").groupBy(F.coalesce(reason, F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _gate_sql():
+    n = ", ".join(f"[len(list_filter(t, lambda w: w IN ({', '.join(repr(w) for w in some)}))), {-i}]" for i, (_, some) in enumerate(sorted(X.STOP_WORDS.items())))
+    names = " ".join(f"WHEN m[2] = {-i} THEN '{lang}'" for i, lang in enumerate(sorted(X.STOP_WORDS)))
+    return rf"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+ trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages),
+t AS (SELECT *, array_to_string(string_split(host, '.')[-3:], '.') AS site, regexp_split_to_array(lower(body), '[^a-zà-ÿ]+') AS t FROM p),
+l AS (SELECT *, greatest({n}) AS m FROM t), s AS (SELECT *, CASE WHEN m[1] = 0 THEN NULL {names} END AS lang FROM l)
+SELECT page_id, CASE WHEN NOT coalesce(list_contains(['example.com', 'example.org'], array_to_string(string_split(host, '.')[-2:], '.')), false) THEN 'external'
+ WHEN regexp_matches(path, '^/?$|/[0-9]*[05]$|/(?:index|news|tag)/?$') THEN 'generic' WHEN coalesce(lang NOT IN ('en', 'es'), false) THEN 'language'
+ WHEN body = '' THEN 'empty' WHEN length(trim(replace(body, title, ''))) < 600 THEN 'short' WHEN regexp_matches(body, '(?i)\.\.\.\s*(?:read\s+more)?\s*$') THEN 'teaser' END AS reason FROM s"""
+
+
+@query("fl_page_gate", _gate_sql())
+def fl_page_gate(spark, d):
+    """Site, kind of page, language and substance of every page."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    # The text is made once, beside its page, rather than again in each rule.
+    pages = table(spark, d, "pages").select("page_id", host.alias("host"), path.alias("path"), title.alias("title"), X.html_text(F.col("html")).alias("body"))
+    reason = L.page_gate(F.col("host"), F.col("path"), F.col("title"), F.col("body"), ("example.com", "example.org"), ("en", "es"), "^/?$|/[0-9]*[05]$|/(?:index|news|tag)/?$", 600)
+    return pages.select("page_id", reason.alias("reason"))
+
+
 @query("fl_auto_approve", """
 SELECT event_type, count(*) FILTER (WHERE value / 100 >= CASE event_type WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.5 ELSE 0.7 END) AS approved, count(*) AS n FROM events GROUP BY 1""")
 def fl_auto_approve(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from tessera.functions import text as X
 from tessera.operators import stores as S
 from tessera.operators.aggregates import cents
 from tessera.plans.registry import query
-from tessera.sources.tables import micros, table
+from tessera.sources.attach import attach
+from tessera.sources.tables import micros, shared_folder, table
 
 DAY = 86_400_000_000
 
@@ -21,6 +24,22 @@ def sk_undo_restore(spark, d):
     return S.restored(stay, log)
 
 
+@query("jn_attached", """
+WITH v AS (SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderkey % 7 = 0 THEN 'odd' ELSE 'plain' END AS verdict FROM orders WHERE o_orderkey % 5 > 0)
+SELECT o_orderstatus, coalesce(verdict, 'none') AS verdict, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM orders LEFT JOIN v USING (o_orderkey) GROUP BY 1, 2""")
+def jn_attached(spark, d):
+    """Orders of one database with the verdicts of another, in one SQL statement."""
+    verdict = F.when(F.col("o_totalprice") > 200_000, "large").when(F.col("o_orderkey") % 7 == 0, "odd").otherwise("plain")
+    folder = shared_folder(spark, "reviews")
+    table(spark, d, "orders").where("o_orderkey % 5 > 0").select("o_orderkey", verdict.alias("verdict")).write.parquet(f"{folder}/verdicts.parquet")
+    live, kept = f"live_{zlib.crc32(d.encode()):08x}", f"kept_{folder.rsplit('-', 1)[1]}"
+    attach(spark, live, d)
+    attach(spark, kept, folder)
+    return spark.sql(f"""
+        SELECT o.o_orderstatus, coalesce(v.verdict, 'none') AS verdict, count(*) AS n, sum(cast(round(o.o_totalprice * 100) AS bigint)) AS total_cents
+        FROM {live}.orders o LEFT JOIN {kept}.verdicts v ON o.o_orderkey = v.o_orderkey GROUP BY 1, 2""")
+
+
 @query("sk_envelopes", """
 SELECT event_id, 'log.' || event_type AS event_type, CAST(user_id AS VARCHAR) AS user_id FROM events""")
 def sk_envelopes(spark, d):

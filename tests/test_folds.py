@@ -107,3 +107,30 @@ def test_lifecycles(spark):
     assert all(r.chain_items == sizes[r.o_custkey, r.o_orderpriority, r.chain] for r in found)
     empty = table(spark, SF, "orders").limit(0).select("o_custkey", "o_orderkey", micros(F.col("o_orderdate")).alias("at"), "o_orderstatus", "o_totalprice")
     assert lifecycle(empty, ["o_custkey"], "at", "o_orderkey", "o_orderstatus", "o_totalprice", ["P"], 1, 1).collect() == []
+
+
+def test_filled_chains_by_brute_force(spark):
+    import random
+
+    random.seed(11)
+    rows = [(random.choice([None, 1, 2, 3, 4]), n, random.choice([None, "x", "y"]), random.choice([None, None, 1.0, 2.0]), random.choice("abc")) for n in range(120)] + [(9, 500, None, None, "a")]
+    df = spark.createDataFrame(rows, "k int, n int, s string, v double, kind string").withColumn("more", F.lit(1))
+    got = folds.filled_chain(df, ["k"], F.col("n"), "n", ["s", "v"], {"v": F.col("kind") == "b"}, (F.col("kind") == "c") & (F.col("n") % 4 == 0), {"s": F.col("kind") == "a"})
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: -r[1])
+        new, told, values = mine[0], [], {"s": mine[0][2], "v": mine[0][3]}
+        for name, at in (("s", 2), ("v", 3)):
+            if values[name] is None and not (name == "s" and new[4] == "a"):
+                for r in mine:
+                    if r[at] is not None and not (name == "v" and r[4] == "b"):
+                        values[name] = r[at]
+                        told.append((name, r[1]))
+                        break
+                    if r[4] == "c" and r[1] % 4 == 0:
+                        break
+        want[k] = (new[1], values["s"], values["v"], len(mine), told)
+    assert {r.k: (r.n, r.s, r.v, r.rows, [(p.field, p.source) for p in r.provenance]) for r in got.collect()} == want
+    assert folds.filled_chain(df.limit(0), ["k"], F.col("n"), "n", ["s"]).collect() == []
+    plain = folds.filled_chain(df.where("k = 9"), ["k"], F.col("n"), "n", ["s", "v"]).head()
+    assert (plain.n, plain.s, plain.v, plain.rows, plain.provenance) == (500, None, None, 1, [])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import values as V
 from tessera.operators import chains, facts, matching, sync, windows
+from tessera.operators import predicates as P
 from tessera.sources import tables
 from tessera.streaming import events as E
 
@@ -146,3 +147,23 @@ def test_months_of_all_orders(spark, tmp_path):
     assert [r.n for r in got] == [1, 2, 0, 0, 1]
     orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
     assert sum(r.n for r in catalogue.QUERIES["ag_gapfill_month_all"](spark, "/root/testdata/sf0.01").collect()) == orders
+
+
+def test_slices_and_row_numbers(spark):
+    import random
+
+    random.seed(5)
+    values = [random.choice([None, float("nan"), 1.5, 2.0, -3.0]) if i % 3 else random.uniform(-9, 9) for i in range(400)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    for parts in (1, 2, 7, 60):
+        seen = P.sliced(rows, "v", parts).groupBy("_slice").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_slice").collect()
+        assert len(seen) <= parts
+        spans = [(r.a, r.b) for r in seen if r.a is not None]
+        assert all(low[1] < high[0] for low, high in zip(spans, spans[1:]) if high[0] == high[0])
+    numbered = P.row_numbers(rows, "v", F.col("id")).orderBy("place").collect()
+    key = lambda r: (r.v is not None, r.v is not None and r.v != r.v, 0 if r.v is None or r.v != r.v else r.v, r.id)
+    assert [r.place for r in numbered] == list(range(1, 401)) and [r.id for r in numbered] == [r.id for r in sorted(numbered, key=key)]
+    placed = {(r.v if r.v is None or r.v == r.v else "nan"): r.place for r in P.ranks(rows, "v").collect()}
+    assert placed["nan"] == 1 and placed[None] == 1 + sum(v is not None for v in values)
+    assert placed[2.0] == 1 + sum(v is not None and (v != v or v > 2.0) for v in values)
+    assert P.ranks(rows.limit(0), "v").collect() == [] and P.row_numbers(rows.limit(0), "v").collect() == []
