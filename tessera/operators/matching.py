@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,17 +124,39 @@ def shingle_members(docs: DataFrame, id_col: str, words: Column, n: int) -> Data
     return keyed.join(keyed.groupBy("key").agg(F.min(id_col).alias("rep")), "key").select(id_col, "rep")
 
 
+def rarity(df: DataFrame, hashes: str) -> Callable[[Column], Column]:
+    """A function of a 64-bit hash to a number that orders hashes, rare ones first: seven bits for how often the hashes of its bucket
+    occur (on a scale of quarter octaves), then the low 56 bits of the hash.
+
+    Buckets are the 17 high bits, so that counts combine before the shuffle and 131,072 numbers, whatever the data, come to the
+    driver and go out as one byte each. That is a common order for any data; its bytes only make it a good one.
+    """
+    bucket = lambda h: F.shiftrightunsigned(h, 47)
+    counts = df.select(F.explode(hashes).alias("_h")).groupBy(bucket(F.col("_h")).alias("b")).agg(F.count("*").alias("n")).collect()
+    scale = bytearray(1 << 17)
+    for r in counts:
+        scale[r.b] = min(int(4 * math.log2(1 + r.n)), 127)
+    table = F.lit(scale)
+
+    def number(h: Column) -> Column:
+        seen = F.ascii(F.substring(table, bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(seen.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return number
+
+
 def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared, together): pairs a < b of shingle_classes() with Jaccard similarity of ``percent`` in 100 or more.
 
     Prefix filter: in a common order (rare first), similar sets share a shingle among the first of each, so only those
     are joined; candidates are then checked on whole sets. Sizes are compared in whole numbers.
     """
-    # Hashes stand for shingles up to the check, which is on the words.
-    items = classes.select("rep", F.size("s").alias("n"), F.explode(F.transform("s", lambda g: F.xxhash64(g))).alias("g"))
-    rare = items.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = items.join(rare, "g").withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("f", "g")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).select(F.col("rep").alias("a"), "g", "n")
+    # Hashes stand for shingles up to the check, which is on the words. A row sorts its own: nothing is shuffled but prefixes.
+    hashes = classes.select("rep", F.transform("s", lambda g: F.xxhash64(g)).alias("h"))
+    common = rarity(hashes, "h")
+    n = F.size("h")
+    first = F.slice(F.sort_array(F.transform("h", common)), F.lit(1), (n - F.ceil(n * percent / 100 - 1e-9) + 1).cast("int"))
+    prefix = hashes.select(F.col("rep").alias("a"), n.alias("n"), F.explode(first).alias("g"))
     other = prefix.select(F.col("a").alias("b"), "g", F.col("n").alias("m"))
     near = (F.col("a") < F.col("b")) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))
     pairs = prefix.join(other, "g").where(near).select("a", "b").distinct()
