@@ -105,22 +105,35 @@ def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str
     return checked.select(small_id, large_id, "n.shared", "n.of").where(F.col("shared") >= least * F.col("of"))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _set_key(text: Column, n: int) -> Column:
+    """What says the set of n-word shingles of words joined by blanks: two hashes of its sorted 64-bit hashes and its size; null
+    without shingles."""
+    sorted_hashes = F.sort_array(shingle_hashes(F.split(text, " "), n))
+    key = _once(sorted_hashes, lambda h: F.when(F.size(h) > 0, F.concat_ws("-", F.hex(F.xxhash64(h)), F.hex(F.xxhash64(F.lit(1), h)), F.size(h).cast("string"))))
+    return F.when(text != "", key)
+
+
 def shingle_classes(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
-    """(rep, s): each distinct set of n-word shingles once, with the least id that has it. Null ids and shorter texts take no part.
+    """(rep, text, key): one text, its words joined by blanks, for each distinct set of n-word shingles, with the least id that has it.
+    Null ids and shorter texts take no part. Words hold no blank.
 
-    Words hold no white space, so the joined, sorted shingles say the set; its digest is what rows are grouped by.
+    Ids and keys are grouped; a text travels once, as a string, to meet its representative, and is stored for all later passes.
     """
-    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), words.alias("_w"), F.xxhash64(words).alias("_h")).where(F.size("_w") >= n)
-    key = F.sha2(F.array_join(F.sort_array(shingles(F.col("_w"), n)), "\n"), 256)
-    # Only ids and digests are grouped; words meet their representatives as they are, and are cut into shingles after that.
-    reps = stored(sets.select("rep", "_h", key.alias("key")).groupBy("key").agg(F.min(F.struct("rep", "_h")).alias("r")), "classes").select("r.rep", "r._h", "key")
-    return sets.join(reps, ["rep", "_h"]).select("rep", F.sort_array(shingles(F.col("_w"), n)).alias("s"), "key")
+    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.array_join(words, " ").alias("text"))
+    own = F.xxhash64("text").alias("_h")  # tells texts of one id apart
+    keyed = sets.select("rep", own, _set_key(F.col("text"), n).alias("key")).where("key is not null")
+    reps = keyed.groupBy("key").agg(F.min(F.struct("rep", "_h")).alias("r")).select("r.rep", "r._h", "key")
+    return stored(sets.select("*", own).join(reps, ["rep", "_h"]).select("rep", "text", "key"), "classes")
 
 
 def shingle_members(docs: DataFrame, id_col: str, words: Column, n: int) -> DataFrame:
     """(id_col, rep): the class of each document that has shingles."""
-    key = F.sha2(F.array_join(F.sort_array(shingles(words, n)), "\n"), 256).alias("key")
-    keyed = docs.where(F.col(id_col).isNotNull() & (F.size(words) >= n)).select(id_col, key)
+    keyed = docs.where(F.col(id_col).isNotNull()).select(id_col, _set_key(F.array_join(words, " "), n).alias("key")).where("key is not null")
     return keyed.join(keyed.groupBy("key").agg(F.min(id_col).alias("rep")), "key").select(id_col, "rep")
 
 
@@ -145,14 +158,14 @@ def rarity(df: DataFrame, hashes: str) -> Callable[[Column], Column]:
     return number
 
 
-def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, together): pairs a < b of shingle_classes() with Jaccard similarity of ``percent`` in 100 or more.
+def jaccard_pairs(classes: DataFrame, length: int, percent: int) -> DataFrame:
+    """(a, b, shared, together): pairs a < b of shingle_classes() of shingles of ``length`` words with Jaccard similarity of ``percent`` in 100 or more.
 
     Prefix filter: in a common order (rare first), similar sets share a shingle among the first of each, so only those
     are joined; candidates are then checked on whole sets. Sizes are compared in whole numbers.
     """
     # Hashes stand for shingles up to the check, which is on the words. A row sorts its own: nothing is shuffled but prefixes.
-    hashes = classes.select("rep", F.transform("s", lambda g: F.xxhash64(g)).alias("h"))
+    hashes = classes.select("rep", shingle_hashes(F.split("text", " "), length).alias("h"))
     common = rarity(hashes, "h")
     n = F.size("h")
     first = F.slice(F.sort_array(F.transform("h", common)), F.lit(1), (n - F.ceil(n * percent / 100 - 1e-9) + 1).cast("int"))
@@ -163,8 +176,9 @@ def jaccard_pairs(classes: DataFrame, percent: int) -> DataFrame:
     pairs = stored(pairs, "jaccard-pairs")  # counted, and read for both ends
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     ends = F.broadcast(ends) if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ends
-    sets = classes.join(ends, "rep", "left_semi")  # whole sets travel only for candidates
-    x, y = sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), sets.select(F.col("rep").alias("b"), F.col("s").alias("y"))
-    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    checked = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("together"))
+    sets = classes.join(ends, "rep", "left_semi")  # texts travel for candidates only
+    x, y = sets.select(F.col("rep").alias("a"), F.col("text").alias("x")), sets.select(F.col("rep").alias("b"), F.col("text").alias("y"))
+    both = F.struct(shingles(F.split("x", " "), length).alias("x"), shingles(F.split("y", " "), length).alias("y"))
+    counted = _once(both, lambda v: F.struct(F.size(F.array_intersect(v.x, v.y)).cast("bigint").alias("shared"), (F.size(v.x) + F.size(v.y)).alias("sizes")))
+    checked = pairs.join(x, "a").join(y, "b").select("a", "b", counted.alias("c")).select("a", "b", "c.shared", (F.col("c.sizes") - F.col("c.shared")).alias("together"))
     return checked.where(F.col("shared") * 100 >= percent * F.col("together")).distinct()  # of repeated rows

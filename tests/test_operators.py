@@ -129,7 +129,7 @@ def test_jaccard_pairs_over_all_sources(spark):
     reps = sorted(set(own.values()))
     want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])}
     words = X.words(docs.text)
-    got = [(r.a, r.b, r.shared, r.together) for r in matching.jaccard_pairs(matching.shingle_classes(docs, "doc_id", words, 5), 80).collect()]
+    got = [(r.a, r.b, r.shared, r.together) for r in matching.jaccard_pairs(matching.shingle_classes(docs, "doc_id", words, 5), 5, 80).collect()]
     assert len(want) > 20 and len(got) == len(want) and set(got) == want
     assert {(r.doc_id, r.rep) for r in matching.shingle_members(docs, "doc_id", words, 5).collect()} == set(own.items())
     sources = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()}
