@@ -33,18 +33,23 @@ def dateline(body: Column, upload: Column, back: int = 400) -> Column:
     head = F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), "<[^>]+>", " "), r"\s+", " ")), 1, 2500)
 
     def read(text: Column) -> Column:
-        def judged(x: Column) -> Column:
+        def judged(x: Column, day: Column) -> Column:
             before = F.substring(text, F.greatest(F.lit(1), x.start - 39), F.least(F.lit(40), x.start))
             after = F.substring(text, x.end + 1, F.lit(4))
-            day = lenient_date(x.found)
             right = day.between(F.date_sub(upload, back), upload) & ~before.rlike(MENTIONED)
             own = before.rlike(r"[,\-–—/]\s*$|\)\s*$") & after.rlike(r"^\s*[\-–—/(]|^\s*--")
             return F.struct(F.when(right, day).alias("day"), (right & own).alias("own"), (x.start < 600).alias("opening"))
 
-        found = F.transform(spans(text, MONTH_DAY), judged)
-        own = F.get(F.filter(found, lambda x: x.own), F.lit(0)).day
-        opening = F.get(F.filter(found, lambda x: x.day.isNotNull() & x.opening), F.lit(0)).day
-        return F.struct(F.coalesce(own, opening, upload).alias("day"), F.when(own.isNotNull(), "dateline").when(opening.isNotNull(), "opening").otherwise("upload").alias("how"))
+        def chosen(found: Column) -> Column:
+            own = F.get(F.filter(found, lambda x: x.own), F.lit(0)).day
+            opening = F.get(F.filter(found, lambda x: x.day.isNotNull() & x.opening), F.lit(0)).day
+            return let(F.struct(own.alias("own"), opening.alias("opening")), told)
+
+        def told(x: Column) -> Column:
+            how = F.when(x.own.isNotNull(), "dateline").when(x.opening.isNotNull(), "opening").otherwise("upload")
+            return F.struct(F.coalesce(x.own, x.opening, upload).alias("day"), how.alias("how"))
+
+        return let(F.transform(spans(text, MONTH_DAY), lambda x: let(lenient_date(x.found), lambda day: judged(x, day))), chosen)
 
     return let(head, read)
 

@@ -42,6 +42,7 @@ def period_end(year: Column, quarter: Column) -> Column:
 
 
 def lenient_date(x: Column) -> Column:
-    """A date from the first format that fits; null if none."""
-    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "MMMM d, yyyy", "d MMMM yyyy", "MM/dd/yyyy"]
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats])
+    """A date from the first format that fits; null if none. A format is tried on texts of its outline only, as a miss is dear."""
+    number = r"[+-]?\d+"
+    formats = {"yyyy-MM-dd": f"{number}-{number}-{number}", "yyyy/MM/dd": f"{number}/{number}/{number}", "MMMM d, yyyy": rf"\p{{L}}+ {number}, {number}", "d MMMM yyyy": rf"{number} \p{{L}}+ {number}", "MM/dd/yyyy": rf"\d\d/{number}/{number}"}
+    return F.coalesce(*[F.when(x.rlike(f"^{outline}$"), F.try_to_timestamp(x, F.lit(f))).cast("date") for f, outline in formats.items()])
