@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.measures import MONEY_TEXT, let, money, spans
+from tessera.functions.measures import MONEY_TEXT, first_money, let, spans
 from tessera.functions.values import lenient_date, parsed_number
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
@@ -47,55 +47,52 @@ class Extractor:
     forms: tuple[tuple[Piece, ...], ...]
 
 
-FACT = "struct<field: string, value_num: double, value_text: string, unit: string, span_start: int, span_end: int>"
+def _cut(form: tuple[Piece, ...], found: Column) -> Column:
+    """array<string>: what each piece of a form takes of a record, in order."""
+    whole = "^" + "".join(f"({p.pattern})" for p in form) + "$"
+    return F.array(*[F.regexp_extract(found, whole, i + 1) for i in range(len(form))])
 
 
-def _facts(form: tuple[Piece, ...], found: Column, start: Column) -> Column:
-    """The facts of one record: each field's text, value and place."""
-    out = []
-    for i, piece in enumerate(form):
-        if piece.field:
-            before, after = ("".join(f"(?:{p.pattern})" for p in ps) for ps in (form[:i], form[i + 1 :]))
-            three = rf"^({before})({piece.pattern}){after}$"
-            cut = F.struct(F.length(F.regexp_extract(found, three, 1)).alias("ahead"), F.regexp_extract(found, three, 2).alias("text"))
-            out.append(let(cut, _fact_of(piece, start)))
-    return F.filter(F.array(*out), lambda x: x.span_end > x.span_start)
+def _fields(form: tuple[Piece, ...], r: Column) -> Column:
+    """array<struct<field, kind, text, first>>: the fields of one record, with their places."""
 
+    def of(texts: Column, i: int) -> Column:
+        ahead = F.length(F.array_join(F.slice(texts, 1, i), ""))
+        return F.struct(F.lit(form[i].field).alias("field"), F.lit(form[i].kind).alias("kind"), F.get(texts, F.lit(i)).alias("text"), (r.start + ahead).alias("first"))
 
-def _fact_of(piece: Piece, start: Column):
-    def fact(cut: Column) -> Column:
-        value, unit = F.lit(None).cast("double"), F.lit(None).cast("string")
-        if piece.kind == "number":
-            value = parsed_number(cut.text)
-        elif piece.kind == "money":
-            amount = F.get(money(cut.text), F.lit(0))
-            value, unit = amount.value, amount.currency
-        shown = F.date_format(lenient_date(cut.text), "yyyy-MM-dd") if piece.kind == "date" else cut.text
-        first = start + cut.ahead
-        return F.struct(F.lit(piece.field).alias("field"), value.alias("value_num"), shown.alias("value_text"), unit.alias("unit"), first.alias("span_start"), (first + F.length(cut.text)).alias("span_end"))
-
-    return fact
+    return let(_cut(form, r.found), lambda texts: F.array(*[of(texts, i) for i, piece in enumerate(form) if piece.field]))
 
 
 def records(text: Column, reader: Extractor) -> Column:
-    """array<struct<start, facts>>: the records of a text in its order."""
+    """array<struct<start, form, found>>: the records of a text in its order; form counts the reader's forms from 0."""
 
-    def of(form: tuple[Piece, ...]) -> Column:
+    def of(i: int, form: tuple[Piece, ...]) -> Column:
         whole = "".join(f"(?:{p.pattern})" for p in form)
-        return F.transform(spans(text, whole), lambda x: F.struct(x.start.alias("start"), _facts(form, x.found, x.start).alias("facts")))
+        return F.transform(spans(text, whole), lambda x: F.struct(x.start.alias("start"), F.lit(i).alias("form"), x.found.alias("found")))
 
-    found = [of(form) for form in reader.forms]
+    found = [of(i, form) for i, form in enumerate(reader.forms)]
     return F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
 
 
-def extracted(events: DataFrame, reader: Extractor, id_col: str, text_col: str) -> DataFrame:
-    """The facts of a reader: id, extractor, version, ordinal, field, value_num, value_text, unit, span_start, span_end.
+def extracted(events: DataFrame, reader: Extractor, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The facts of a reader: id, extractor, version, ordinal, field, value_num, value_text, unit, span_start, span_end, and the
+    columns of the events that ``keep`` names (the text itself, say, which then needs no join).
 
-    Texts without a record give no rows; a run ledger takes note of those (measured silence) by an anti-join.
+    Texts without a record give no rows; a run ledger takes note of those (measured silence) by an anti-join. Records, fields and
+    values are three steps over rows: a kind of value is one expression, however many fields and forms have it.
     """
     found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: records(t, reader))  # the text is evaluated once
-    each = events.select(id_col, F.posexplode(found).alias("ordinal", "r"))
-    return each.select(id_col, F.lit(reader.name).alias("extractor"), F.lit(reader.version).alias("version"), "ordinal", F.explode("r.facts").alias("f")).select(id_col, "extractor", "version", "ordinal", "f.*")
+    each = events.select(id_col, *keep, F.posexplode(found).alias("ordinal", "r"))
+    fields = F.array().cast("array<struct<field: string, kind: string, text: string, first: int>>")
+    for i, form in enumerate(reader.forms):
+        fields = F.when(F.col("r.form") == i, _fields(form, F.col("r"))).otherwise(fields)
+    cut = each.select(id_col, *keep, "ordinal", F.explode(fields).alias("x")).filter(F.length("x.text") > 0)
+    kind, text, start = F.col("x.kind"), F.col("x.text"), F.col("x.first")
+    read = cut.withColumn("amount", F.when(kind == "money", first_money(text)))
+    number = F.when(kind == "number", parsed_number(text)).otherwise(F.col("amount.value"))
+    shown = F.when(kind == "date", F.date_format(lenient_date(text), "yyyy-MM-dd")).otherwise(text)
+    place = start.alias("span_start"), (start + F.length(text)).alias("span_end")
+    return read.select(id_col, F.lit(reader.name).alias("extractor"), F.lit(reader.version).alias("version"), "ordinal", "x.field", number.alias("value_num"), shown.alias("value_text"), F.col("amount.currency").alias("unit"), *place, *keep)
 
 
 READERS = {

@@ -159,13 +159,18 @@ MONEY_TEXT = r"(?:{})\s?(?:{})(?:[\s-]*(?:{})\b)?".format(*_PARTS)
 WRITTEN_OUT = 100_000
 
 
+#: Stands for a find where only the text around it counts.
+_MARK = "\x00"
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<found, start, end>>: all finds of a pattern in text order with their true places, from 0.
 
-    Places add up the text between the finds and the finds themselves, so a find that stands twice has two places.
+    Places add up the text between the finds and the finds themselves, so a find that stands twice has two places. Finds are marked
+    before the text is split, since a split by a pattern compiles it anew for each row; texts that hold the mark are split by it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    between = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.at + F.length(x.gap)
@@ -180,6 +185,15 @@ def spans(text: Column, pattern: str) -> Column:
     return F.get(F.transform(F.array(F.struct(found.alias("f"), between.alias("b"))), lambda x: placed(x.f, x.b)), F.lit(0))
 
 
+def _amount(found: Column) -> tuple[Column, Column]:
+    """Value and currency of the first amount of a text."""
+    mark, number, word = (F.regexp_extract(found, MONEY, k) for k in (1, 2, 3))
+    figure = F.translate(number, ", ", "").try_cast("double")
+    scale = F.coalesce(looked_up(F.lower(word), SCALES), F.lit(1.0))
+    scale = F.when((figure >= WRITTEN_OUT) & (scale >= 1e6), 1.0).otherwise(scale)
+    return figure * scale, looked_up(F.regexp_replace(mark, r"\s", ""), MARKS)
+
+
 def money(text: Column) -> Column:
     """array<struct<value, currency, start, end>>: amounts with a currency mark.
 
@@ -187,15 +201,18 @@ def money(text: Column) -> Column:
     """
 
     def read(x: Column) -> Column:
-        mark, number, word = (F.regexp_extract(x.found, MONEY, k) for k in (1, 2, 3))
-        figure = F.translate(number, ", ", "").cast("double")
-        scale = F.coalesce(looked_up(F.lower(word), SCALES), F.lit(1.0))
-        scale = F.when((figure >= WRITTEN_OUT) & (scale >= 1e6), 1.0).otherwise(scale)
-        return F.struct((figure * scale).alias("value"), looked_up(F.regexp_replace(mark, r"\s", ""), MARKS).alias("currency"), x.start.alias("start"), x.end.alias("end"))
+        value, currency = _amount(x.found)
+        return F.struct(value.alias("value"), currency.alias("currency"), x.start.alias("start"), x.end.alias("end"))
 
     return F.transform(spans(text, MONEY), read)
 
 
+def first_money(text: Column) -> Column:
+    """struct<value, currency>: the first amount of a text, without its place; nulls without one."""
+    value, currency = _amount(text)
+    return F.struct(value.alias("value"), currency.alias("currency"))
+
+
 #: Numbers in words.
 NUMBER_WORDS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "hundred": 100}
 _COUNT = rf"(?<![\d.,:])(\d+(?:\.\d+)?|\b(?:{_any_of(NUMBER_WORDS)})\b)"

@@ -88,8 +88,8 @@ def _register(name: str) -> None:
 
     def run(spark, d):
         releases = table(spark, d, "orders").select(F.col(K).alias("id"), F.expr(twice.replace("\n", "\\n")).alias("body"))
-        found = extracted(releases, READERS[name], "id", "body")
-        placed = found.join(releases, "id").withColumn("there", F.substring("body", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")))
+        found = extracted(releases, READERS[name], "id", "body", keep=("body",))
+        placed = found.withColumn("there", F.substring("body", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")))
         pair = F.concat(F.col("field"), F.lit("="), F.col("there"))
         place = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
         right = (F.col("there") == F.col("value_text")) | F.col("value_num").isNotNull()
