@@ -110,10 +110,13 @@ def same_project(a: Column, b: Column) -> Column:
 
 def hidden_address(code: Column) -> Column:
     """The address in a hex string whose first byte is XORed on all others; null if it isn't one."""
-    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.length(code) / 2).cast("int")), lambda i: F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    plain = let(pairs, lambda p: F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda c: F.char(c.bitwiseXOR(F.get(p, F.lit(0))))), ""))
-    right = code.rlike("^(?:[0-9a-fA-F]{2}){2,}$")
-    return let(F.when(right, plain), lambda a: F.when(a.rlike(r"^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$"), a))
+
+    def found(hidden: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.floor(F.length(hidden) / 2).cast("int")), lambda i: F.conv(F.substring(hidden, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+        plain = let(pairs, lambda p: F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda c: F.char(c.bitwiseXOR(F.get(p, F.lit(0))))), ""))
+        return let(F.when(hidden.rlike("^(?:[0-9a-fA-F]{2}){2,}$"), plain), lambda a: F.when(a.rlike(r"^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$"), a))
+
+    return let(code, found)  # evaluated once, not for each pair of letters
 
 
 def registrable(host: Column) -> Column:
