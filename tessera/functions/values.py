@@ -24,8 +24,9 @@ def parsed_number(x: Column) -> Column:
 
 def significant(x: Column, digits: int) -> Column:
     """x to so many significant figures, half away from zero; zero and null stay."""
-    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
+    cut = F.floor(F.log10(F.abs(x))) - (digits - 1)
+    scale = F.pow(F.lit(10.0), F.abs(cut))  # a whole power: tenths and hundredths aren't exact and move figures off a half
+    return F.when(x == 0, F.lit(0.0)).when(cut > 0, F.round(x / scale) * scale).otherwise(F.round(x * scale) / scale)
 
 
 def close(a: Column, b: Column, share: float, least: float = 0.0) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.extractors import READERS, extracted
 from tessera.functions.measures import first_money, money, spans
-from tessera.functions.values import lenient_date
+from tessera.functions.releases import hidden_address
+from tessera.functions.values import lenient_date, significant
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,23 @@ def test_dates_of_each_outline(spark):
     plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)).cast("date") for f in formats])
     got = rows.select("t", F.date_format(lenient_date(F.col("t")), "yyyy-MM-dd").alias("a"), F.date_format(plain, "yyyy-MM-dd").alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and [r.a for r in got][:5] == [str(d) for d in (dt.date(2026, 1, 2), dt.date(2026, 1, 2), dt.date(2026, 5, 3), dt.date(2026, 5, 3), dt.date(2026, 1, 2))]
+
+
+def test_a_hidden_code_is_read_once(spark):
+    import time
+
+    key = 7
+    code = lambda t: f"{key:02x}" + "".join(f"{ord(c) ^ key:02x}" for c in t)
+    long = "a" * 1500 + "@mail.example.com"
+    rows = spark.createDataFrame([(long,), ("no address",)], "t string")
+    hidden = F.concat(F.lit("07"), F.array_join(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.lpad(F.hex(F.ascii(F.substring("t", i, F.lit(1))).bitwiseXOR(F.lit(key))), 2, "0")), ""))
+    assert [r.c.lower() for r in rows.select(hidden.alias("c")).collect()] == [code(long), code("no address")]
+    begun = time.monotonic()
+    assert [r.a for r in rows.select(hidden_address(F.lower(hidden)).alias("a")).collect()] == [long, None]
+    assert time.monotonic() - begun < 4
+
+
+def test_figures_on_a_half_go_up(spark):
+    halves = [m * 10**k + 10**k // 2 for k in range(1, 8) for m in range(100, 1000, 7)]
+    rows = spark.createDataFrame([(float(c),) for c in halves], "c double").select("c", significant(F.col("c"), 3).alias("s")).collect()
+    assert [r.s for r in rows] == [float((c // 10 ** (len(str(c)) - 3) + 1) * 10 ** (len(str(c)) - 3)) for c in halves]
