@@ -6,6 +6,7 @@ import difflib
 from html import escape
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,14 +194,34 @@ def word_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() if enough(x) and enough(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def ratio_from(least: float):
+    """sequence_ratio where it is ``least`` or more, else 0. Letters that two strings share bound their ratio, so most pairs are told
+    by counting letters."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.fillna(""), b.fillna("")
+        codes, names = pd.factorize(pd.concat([x, y], ignore_index=True))
+        letters = np.zeros((len(names), 128), dtype=np.int32)  # other letters fall on these, which only raises the bound
+        for row, name in enumerate(names):
+            letters[row] = np.bincount(np.fromiter((ord(c) % 128 for c in name), np.int64, len(name)), minlength=128)
+        i, j = codes[: len(x)], codes[len(x) :]
+        bound = 2.0 * np.minimum(letters[i], letters[j]).sum(axis=1) / np.maximum(1, letters[i].sum(axis=1) + letters[j].sum(axis=1))
+        bound[(letters[i].sum(axis=1) + letters[j].sum(axis=1)) == 0] = 1.0
+        alike = [difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() if most >= least else 0.0 for s, t, most in zip(x, y, bound, strict=True)]
+        return pd.Series([r if r >= least else 0.0 for r in alike], dtype=float)
+
+    return ratio
+
+
 #: Share of matching blocks from which on headlines are alike, letters from which on a beginning tells, words of their own that a headline
 #: needs to be told by.
 ALIKE, LONG_BEGINNING, TELLING = 0.9, 40, 3
 
 
 def headline_grade(a: Column, b: Column, ratio: Column) -> Column:
-    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the two,
-    reckoned on candidate pairs only.
+    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the two, or
+    ratio_from(ALIKE), reckoned on candidate pairs only.
 
     Headlines are alike if their words are equal, if the longer goes on where the shorter ends after LONG_BEGINNING letters, or if
     their ratio says so. Markers that both have room for, steps of a deal and a notice of correction part them. Those

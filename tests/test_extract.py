@@ -68,3 +68,40 @@ def test_figures_on_a_half_go_up(spark):
     halves = [m * 10**k + 10**k // 2 for k in range(1, 8) for m in range(100, 1000, 7)]
     rows = spark.createDataFrame([(float(c),) for c in halves], "c double").select("c", significant(F.col("c"), 3).alias("s")).collect()
     assert [r.s for r in rows] == [float((c // 10 ** (len(str(c)) - 3) + 1) * 10 ** (len(str(c)) - 3)) for c in halves]
+
+
+def test_deals_of_one_shape_are_put_together_once():
+    from tessera.functions import deals
+
+    deals._ways.cache_clear()
+    said = [(n, t) for n, t in zip((5, 70, 900), (20, 50, 7), strict=True)]
+    got = [deals.deals_of(f"Acme closed {n} units at a price of $0.{t} per unit. It cancels {n + 1} notes.") for n, t in said]
+    assert [[d.slots for d in ds] for ds in got] == [[{"step": "closed", "count": float(n), "kind": "units", "price": float(f"0.{t}")}, {"step": "cancelled", "count": n + 1.0, "kind": "notes"}] for n, t in said]
+    assert deals._ways.cache_info().misses == 3  # two shapes and the sentence without tokens
+
+
+def test_equal_values_still_part_from_unequal_ones():
+    from tessera.functions.deals import deals_of
+
+    one, two = deals_of("Acme sells 5 units. It sells 5 units for $9."), deals_of("Acme sells 5 units. It sells 6 units for $9.")
+    assert len(one) == 1 and len(two) == 2
+
+
+def test_bounded_ratios_grade_alike(spark):
+    from tessera.functions import releases as R
+
+    said = ["Acme drills 12 m", "acme drills 12 n", "", None, "été Ā", "Acme closes a placement", "Acme closes a placements", "b" * 40, "b" * 39 + "c"]
+    pairs = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string")
+    for r in pairs.select(R.sequence_ratio("a", "b").alias("x"), R.ratio_from(0.9)("a", "b").alias("y")).collect():
+        assert r.y == (r.x if r.x >= 0.9 else 0.0)
+
+
+def test_copies_of_headlines_make_no_pairs(spark, tmp_path):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    copies = part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 10**6))
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    once, twice = (sorted(map(tuple, catalogue.QUERIES["tx_headline_grade"](spark, d).collect())) for d in (SF, str(tmp_path)))
+    assert once == twice
+    members = catalogue.QUERIES["tx_headline_members"](spark, str(tmp_path)).collect()
+    stands = {r.p_partkey: r.representative for r in members}
+    assert len(stands) == copies.count() and all(stands[k + 10**6] == stands[k] for k in list(stands) if k < 10**6)
