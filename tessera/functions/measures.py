@@ -161,16 +161,19 @@ WRITTEN_OUT = 100_000
 
 #: Stands for a find where only the text around it counts.
 _MARK = "\x00"
+#: Letters up to which a text is short.
+_SHORT = 2000
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<found, start, end>>: all finds of a pattern in text order with their true places, from 0.
 
     Places add up the text between the finds and the finds themselves, so a find that stands twice has two places. Finds are marked
-    before the text is split, since a split by a pattern compiles it anew for each row; texts that hold the mark are split by it.
+    before a short text is split, since a split by a pattern compiles it anew for each row; long texts, where that is little, and
+    texts that hold the mark are split by the pattern.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1))
+    between = F.when(text.contains(_MARK) | (F.length(text) > _SHORT), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.at + F.length(x.gap)

@@ -105,3 +105,11 @@ def test_copies_of_headlines_make_no_pairs(spark, tmp_path):
     members = catalogue.QUERIES["tx_headline_members"](spark, str(tmp_path)).collect()
     stands = {r.p_partkey: r.representative for r in members}
     assert len(stands) == copies.count() and all(stands[k + 10**6] == stands[k] for k in list(stands) if k < 10**6)
+
+
+def test_places_in_long_texts(spark):
+    import re
+
+    text = "ab1cd22 " * 900
+    (row,) = spark.createDataFrame([(text,)], "t string").select(spans(F.col("t"), r"\d+").alias("s")).collect()
+    assert [(x.found, x.start, x.end) for x in row.s] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\d+", text)]
