@@ -120,12 +120,20 @@ def categorize(headline: Column, body: Column, layers: Layers) -> Column:
     """Tags of a release in the vocabulary's order: masks, base, rescue, conflicts, default; promotion overrides all."""
 
     def whole(h: Column) -> Column:
-        tags = settled(rescued(base_tags(h, layers), h, body, layers), h, body, layers)
-        ordered = F.array_intersect(F.array(*[F.lit(t) for t in layers.vocabulary]), tags)
-        return F.when(F.size(ordered) > 0, ordered).otherwise(F.array(F.lit(layers.default)))
+        return let(base_tags(h, layers), lambda base: let(rescued(base, h, body, layers), lambda more: _in_order(settled(more, h, body, layers), layers)))
 
+    return _promoted(body, let(masked(headline, layers.names), whole), layers)
+
+
+def _in_order(tags: Column, layers: Layers) -> Column:
+    """Tags in the vocabulary's order, the default if there are none."""
+    ordered = F.array_intersect(F.array(*[F.lit(t) for t in layers.vocabulary]), tags)
+    return let(ordered, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(layers.default))))
+
+
+def _promoted(body: Column, tags: Column, layers: Layers) -> Column:
     pattern, tag = layers.promotion
-    return F.when(body.rlike(f"(?i){pattern}"), F.array(F.lit(tag))).otherwise(let(masked(headline, layers.names), whole))
+    return F.when(body.rlike(f"(?i){pattern}"), F.array(F.lit(tag))).otherwise(tags)
 
 
 def traced(headline: Column, body: Column, layers: Layers) -> Column:
@@ -134,8 +142,11 @@ def traced(headline: Column, body: Column, layers: Layers) -> Column:
     def layered(t: Column) -> Column:
         h = masked(t.h, layers.names)
 
+        def order(x: Column) -> Column:
+            return F.struct(x.masked, x.base, x.rescued, x.settled, _promoted(t.b, _in_order(x.settled, layers), layers).alias("tags"))
+
         def settle(x: Column) -> Column:
-            return F.struct(x.masked, x.base, x.rescued, settled(x.rescued, x.masked, t.b, layers).alias("settled"), categorize(t.h, t.b, layers).alias("tags"))
+            return let(F.struct(x.masked, x.base, x.rescued, settled(x.rescued, x.masked, t.b, layers).alias("settled")), order)
 
         def rescue(x: Column) -> Column:
             return let(F.struct(x.masked, x.base, rescued(x.base, x.masked, t.b, layers).alias("rescued")), settle)
