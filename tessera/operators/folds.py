@@ -5,6 +5,7 @@ Rows of a key come to one task in order, from a sort that spills, as Arrow batch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -93,11 +94,23 @@ def deals(df: DataFrame, key: list[str], at: str, id_col: str) -> DataFrame:
     return in_order(df.withColumn("_rank", rank), key, [at, "_rank", id_col], [at, "role", "kind", "amount", "price"], "deal long, deal_two long", dict, step).drop("_rank")
 
 
+#: Rows of a task that sorts rows of keys.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, key: list[str], rows: int | None = None) -> DataFrame:
+    """df with the rows of a key together, in as many partitions as keep about ``rows`` (TASK_ROWS) rows in each: what a task sorts
+    doesn't grow with the table. No fewer than shuffle partitions; the rows are counted first."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / (rows or TASK_ROWS)))
+    return df.repartition(parts, *key)
+
+
 def near_chains(df: DataFrame, key: list[str], value: str, id_col: str, width: float) -> DataFrame:
-    """df with ``chain``: rows of a key whose values, in order, follow within ``width`` of each other."""
+    """df with ``chain``: rows of a key whose values, in order, follow within ``width`` of each other. Groups by the key, and by key and
+    chain, need no other shuffle."""
     w = Window.partitionBy(*key).orderBy(value, id_col)
     fresh = F.when(F.col(value) - F.lag(value).over(w) <= width, 0).otherwise(1)
-    return df.withColumn("_fresh", fresh).withColumn("chain", F.sum("_fresh").over(w)).drop("_fresh")
+    return dealt(df, key).withColumn("_fresh", fresh).withColumn("chain", F.sum("_fresh").over(w)).drop("_fresh")
 
 
 def filled_latest(df: DataFrame, key: list[str], order: Column, fill: list[str]) -> DataFrame:

@@ -48,6 +48,7 @@ def wn_studies(spark, d):
     value = F.col("l_extendedprice")
     size = F.floor(F.log10(value))
     rows = table(spark, d, "lineitem").where("l_extendedprice > 0").withColumns({"size": size.cast("bigint"), "figures": F.round(value / F.pow(F.lit(10.0), size - 2)).cast("bigint"), "id": F.struct("l_orderkey", "l_linenumber", "l_partkey")})
+    rows = rows.select("l_suppkey", "figures", "size", "l_quantity", "id", "l_returnflag")
     chained = O.near_chains(rows, ["l_suppkey", "figures", "size"], "l_quantity", "id", 2)
     return chained.groupBy("l_suppkey", "figures", "size", "chain").agg(F.count("*").alias("rows"), F.count_distinct("l_returnflag").alias("kinds"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 

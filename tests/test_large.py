@@ -1,9 +1,13 @@
 """What larger tables need of single steps: figures beyond a million, rules read once, sizes of tasks."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
+from tessera.functions import grids as G
 from tessera.functions import readers as R
+from tessera.operators import folds as O
 from tessera.plans import catalogue
 
 
@@ -20,3 +24,39 @@ def test_rules_read_a_text_once():
     said = str(R.traced(F.col("h"), F.col("b"), R.DOCUMENTS))
     assert said.count("[{};]") == 1 and said.count("[A-Z]{20}") == 1
     assert str(R.categorize(F.col("h"), F.col("b"), R.MINING)).count("intersected") == 1
+
+
+def parsed(html):
+    parser = G._Markup()
+    parser.feed(html)
+    parser.close()
+    return [G.filled(rows) for rows in parser.done if any(rows)]
+
+
+def test_tags_of_one_layout_are_read_once():
+    page = "<p>n</p><table><tr><th rowspan=2>a<th colspan='2'>b<br>c</tr><tr><td>{}</td><td> x  {} </td></table>"
+    G._layout.cache_clear()
+    for k in range(50):
+        assert G.markup_grids(page.format(k, k + 1)) == parsed(page.format(k, k + 1))
+    assert G._layout.cache_info().misses == 1
+
+
+def test_layouts_against_the_full_parser():
+    dice = random.Random(5)
+    parts = ["<table>", "<tr>", "<td>", "<TD colspan=2>", "<th rowspan = 2>", "<td rowspan='0'>", "</td>", "</tr>", "</table>", "<br>", "<br/>", "<b class=x>", "<td colspan>", "a", " 1 ", "x > y", "&amp;", "<", "<!-- <td> -->", "<script>", "</script>", '<i t="p>q">', "\n", "<p>", "</p>", "<td rowspan=\"3\" colspan=2>"]
+    weights = [4 if "t" in p or p.strip().isalnum() else 1 for p in parts]
+    for _ in range(3000):
+        html = "<table><tr>" + "".join(dice.choices(parts, weights, k=dice.randrange(20)))
+        assert G.markup_grids(html) == parsed(html), html
+
+
+def test_tasks_of_chains_dont_grow_with_the_table(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id % 50 as k", "id % 97 as v", "id")
+    monkeypatch.setattr(O, "TASK_ROWS", 100)
+    chained = O.near_chains(rows, ["k"], "v", "id", 2)
+    assert chained.rdd.getNumPartitions() == 20
+    counted = chained.groupBy("k", "chain").agg(F.count("*").alias("n"), F.count_distinct("v").alias("m"))
+    assert counted._jdf.queryExecution().sparkPlan().toString().count("Window") and counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(O, "TASK_ROWS", 10_000)
+    assert O.near_chains(rows, ["k"], "v", "id", 2).rdd.getNumPartitions() == 8
+    assert sorted(counted.collect()) == sorted(O.near_chains(rows, ["k"], "v", "id", 2).groupBy("k", "chain").agg(F.count("*"), F.count_distinct("v")).collect())
