@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import grids as G
 from tessera.functions import readers as R
+from tessera.functions.shingles import hash_sets, set_key
 from tessera.operators import folds as O
 from tessera.plans import catalogue
 
@@ -60,3 +62,18 @@ def test_tasks_of_chains_dont_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(O, "TASK_ROWS", 10_000)
     assert O.near_chains(rows, ["k"], "v", "id", 2).rdd.getNumPartitions() == 8
     assert sorted(counted.collect()) == sorted(O.near_chains(rows, ["k"], "v", "id", 2).groupBy("k", "chain").agg(F.count("*"), F.count_distinct("v")).collect())
+
+
+def test_hashes_tell_sets_of_shingles_apart():
+    texts = ["a b c d", "d c b a", "a b c d a b c d", "a b", "", None, "b c d", "a b c", "x a b c d"] + [f"a b c w{i}" for i in range(600)]
+    sets = [h.tolist() for h in hash_sets(pa.array(texts), 3)]
+    of = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} if t else set()
+    names = {}
+    for text, hashes in zip(texts, sets, strict=True):
+        assert hashes == sorted(set(hashes)) and len(hashes) == len(of(text))
+        for shingle in of(text):
+            names.setdefault(shingle, set()).add(next(iter(hash_sets(pa.array([" ".join(shingle)]), 3)))[0])
+    assert all(len(h) == 1 for h in names.values()) and len(set.union(*names.values())) == len(names)
+    assert [h.tolist() for h in hash_sets(pa.array(texts).slice(2, 5), 3)] == sets[2:7]
+    keys = [set_key(h) for h in hash_sets(pa.array(texts[:9]), 3)]
+    assert keys[3:6] == [None] * 3 and len(set(keys)) == 7
