@@ -78,6 +78,14 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _lists(np.concatenate(ids), np.concatenate(blocks), held)
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, first, last, bytes) of the files of a folder. They are sorted: only the first and the last row of each are compared."""
+    rows = spark.read.schema(POSTINGS).parquet(folder).select("term", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_size").alias("bytes"))
+    ends = rows.groupBy("path").agg(F.max("row").alias("end"), F.max("bytes").alias("bytes"))
+    edges = rows.drop("bytes").join(F.broadcast(ends), "path").where((F.col("row") == 0) | (F.col("row") == F.col("end")))
+    return edges.groupBy("path").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.max("bytes").alias("bytes"))
+
+
 def _write(docs: DataFrame, path: str, gen: int) -> None:
     """Postings of docs (id, text) as a new generation, then its lines of the dictionary: what isn't listed isn't read."""
     spark = docs.sparkSession
@@ -85,12 +93,11 @@ def _write(docs: DataFrame, path: str, gen: int) -> None:
     rows = docs.select("id", _block(F.col("id")).alias("block"), F.explode(let(F.array_distinct(words(F.col("text"))), cut)).alias("words"))
     dealt = rows.repartition(max(1, math.ceil(docs.count() / BLOCK)), "block")
     lists = stored(dealt.mapInArrow(_listed, POSTINGS), "lists")  # ranges are found by a look at all lists
-    parts = max(1, math.ceil(docs.count() * 100 / PER_FILE))
+    parts = max(1, math.ceil((lists.agg(F.sum("n")).head()[0] or 0) / PER_FILE))
     folder = f"{path}/postings/gen={gen}"
-    lists.repartitionByRange(parts, "term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(folder)
-    files = spark.read.schema(POSTINGS).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("term").alias("first"), F.max("term").alias("last"), F.max("_metadata.file_size").alias("bytes"))
+    lists.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(folder)
     itself = spark.range(1).select(*[F.lit(None).cast(k).alias(n) for n, k in (("path", "string"), ("first", "string"), ("last", "string"), ("bytes", "long"))])  # a generation may have no postings
-    files.unionByName(itself).select(F.lit(gen).alias("gen"), "path", "first", "last", "bytes").write.mode("append").parquet(f"{path}/files")
+    _lines(spark, folder).unionByName(itself).select(F.lit(gen).alias("gen"), "path", "first", "last", "bytes").write.mode("append").parquet(f"{path}/files")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
