@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +92,13 @@ def in_slices(rows: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, size)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system; Python workers live on from task to task and from query to query."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc has it
+        trim(0)
+
+
 class Vocabulary(dict):
     """word -> dense number, given on first sight: ``list(map(v.__getitem__, words))``."""
 

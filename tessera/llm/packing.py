@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, in_slices, ragged_positions, written
+from tessera.llm.common import as_bytes, in_slices, ragged_positions, release_memory, written
 
 CAPACITY, UNIT = 4096, 16
 END_ID = 2
@@ -209,7 +209,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
         encoder(path).trim()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return kept.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, turn long" + ", ids array<int>" * keep_ids)
 

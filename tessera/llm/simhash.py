@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, drop_written, protected, written
+from tessera.llm.common import as_bytes, drop_written, in_slices, protected, release_memory, written
 
 BITS, LINK = 64, 3
 SEGMENTS, PARTS = 5, 4
@@ -99,9 +99,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = kept.schema["id"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in in_slices(rows):
             fp = fingerprint_words(as_bytes(batch.column(1))).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["id", "text_hash", "fp"])
+        release_memory()
 
     return kept.mapInArrow(run, f"id {id_type}, text_hash long, fp long")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Vocabulary, as_bytes, in_slices, ragged_positions
+from tessera.llm.common import Vocabulary, as_bytes, in_slices, ragged_positions, release_memory
 
 WINDOW, GRAM = 20, 4
 #: Words of a block (it ends with a whole document), and characters of text for which one bucket is laid out.
@@ -36,6 +37,8 @@ MOST_TASKS = 20_000
 COUNTED, COUNT_ALL, HOT = 16, 20_000_000, 2
 #: Windows of BUCKET_CHARS characters, about.
 BUCKET_WINDOWS = BUCKET_CHARS // 6
+#: Places that a rolling hash is worked out for at a time.
+ROLLED = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -62,10 +65,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _rolling(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each ``width`` consecutive entries of h; len(h) - width + 1 of them."""
-    up, down = _Powers.upto(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-    return _mixed((total[width:] - total[:-width]) * down[: len(h) - width + 1])
+    """Hash of each ``width`` consecutive entries of h; len(h) - width + 1 of them. It doesn't depend on the place, so
+    stretches of ROLLED places are worked out one after another."""
+    out = np.empty(max(0, len(h) - width + 1), np.uint64)
+    for x in range(0, len(out), ROLLED):
+        part = h[x : x + ROLLED + width - 1]
+        up, down = _Powers.upto(len(part) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)])
+        out[x : x + ROLLED] = _mixed((total[width:] - total[:-width]) * down[: len(part) - width + 1])
+    return out
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,9 +85,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _word_hashes(vocabulary: Vocabulary) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in vocabulary), np.uint64, len(vocabulary))
+class _Words(Vocabulary):
+    """A vocabulary that keeps the hash of each word by its number."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self.digests.append(xxhash.xxh64_intdigest(word))
+        return super().__missing__(word)
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.digests, np.uint64)[ids]
 
 
 def _first_of_equal(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -142,14 +163,12 @@ def _home(least: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((least >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def _block(docs: list, n_buckets: int, width: int, parts: dict[int, tuple[int, int]] | None = None) -> pa.RecordBatch | None:
-    """docs: (id, text hash, words); parts: first bucket and number of those that a large bucket is dealt to. Rows for the buckets: packed super-k-mers, and the block's own removals."""
+def _block(docs: list, vocabulary: _Words, n_buckets: int, width: int, parts: dict[int, tuple[int, int]] | None = None) -> pa.RecordBatch | None:
+    """docs: (id, text hash, numbers of the words, words joined by one space); parts: first bucket and number of those that a large bucket is dealt to. Rows for the buckets: packed super-k-mers, and the block's own removals."""
     docs.sort(key=lambda d: d[:2])
-    vocabulary = Vocabulary()
-    number = vocabulary.__getitem__
-    ids = np.concatenate([np.fromiter(map(number, w), np.int32, len(w)) for _, _, w in docs])
-    hashes = _word_hashes(vocabulary)[ids]
-    n = np.array([len(w) for _, _, w in docs], np.int64)
+    ids = np.concatenate([w for _, _, w, _ in docs])
+    hashes = vocabulary.hashes(ids)
+    n = np.array([len(w) for _, _, w, _ in docs], np.int64)
     doc_at = np.cumsum(n) - n
     doc_ids = np.array([d[0] for d in docs], np.int64)
     text_hash = np.array([d[1] for d in docs], np.int64)
@@ -180,22 +199,21 @@ def _block(docs: list, n_buckets: int, width: int, parts: dict[int, tuple[int, i
     bucket = bucket[s]
 
     del first, gone, least, breaks, hashes, whole
-    joined = b" ".join([w for _, _, words in docs for w in words])
+    joined = b" ".join([words for _, _, _, words in docs])
     length = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))[ids]
     end_byte = np.cumsum(length + 1) - 1
     order = np.argsort(bucket, kind="stable")
     s, c, bucket = s[order], c[order], bucket[order]
     from_byte = (end_byte - length)[at[s]].tolist()
     to_byte = end_byte[at[s] + c + width - 2].tolist()
-    del length, end_byte
-    strings = [joined[x:y] for x, y in zip(from_byte, to_byte, strict=True)]
+    del length, end_byte, at, ids
     cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     rows = {"bucket": [], "payload": []}
     for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)], strict=True):
         if x < y:
             d = doc[s[x:y]]
             rows["bucket"].append(int(bucket[x]))
-            rows["payload"].append(_packed(doc_ids[d].tobytes(), text_hash[d].tobytes(), start[s[x:y]].tobytes(), c[x:y].astype(np.int32).tobytes(), b"\n".join(strings[x:y])))
+            rows["payload"].append(_packed(doc_ids[d].tobytes(), text_hash[d].tobytes(), start[s[x:y]].tobytes(), c[x:y].astype(np.int32).tobytes(), b"\n".join([joined[f:t] for f, t in zip(from_byte[x:y], to_byte[x:y], strict=True)])))
     if len(first_gone):
         d = doc[first_gone]
         home = doc_ids[d].view(np.uint64) % np.uint64(n_buckets)
@@ -216,9 +234,8 @@ def _counts(n_buckets: int, width: int):
             for text in as_bytes(batch.column(0)):
                 words = text.split() if text else []
                 if len(words) >= width:
-                    vocabulary = Vocabulary()
-                    ids = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-                    hashes = _word_hashes(vocabulary)[ids]
+                    vocabulary = _Words()
+                    hashes = vocabulary.hashes(vocabulary.numbered(words))
                     _, once = np.unique(_rolling(hashes, width), return_index=True)
                     total += np.bincount(_home(_least_grams(hashes, width)[once], n_buckets), minlength=n_buckets)
         found = np.flatnonzero(total)
@@ -241,47 +258,53 @@ def large_buckets(keys: DataFrame, n_buckets: int, n_chars: int, width: int, win
 
 def _super_kmers(n_buckets: int, width: int, block_words: int, parts: dict[int, tuple[int, int]] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held = [], 0
+        docs, held, vocabulary = [], 0, _Words()
         for batch in in_slices(batches):
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = text.split() if text else []
                 if len(words) >= width:
-                    docs.append((_LAST if doc_id is None else doc_id, text_hash, words))
+                    docs.append((_LAST if doc_id is None else doc_id, text_hash, vocabulary.numbered(words), b" ".join(words)))
                     held += len(words)
                 if held >= block_words:
-                    yield _block(docs, n_buckets, width, parts)
-                    docs, held = [], 0
+                    rows = _block(docs, vocabulary, n_buckets, width, parts)
+                    docs, held, vocabulary = [], 0, _Words()
+                    yield rows
         if docs:
-            yield _block(docs, n_buckets, width, parts)
+            yield _block(docs, vocabulary, n_buckets, width, parts)
+        release_memory()
 
     return run
 
 
 def _bucket(payloads: list[bytes], width: int) -> pa.RecordBatch:
     """Runs of windows of one bucket that aren't the first of their words."""
-    out, metas, texts = [], [], []
+    out, metas, numbers, wholes, vocabulary = [], [], [], [], _Words()
     for payload in payloads:
         parts = _unpacked(payload)
         doc_id, text_hash, start = (np.frombuffer(parts[i], np.int64) for i in range(3))
         if len(parts) == 4:  # settled in the block
             out.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int64)))
         else:
-            metas.append((doc_id, text_hash, start, np.frombuffer(parts[3], np.int32).astype(np.int64)))
-            texts.append(parts[4])
+            n = np.frombuffer(parts[3], np.int32).astype(np.int64)
+            metas.append((doc_id, text_hash, start, n))
+            numbers.append(vocabulary.numbered(parts[4].split()))
+            wholes.append(_rolling(vocabulary.hashes(numbers[-1]), width)[ragged_positions(np.cumsum(n + width - 1) - (n + width - 1), n)])
+    del payloads, vocabulary
     if metas:
-        vocabulary = Vocabulary()
-        number = vocabulary.__getitem__
-        ids = np.concatenate([np.fromiter(map(number, words), np.int32, len(words)) for words in map(bytes.split, texts)])
+        ids, whole = np.concatenate(numbers), np.concatenate(wholes)
         doc_id, text_hash, start, n = (np.concatenate(x) for x in zip(*metas, strict=True))
-        offset = np.cumsum(n + width - 1) - (n + width - 1)
+        del metas, numbers, wholes
+        offset, number = np.cumsum(n + width - 1) - (n + width - 1), np.cumsum(n) - n
         order = np.lexsort((text_hash, start, doc_id))
-        doc_id, text_hash, start, n, offset = (x[order] for x in (doc_id, text_hash, start, n, offset))
+        doc_id, text_hash, start, n, offset, number = (x[order] for x in (doc_id, text_hash, start, n, offset, number))
+        whole = whole[ragged_positions(number, n)]
         at = ragged_positions(offset, n)
+        first = _first_of_equal(ids, whole, at, width)
+        del ids, whole, at
         owner = np.repeat(np.arange(len(n)), n)
         place = ragged_positions(start, n)
-        first = _first_of_equal(ids, _rolling(_word_hashes(vocabulary)[ids], width)[at], at, width)
         gone = (first != np.arange(len(first))) & ~((doc_id[owner] == doc_id[owner[first]]) & (place == place[first]))
-        breaks = np.ones(len(at), bool)
+        breaks = np.ones(len(owner), bool)
         breaks[1:] = owner[1:] != owner[:-1]
         s, c = _runs(gone, breaks)
         out.append((doc_id[owner[s]], text_hash[owner[s]], place[s], c))
@@ -296,12 +319,15 @@ def _buckets(width: int):
         for batch in batches:
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and held:
-                    yield _bucket(held, width)
-                    held = []
+                    payloads, held = held, []
+                    yield _bucket(payloads, width)
+                    del payloads
                 now = bucket
                 held.append(payload)
         if held:
             yield _bucket(held, width)
+        del held
+        release_memory()
 
     return run
 
@@ -336,6 +362,7 @@ def _cleaned(width: int, text_at: int, gone_at: int, schema: pa.Schema):
             cols[text_at] = pa.array(text, pa.binary()).cast(pa.string())
             cols += [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        release_memory()
 
     return run
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -93,3 +94,41 @@ def test_a_frequent_line_is_dealt_to_many_buckets(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = [r for r in substring.dedup_substrings(frame, n_buckets=40, bucket_windows=300).collect() if r.doc_id is None]
     assert [(r.n_removed, r.text) for r in got] == [(71, "")] * 3
+
+
+def peak_bytes(work) -> int:
+    """The most memory that ``work`` had at a time beyond what stood before."""
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_rolling_hashes_of_a_long_text_need_little_beside_the_result():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 3 * substring.ROLLED + 5, dtype=np.uint64)
+    for width in (1, 20, len(h), len(h) + 1):
+        whole = substring._rolling(h, width)
+        assert len(whole) == max(0, len(h) - width + 1)
+    whole = substring._rolling(h, 20)
+    for x in (0, substring.ROLLED - 1, substring.ROLLED, 2 * substring.ROLLED - 19, len(whole) - 1):
+        assert whole[x] == substring._rolling(h[x : x + 20].copy(), 20)[0]
+    h = np.ones(2_000_000, np.uint64)
+    assert peak_bytes(lambda: substring._rolling(h, 20)) < 2 * h.nbytes
+
+
+def test_a_bucket_needs_memory_for_its_windows_not_for_all_words_of_its_strings():
+    rng = np.random.default_rng(2)
+    payloads = []
+    for k in range(8):
+        n = 5000
+        start = np.arange(n, dtype=np.int64) * 40
+        strings = [b" ".join(b"w%d" % w for w in row) for row in rng.integers(0, 3000, (n, 24)).tolist()]
+        if k:
+            strings[:10] = first
+        first = strings[:10]
+        payloads.append(substring._packed(np.full(n, k, np.int64).tobytes(), np.zeros(n, np.int64).tobytes(), start.tobytes(), np.full(n, 5, np.int32).tobytes(), b"\n".join(strings)))
+    found = []
+    peak = peak_bytes(lambda: found.append(substring._bucket(payloads, 20)))
+    assert sorted(zip(*(c.to_pylist() for c in found[0].columns), strict=True)) == [(k, 0, 40 * i, 5) for k in range(1, 8) for i in range(10)]
+    assert peak < 40 * 8 * 5000 * 24  # bytes a word of its strings
