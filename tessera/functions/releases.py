@@ -219,14 +219,13 @@ def ratio_from(least: float):
 ALIKE, LONG_BEGINNING, TELLING = 0.9, 40, 3
 
 
-def headline_grade(a: Column, b: Column, ratio: Column) -> Column:
-    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the two, or
-    ratio_from(ALIKE), reckoned on candidate pairs only.
+def headline_facts(h: Column) -> Column:
+    """struct (words, notice): what headline_grade needs to know of one headline: its words, and whether a notice stands before it."""
+    return F.struct(headline_tokens(h).alias("words"), F.coalesce(is_notice(F.split_part(h, F.lit(":"), F.lit(1))), F.lit(False)).alias("notice"))
 
-    Headlines are alike if their words are equal, if the longer goes on where the shorter ends after LONG_BEGINNING letters, or if
-    their ratio says so. Markers that both have room for, steps of a deal and a notice of correction part them. Those
-    with fewer than TELLING words of their own are alike only if equal, and then general.
-    """
+
+def facts_grade(a: Column, b: Column, ratio: Column) -> Column:
+    """headline_grade of two headlines by their headline_facts, which are made once for a headline that meets many."""
     general = F.array(*[F.lit(w) for w in sorted({*STOPS, *GENERAL, *NOTICES})])
 
     def graded(t: Column) -> Column:
@@ -237,8 +236,18 @@ def headline_grade(a: Column, b: Column, ratio: Column) -> Column:
         telling = F.size(F.array_except(F.when(F.size(t.a) <= F.size(t.b), t.a).otherwise(t.b), general)) >= TELLING
         return F.when(~parted & telling & (goes_on | (ratio >= ALIKE) | (t.a == t.b)), 2).when(~parted & (t.a == t.b), 1).otherwise(0)
 
-    corrected = is_notice(F.split_part(a, F.lit(":"), F.lit(1))) | is_notice(F.split_part(b, F.lit(":"), F.lit(1)))
-    return let(F.struct(headline_tokens(a).alias("a"), headline_tokens(b).alias("b"), F.coalesce(corrected, F.lit(False)).alias("corrected")), graded)
+    return let(F.struct(a.words.alias("a"), b.words.alias("b"), (a.notice | b.notice).alias("corrected")), graded)
+
+
+def headline_grade(a: Column, b: Column, ratio: Column) -> Column:
+    """2 for the same headline, 1 for the same but too general to go by, 0 for different ones. ratio: sequence_ratio of the two, or
+    ratio_from(ALIKE), reckoned on candidate pairs only.
+
+    Headlines are alike if their words are equal, if the longer goes on where the shorter ends after LONG_BEGINNING letters, or if
+    their ratio says so. Markers that both have room for, steps of a deal and a notice of correction part them. Those
+    with fewer than TELLING words of their own are alike only if equal, and then general.
+    """
+    return let(F.struct(headline_facts(a).alias("a"), headline_facts(b).alias("b")), lambda t: facts_grade(t.a, t.b, ratio))
 
 
 def scored(text: Column, rules: list[tuple[str, int, str, bool]]) -> Column:

@@ -10,7 +10,7 @@ from tessera.functions import grids as G
 from tessera.functions import readers as R
 from tessera.functions.shingles import hash_sets, set_key
 from tessera.operators import folds as O
-from tessera.plans import catalogue
+from tessera.plans import catalogue, releases
 
 
 def test_labels_from_a_million_on_are_those_of_the_sql(spark, tmp_path):
@@ -77,3 +77,52 @@ def test_hashes_tell_sets_of_shingles_apart():
     assert [h.tolist() for h in hash_sets(pa.array(texts).slice(2, 5), 3)] == sets[2:7]
     keys = [set_key(h) for h in hash_sets(pa.array(texts[:9]), 3)]
     assert keys[3:6] == [None] * 3 and len(set(keys)) == 7
+
+
+def test_headlines_that_meet_often_are_graded_once(spark, monkeypatch):
+    import pandas as pd
+
+    said = ["Acme drills 12 m at Aurora in the northern belt of the range", "Acme drills 12 m at Aurora in the northern belt of the range, and more", "Corporate update of the company", "corporate update of the company.", "Acme closes a placement of units", "Correction: Acme closes a placement of units", "", None]
+    rows = spark.createDataFrame([(b, n, 1000 * n + 10 * i + (b or 0), h) for b in (1, 2, None) for n in (1, 2, 3, 5, None) if n for i, h in enumerate(said)] + [(1, None, 7, said[0])], "brand int, at int, id int, h string")
+    left, right = rows.alias("x"), rows.alias("y")
+    pairs = left.join(right, F.expr("x.brand = y.brand and x.at + 1 = y.at")).select("x.id", F.expr("y.id as other"), F.expr("x.h as a"), F.expr("y.h as b"))
+    rated = pairs.withColumn("ratio", releases.R.sequence_ratio(F.lower("a"), F.lower("b")))
+    whole = rated.select("id", "other", releases.R.headline_grade(F.col("a"), F.col("b"), F.col("ratio")).alias("grade"))
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) == 2 * 2 * len(said) ** 2 and {0, 1, 2} == {r[2] for r in want}
+    graded = spark.sparkContext.accumulator(0)
+    bounded = releases.R.ratio_from(releases.R.ALIKE).func
+
+    def counted(least):
+        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            graded.add(len(a))
+            return bounded(a, b)
+
+        return F.pandas_udf(ratio, "double")
+
+    monkeypatch.setattr(releases.R, "ratio_from", counted)
+    for most in (releases.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(releases, "BROADCAST_ROWS", most)
+        got = releases.graded_pairs(rows, ["brand"], "at", "id", "h")
+        assert sorted(map(tuple, got.collect())) == want
+    assert graded.value == 2 * len(said) ** 2
+
+
+def test_copies_at_other_brands_grade_no_more_headlines(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 40")
+    copies = spark.range(40).crossJoin(part).withColumns({"p_partkey": F.col("p_partkey") + 1000 * F.col("id"), "p_brand": F.concat("p_brand", F.lit("/"), "id"), "p_size": F.lit(1) + F.col("p_partkey") % 2}).drop("id")
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    graded = spark.sparkContext.accumulator(0)
+
+    def counted(least):
+        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            graded.add(len(a))
+            return pd.Series([0.0] * len(a))
+
+        return F.pandas_udf(ratio, "double")
+
+    monkeypatch.setattr(releases.R, "ratio_from", counted)
+    pairs = catalogue.QUERIES["tx_headline_grade"](spark, str(tmp_path)).count()
+    assert pairs > 20 * graded.value > 0
