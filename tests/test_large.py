@@ -10,6 +10,7 @@ from tessera.functions import grids as G
 from tessera.functions import readers as R
 from tessera.functions.shingles import hash_sets, set_key
 from tessera.operators import folds as O
+from tessera.operators import matching as M
 from tessera.plans import catalogue, releases
 
 
@@ -126,3 +127,62 @@ def test_copies_at_other_brands_grade_no_more_headlines(spark, tmp_path, monkeyp
     monkeypatch.setattr(releases.R, "ratio_from", counted)
     pairs = catalogue.QUERIES["tx_headline_grade"](spark, str(tmp_path)).count()
     assert pairs > 20 * graded.value > 0
+
+
+def near_copies(clusters, copies, words=200):
+    """Documents of clusters of near copies: (doc_id, text)."""
+    dice, rows = random.Random(8), []
+    for c in range(clusters):
+        base = [f"w{dice.randrange(400)}" for _ in range(words)]
+        for _ in range(copies):
+            said = list(base)
+            for at in dice.sample(range(words), dice.randrange(3)):
+                said[at] = f"v{dice.randrange(10**6)}"
+            rows.append((len(rows), " ".join(said)))
+    return rows
+
+
+def similar(rows, length=5, percent=80):
+    sets, names = {}, {}
+    for k, text in sorted(rows):
+        words = text.split()
+        own = frozenset(tuple(words[i : i + length]) for i in range(len(words) - length + 1))
+        if own and names.setdefault(own, k) == k:
+            sets[k] = own
+    counts = [(a, b, len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b]
+    return [c for c in counts if c[2] * 100 >= percent * c[3]]
+
+
+def test_texts_of_near_copies_travel_once_for_a_cell(spark, monkeypatch):
+    rows = near_copies(6, 30)
+    want = similar(rows)
+    classes = M.shingle_classes(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"), 5)
+    met = M._met(M._prefixes(classes, 5, 80), 80)
+    sizes = classes.select("rep", F.substring_index("key", "-", -1).cast("bigint").alias("n"))
+    pairs, places = M._places(met, sizes)
+    documents = classes.count()
+    assert len(want) > 3 * documents and {c[:2] for c in want} <= {(r.a, r.b) for r in pairs.collect()}
+    assert documents <= places.count() < 2 * documents
+    for block in (1 << 21, 500, 1):
+        monkeypatch.setattr(M, "CELL_SHINGLES", block)
+        pairs, places = M._places(met, sizes)
+        held = {(r.cell, r.rep) for r in places.collect()}
+        assert all((r.cell, r.a) in held and (r.cell, r.b) in held for r in pairs.collect())
+        assert sorted(map(tuple, M.jaccard_pairs(classes, 5, 80).collect())) == sorted(want)
+
+
+def test_no_text_is_shuffled_for_classes_and_pairs_of_any_side(spark, monkeypatch):
+    rows = near_copies(4, 12) + [(1000 + k, t) for k, t in near_copies(4, 12)] + [(3000, ""), (3001, None), (None, "a b c d e f"), (3002, "a b c d e f"), (3002, "a b c d e f"), (3003, "a b c d e g f")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    want = sorted(similar([r for r in rows if r[0] is not None and r[1]]))
+    found = []
+    for most in (M.BROADCAST_ROWS, 40, 0):  # few copies; few of either; many of both
+        monkeypatch.setattr(M, "BROADCAST_ROWS", most)
+        classes = M.shingle_classes(docs, "id", F.col("text"), 5)
+        plan = classes._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        found.append(sorted({r.rep for r in classes.collect()}))
+        assert sorted(map(tuple, M.jaccard_pairs(classes, 5, 80).collect())) == want
+        strings = classes.select(F.col("rep").cast("string").alias("rep"), "text", "key")
+        assert {tuple(sorted((int(r.a), int(r.b)))) for r in M.jaccard_pairs(strings, 5, 80).collect()} == {c[:2] for c in want}
+    assert found[0] == found[1] == found[2] and 3002 in found[0] and 3000 not in found[0]
