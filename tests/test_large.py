@@ -1,6 +1,7 @@
 """What larger tables need of single steps: figures beyond a million, rules read once, sizes of tasks."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -163,12 +164,17 @@ def test_texts_of_near_copies_travel_once_for_a_cell(spark, monkeypatch):
     documents = classes.count()
     assert len(want) > 3 * documents and {c[:2] for c in want} <= {(r.a, r.b) for r in pairs.collect()}
     assert documents <= places.count() < 2 * documents
-    for block in (1 << 21, 500, 1):
+    most = []
+    for block, many in ((1 << 21, 1 << 18), (500, 1 << 18), (1, 1 << 18), (1 << 21, 50)):
         monkeypatch.setattr(M, "CELL_SHINGLES", block)
+        monkeypatch.setattr(M, "CELL_PAIRS", many)
         pairs, places = M._places(met, sizes)
         held = {(r.cell, r.rep) for r in places.collect()}
-        assert all((r.cell, r.a) in held and (r.cell, r.b) in held for r in pairs.collect())
+        dealt = pairs.collect()
+        assert all((r.cell, r.a) in held and (r.cell, r.b) in held for r in dealt) and len({(r.a, r.b) for r in dealt}) == len(dealt)
+        most.append(max(Counter(r.cell for r in dealt).values()))
         assert sorted(map(tuple, M.jaccard_pairs(classes, 5, 80).collect())) == sorted(want)
+    assert most[0] > 200 and most[3] < 100  # one large cluster is no single task
 
 
 def test_no_text_is_shuffled_for_classes_and_pairs_of_any_side(spark, monkeypatch):
