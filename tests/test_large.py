@@ -192,3 +192,12 @@ def test_no_text_is_shuffled_for_classes_and_pairs_of_any_side(spark, monkeypatc
         strings = classes.select(F.col("rep").cast("string").alias("rep"), "text", "key")
         assert {tuple(sorted((int(r.a), int(r.b)))) for r in M.jaccard_pairs(strings, 5, 80).collect()} == {c[:2] for c in want}
     assert found[0] == found[1] == found[2] and 3002 in found[0] and 3000 not in found[0]
+
+
+def test_texts_travel_packed(spark):
+    import zlib
+
+    said = ["a b c", "é ü", "", "x " * 5000]
+    rows = spark.createDataFrame(list(enumerate(said)), "rep long, text string")
+    small = {r.rep: bytes(r.text) for r in M._packed(rows).collect()}
+    assert [zlib.decompress(small[k]).decode() for k in range(len(said))] == said and len(small[3]) < 500
